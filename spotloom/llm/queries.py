@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from spotloom.llm import mixture, records
+from spotloom.llm import mixture, records, repeats
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,8 +24,20 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte covered by a 200-byte string that starts anywhere else."""
+    return repeats.remove_repeated_bytes(_table(spark, sf_dir, "documents"), 200)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every word covered by 13 words that also start in an earlier document."""
+    return repeats.remove_repeated_words(_table(spark, sf_dir, "documents"), 13)
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op5_source_mix": op5_source_mix,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
