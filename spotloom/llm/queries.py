@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spotloom.llm import mixture, records, repeats
+from spotloom.llm import mixture, neardup, records, repeats
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,10 +34,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeated_words(_table(spark, sf_dir, "documents"), 13)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are 85 % alike."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), 85, 3)
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op5_source_mix": op5_source_mix,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
