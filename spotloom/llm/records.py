@@ -62,9 +62,9 @@ def crc32c(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n_blocks = -(-sizes[long] // _BLOCK)
     ends = np.cumsum(n_blocks)
     blocks = np.zeros(int(ends[-1]) * _BLOCK, np.uint8)
-    source, owner = textcols.ranges(offsets[long], sizes[long])
     first = ends * _BLOCK - sizes[long]  # zeros come before the bytes, which changes no checksum that starts at 0
-    blocks[source - offsets[long][owner] + first[owner]] = data[source]
+    for at, start, size in zip(first.tolist(), offsets[long].tolist(), sizes[long].tolist(), strict=True):
+        blocks[at : at + size] = data[start : start + size]
     for k in range(4):
         blocks[first + k] ^= 255
     crcs = np.bitwise_xor.reduce(_BY[_AT, blocks.reshape(-1, _BLOCK)], axis=1)
@@ -99,8 +99,8 @@ def frame(ids: np.ndarray, firsts: np.ndarray) -> tuple[bytes, np.ndarray]:
     for k in range(4):
         out[offsets[:-1] + 8 + k] = head[:, k]
         out[offsets[1:] - 4 + k] = tail[:, k]
-    source, owner = textcols.ranges(at[:-1], sizes)
-    out[source - at[:-1][owner] + offsets[:-1][owner] + 12] = data[source]
+    for to, start, size in zip((offsets[:-1] + 12).tolist(), at[:-1].tolist(), sizes.tolist(), strict=True):
+        out[to : to + size] = data[start : start + size]
     return out.tobytes(), offsets
 
 
@@ -115,26 +115,36 @@ def unframe(raw: np.ndarray, offsets: np.ndarray, dtype: np.dtype) -> tuple[np.n
         raise ValueError("the checksum of a record's length does not hold")
     at = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=at[1:])
-    source, _ = textcols.ranges(offsets[:-1] + 12, sizes)
-    data = raw[source]
+    data = np.concatenate([raw[a + 12 : b - 4] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
     if not np.array_equal(take(offsets[1:] - 4, 4).view("<u4"), masked(crc32c(data, at))):
         raise ValueError("the checksum of a record does not hold")
     return data.view(dtype), at // dtype.itemsize
 
 
+_TAIL = b".,!?;:%&$*#|)"
+
+
 class Encoder:
     """Encodes texts word by word: white space always separates tokens, so a word's ids do not depend on its neighbours.
 
-    Words already seen by this Python worker come from a dictionary that is emptied at `keep` words.
+    For a tokenizer that lower-cases and splits letters and digits from punctuation, a word's stem, in lower case, and
+    the punctuation behind it are encoded apart, and stems of letters alone many at a time. Ids already seen by this Python worker come from dictionaries that are
+    emptied when they have grown to `keep` words and twice as many stems.
     """
 
     _kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.seen = Tokenizer.from_file(path), keep, {}
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.keep, self.seen, self.stems = Tokenizer.from_file(path), keep, {}, {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Stem", "stem", *map(chr, _TAIL))]
+        parts = {t: self.tokenizer.encode(f"stem{t}", add_special_tokens=False).ids for t in map(chr, _TAIL)}
+        self.by_stem = probe[0] == probe[1] and all(parts[t] == probe[1] + own for t, own in zip(map(chr, _TAIL), probe[2:], strict=True))
+        self.by_stem = self.by_stem and bool(self.ends.any())
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -142,16 +152,47 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """Stem and tail whose ids make up those of the word."""
+        if not self.by_stem or b"<|" in word:
+            return word, b""
+        stem = word.rstrip(_TAIL)
+        if not stem[-1:].isalnum():
+            stem = word
+        tail = word[len(stem) :]
+        return (stem.lower() if stem.isascii() else stem), tail
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = [self._cut(w) for w in words]
+        stems = self.stems
+        new = {x for pair in cut for x in pair if x not in stems}
+        texts = {x: x.decode() for x in new}
+        letters = [x for x in new if texts[x].isalpha()] if self.by_stem else []
+        for k in range(0, len(letters), 32 * 256):
+            part = letters[k : k + 32 * 256]
+            rows = [part[i : i + 256] for i in range(0, len(part), 256)]
+            joined = [" ".join([texts[x] for x in row]) for row in rows]
+            for row, e in zip(rows, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+                if len(ends) == len(row):  # each word has one end, so these are the words' bounds
+                    data, ends = ids.tobytes(), ends.tolist()
+                    stems.update((x, data[a:b]) for x, a, b in zip(row, [0, *ends], ends, strict=False))
+        rest = [x for x in new if x not in stems]
+        for k in range(0, len(rest), 10_000):
+            part = rest[k : k + 10_000]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast([texts[x] for x in part], add_special_tokens=False), strict=True):
+                stems[x] = np.array(e.ids, self.dtype).tobytes()
+        self.seen.update((w, stems[a] + stems[b]) for w, (a, b) in zip(words, cut, strict=True))
+
     def ids(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with end_id behind, and the first id of each."""
         split = [(t or "").encode().split() for t in texts]  # of bytes: at ASCII white space only
         if len(self.seen) > self.keep:
             self.seen.clear()
-        new = list({w for ws in split for w in ws}.difference(self.seen))
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, self.dtype).tobytes()
+        if len(self.stems) > 2 * self.keep:
+            self.stems.clear()
+        self._learn(list(set().union(*split).difference(self.seen)))
         end, get = b"" if end_id is None else np.array([end_id], self.dtype).tobytes(), self.seen.__getitem__
         parts = [b"".join(map(get, ws)) + end for ws in split]
         firsts = np.zeros(len(parts) + 1, np.int64)
