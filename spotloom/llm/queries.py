@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spotloom.llm import mixture, neardup, records, repeats
+from spotloom.llm import mixture, neardup, records, repeats, vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,11 +39,17 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), 85, 3)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with cosine of 0.95 or more."""
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op5_source_mix": op5_source_mix,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 ORACLES: dict[str, str] = {}
