@@ -23,8 +23,8 @@ from spotloom.llm.shared import drop_saved, save
 
 _RUNS = "anchor long, run long, doc_id long, at long, size long"
 _START_BITS, _PLACE_BITS = 39, 16
-#: More runs than this with one anchor are not compared in one task.
-HOT_RUNS = 256
+#: More different runs than this with one anchor (some 6 MB of text) are not compared in one task.
+HOT_RUNS = 16384
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
