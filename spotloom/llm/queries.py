@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spotloom.llm import mixture, neardup, records, repeats, vectors
+from spotloom.llm import mixture, neardup, records, repeats, toxicity, vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +19,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.3)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
@@ -46,6 +51,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op3_toxicity": op3_toxicity,
     "op5_source_mix": op5_source_mix,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
