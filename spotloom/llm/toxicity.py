@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spotloom.llm import textcols
 
@@ -350,7 +351,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.astype(np.float64))], [*part.schema.names, "score"])
 
     plain = docs.select(*columns)
-    return plain.mapInArrow(each, plain.schema.add("score", "double"))
+    return plain.mapInArrow(each, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_per_class: int = 2000) -> DataFrame:
