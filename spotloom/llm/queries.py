@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spotloom.llm import mixture, neardup, records, repeats, toxicity, vectors
+from spotloom.llm import decontam, lmscore, mixture, neardup, records, repeats, templates, toxicity, vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,11 +20,22 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much better a model of the documents of good quality predicts each document than a model of all."""
+    target = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(_table(spark, sf_dir, "documents"), target)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labels that are not held out."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 0.3)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds."""
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 80, 5)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
@@ -49,13 +61,22 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from each document because their template recurs."""
+    out = templates.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_lm_scores": op2_lm_scores,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_source_mix": op5_source_mix,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_line_templates": op10_line_templates,
 }
 ORACLES: dict[str, str] = {}
