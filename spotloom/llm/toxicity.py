@@ -37,9 +37,12 @@ class Words:
         prefix = textcols.PrefixHash(raw)
         self.distinct, first, self.of = np.unique(prefix.of(a, b), return_index=True, return_inverse=True)
         n = np.maximum(b[first] - a[first] - 2, 0)
-        at, self.gram_of = textcols.ranges(a[first], n)
-        self.grams = (prefix.windows(3)[at] % np.uint64(_GRAMS)).astype(np.int64)
+        at, _ = textcols.ranges(a[first], n)
+        x = raw.astype(np.uint32)
+        grams = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
+        self.grams = ((grams * np.uint32(2654435761)) >> np.uint32(20)).astype(np.uint16)[at]  # 12 bits, for _GRAMS
         self.n_grams = n
+        self.of = self.of.astype(np.int32)
 
     def part(self, numbers: np.ndarray) -> "Words":
         """Only some of the distinct words (ascending numbers), for inputs()."""
@@ -57,8 +60,9 @@ class Words:
         number, row = textcols.ranges(np.zeros(len(n), np.int64), count)
         at = number[:, None] * STRIDE + np.arange(WINDOW)
         inside = at < n[row][:, None]
-        place = np.where(inside, at + self.firsts[:-1][row][:, None], 0)
-        return np.where(inside, self.of[place] if len(self.of) else -1, -1), row
+        at += self.firsts[:-1][row][:, None]
+        at[~inside] = 0
+        return np.where(inside, self.of[at] if len(self.of) else np.int32(-1), np.int32(-1)), row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,10 +100,12 @@ class Network:
         known = self.vocabulary[at] == t.distinct if len(self.vocabulary) else np.zeros(len(at), bool)
         self.word_rows = np.where(known, at + 1, 0)
         chars = np.zeros((len(t.distinct), _DIM), np.float32)
-        some = np.flatnonzero(t.n_grams)
-        if len(some):
-            starts = (np.cumsum(t.n_grams) - t.n_grams)[some]
-            chars[some] = np.add.reduceat(self.p["grams"][t.grams], starts) / t.n_grams[some][:, None]
+        first = np.append(0, np.cumsum(t.n_grams))
+        for k in range(0, len(t.distinct), 20_000):
+            some = k + np.flatnonzero(t.n_grams[k : k + 20_000])
+            if len(some):
+                vectors = self.p["grams"][t.grams[first[k] : first[min(k + 20_000, len(t.distinct))]]]
+                chars[some] = np.add.reduceat(vectors, first[some] - first[k]) / t.n_grams[some][:, None]
         return np.vstack([np.hstack([self.p["words"][self.word_rows], chars]), np.zeros((1, 2 * _DIM), np.float32)])
 
     def forward(self, projected: np.ndarray, windows: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -178,22 +184,22 @@ class Network:
     def logits(self, t: Words, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Logit of each window and its row."""
         projected = self.inputs(t) @ self.p["wx"] + self.p["bx"]
+        half = np.ones(_GATES, np.float32)
+        half[: 2 * _HIDDEN] = 0.5  # of the gates' inputs, for their sigmoid by way of tanh
+        both = np.ascontiguousarray(projected[:, :_GATES] * half), np.ascontiguousarray(projected[:, _GATES:] * half)
+        del projected
         windows, row = t.windows()
         out = np.empty(len(windows), np.float32)
         full = windows[:, -1] >= 0 if len(windows) else np.zeros(0, bool)
         for on in (np.flatnonzero(full), np.flatnonzero(~full)):
             for k in range(0, len(on), block):
-                out[on[k : k + block]] = self.read(projected, windows[on[k : k + block]])
+                out[on[k : k + block]] = self.read(*both, self.p["u"] * half, windows[on[k : k + block]])
         return out, row
 
-    def read(self, projected: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    def read(self, ahead: np.ndarray, back: np.ndarray, u: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """What forward() gives, with less work: nothing is kept, halves of gate inputs are taken beforehand, and places
         behind a text's end are looked at only where there are any."""
         n, steps = windows.shape
-        half = np.ones(_GATES, np.float32)
-        half[: 2 * _HIDDEN] = 0.5
-        u = self.p["u"] * half
-        ahead, back = np.ascontiguousarray(projected[:, :_GATES] * half), np.ascontiguousarray(projected[:, _GATES:] * half)
         columns = np.ascontiguousarray(windows.T)
         padded = bool((columns < 0).any())
         h = np.zeros((2, n, _HIDDEN), np.float32)
@@ -317,7 +323,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = 4
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000) -> Network | float:
     """A network fitted on at most max_per_class labelled documents of each class that are not held out, chosen by a hash
     of doc_id. Where one class is missing, the share of toxic rows (0 without labels)."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
@@ -354,7 +360,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     return plain.mapInArrow(each, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_per_class: int = 2000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_per_class: int = 1000) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from the threshold on) for each row of docs."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels, max_per_class))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
