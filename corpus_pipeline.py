@@ -22,7 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least doc_id of each group whose 5-word shingles are 80 % alike; rows without doc_id stay."""
     found = neardup.near_duplicates(docs, 80, 5)
     kept = save(found.where("kept and doc_id is not null").select("doc_id").distinct(), "pipeline-kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     windows = sized.select("doc_id", "v", F.explode(starts).alias("start"), F.least("m", "n").alias("len"))
     lists = save(windows.groupBy(F.col("doc_id").alias("of"), F.col("v").alias("ov")).agg(F.collect_set(F.struct("start", "len")).alias("w")), "leak-windows")
 
-    there = shingled.join(lists, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov"))).select("doc_id", "v", "sh", F.explode("w").alias("w"))
+    there = shingled.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov"))).select("doc_id", "v", "sh", F.explode("w").alias("w"))
     there = there.select("doc_id", "v", "w.start", F.slice("sh", F.col("w.start") + 1, F.col("w.len")).alias("sh"))
     placed = save(there.withColumn("a", F.xxhash64("sh")).withColumn("b", F.xxhash64(F.lit("b"), "sh")), "leak-placed")
     # Windows with equal contents are compared once, however many documents hold them.
@@ -141,11 +141,11 @@ def report(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5)
     """doc_id, contaminated, items, similarity for each row of docs (no items and null without a match)."""
     found = contaminated(docs, benchmark, percent, k).select(F.col("doc_id").alias("of"), F.col("v").alias("ov"), "items", "similarity")
     here = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("v"))
-    joined = here.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
+    joined = here.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """Rows of docs, with all columns, that hold no item."""
     found = contaminated(docs, benchmark, percent, k).select(F.col("doc_id").alias("__of"), F.col("v").alias("__ov"))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__ov")), "left_anti")
+    return docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__ov")), "left_anti")

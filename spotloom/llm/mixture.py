@@ -121,5 +121,5 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as mix() takes it (by doc_id, which is taken as a key)."""
     repeats = mix(docs, **options).where(F.col("repeats") > 0).select(F.col("doc_id").alias("of"), "repeats")
-    joined = docs.join(save(repeats, "mix-repeats"), F.col("doc_id").eqNullSafe(F.col("of")))
+    joined = docs.join(save(repeats, "mix-repeats").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(*docs.columns)

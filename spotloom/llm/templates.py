@@ -47,7 +47,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 2, min_fix
     # Sums count a document again for each of its lines of a template: where that could matter, documents are counted.
     several = save(several.where((F.col("members") > 1) & (F.col("all") >= min_docs) & (F.col("most") < min_docs)).select("template"), "lines-several")
     asked = save(shaped.join(several, "template").select("key", "template"), "lines-asked")
-    met = each.select("doc_id", "v", F.xxhash64("line").alias("key")).join(asked, "key").select("doc_id", "v", "template").distinct()
+    met = each.select("doc_id", "v", F.xxhash64("line").alias("key")).join(asked.hint("merge"), "key").select("doc_id", "v", "template").distinct()
     counted = save(met.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "lines-counted")
     by_template = asked.join(counted, "template").select("key", "docs")
     # A line of a template with one line that recurs by itself goes with it.
@@ -66,9 +66,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 2, mi
     gone = recurring_lines(docs, min_docs, depth, min_fixed).select("key")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     each = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("v"), F.posexplode(lines).alias("pos", "line"))
-    hit = each.select("doc_id", "v", "pos", F.xxhash64(masked(F.col("line"))).alias("key")).join(gone, "key")
+    hit = each.select("doc_id", "v", "pos", F.xxhash64(masked(F.col("line"))).alias("key")).join(gone.hint("merge"), "key")
     lists = save(hit.groupBy(F.col("doc_id").alias("of"), F.col("v").alias("ov")).agg(F.collect_set("pos").alias("dropped")), "lines-dropped")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("v"), lines.alias("lines"))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
+    joined = rows.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
     stay = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("dropped", i)))
     return joined.select("doc_id", F.size("lines").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.array_join(stay, "\n").alias("kept"))
