@@ -253,3 +253,104 @@ def correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> D
 def sanitise(c: Column) -> Column:
     """Labels fit for file names: blanks, slashes and dashes to '_', plus signs and brackets dropped."""
     return F.translate(F.regexp_replace(c, r"[ \-/]", "_"), "+()", "")
+
+
+def trimmed_factors(pb: DataFrame, ref: str, trim: float = 0.3) -> DataFrame:
+    """sample, factor: 2 to the mean log ratio to the reference sample, over genes between the trim quantiles of it."""
+    lib = pb.groupBy("sample").agg(F.sum("count").alias("lib"))
+    s = pb.join(lib, "sample").select("sample", "gene", (F.col("count") / F.col("lib")).alias("f"))
+    m = s.join(s.where(F.col("sample") == ref).select("gene", F.col("f").alias("g")), "gene").where("f > 0 and g > 0").withColumn("m", F.round(F.log2(F.col("f") / F.col("g")), 9))
+    q = m.groupBy("sample").agg(F.percentile("m", trim).alias("lo"), F.percentile("m", 1 - trim).alias("hi"))
+    inside = m.join(q, "sample").where("m between lo and hi")
+    return inside.groupBy("sample").agg(F.round(F.pow(F.lit(2.0), F.avg("m")), 6).alias("factor"))
+
+
+def moderated_t(pb: DataFrame, samples: DataFrame, test: str, ref: str, prior_df: float = 4) -> DataFrame:
+    """gene, logfc, t of log2 counts per million of two conditions' samples; variances are drawn to their mean over genes.
+
+    Samples without a gene count as 0 (log2 of 0.5 in place of the count).
+    """
+    lib = pb.groupBy("sample").agg(F.sum("count").alias("lib")).join(samples.where(F.col("condition").isin(test, ref)).select("sample", "condition").distinct(), "sample")
+    full = pb.select("gene").distinct().withColumn("__k", F.lit(1)).join(F.broadcast(lib.withColumn("__k", F.lit(1))), "__k").join(pb.select("sample", "gene", "count"), ["sample", "gene"], "left")  # one row for each sample is sent
+    y = F.log2((F.coalesce("count", F.lit(0)) + 0.5) / (F.col("lib") + 1) * 1e6)
+    g = full.withColumn("y", y).groupBy("gene").agg(
+        *[f(F.when(F.col("condition") == c, F.col("y"))).alias(f"{n}{i}") for i, c in enumerate((test, ref)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    ).where("n0 > 1 and n1 > 1")
+    d = F.col("n0") + F.col("n1") - 2
+    g = g.withColumns({"d": d, "s2": ((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / d})
+    s0 = g.agg(F.avg("s2").alias("s")).head()["s"] or 0.0
+    mod = (prior_df * s0 + F.col("d") * F.col("s2")) / (prior_df + F.col("d"))
+    return g.select("gene", F.round(F.col("m0") - F.col("m1"), 6).alias("logfc"), F.round((F.col("m0") - F.col("m1")) / F.sqrt(mod * (1 / F.col("n0") + 1 / F.col("n1"))), 6).alias("t"))
+
+
+def _nb_fit(y, x, offset, phi, rounds: int = 50):
+    """Coefficients, log-likelihood and covariance of a negative-binomial log-linear model with fixed dispersion."""
+    import numpy as np
+
+    beta = np.zeros(x.shape[1])
+    beta[0] = math.log(max(y.sum(), 0.5) / np.exp(offset).sum())
+    for _ in range(rounds):
+        mu = np.exp(np.clip(x @ beta + offset, -30, 30))
+        w = mu / (1 + phi * mu)
+        h = x.T @ (w[:, None] * x) + 1e-9 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ ((y - mu) / (1 + phi * mu)))
+        beta = beta + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-9:
+            break
+    mu = np.exp(np.clip(x @ beta + offset, -30, 30))
+    size = 1 / phi
+    ll = sum(math.lgamma(a + size) - math.lgamma(size) - math.lgamma(a + 1) + size * math.log(size / (size + m)) + a * math.log(m / (size + m)) for a, m in zip(y, mu, strict=True))
+    return beta, ll, np.linalg.inv(h)
+
+
+def common_dispersion(pb: DataFrame, samples: DataFrame) -> float:
+    """Median over genes of the excess of variance over the mean, by the squared mean, of scaled counts."""
+    lib = pb.groupBy("sample").agg(F.sum("count").alias("lib"))
+    mean = lib.agg(F.avg("lib").alias("m")).head()["m"] or 1.0
+    v = pb.join(lib, "sample").withColumn("y", F.col("count") / F.col("lib") * mean).join(samples.select("sample", "condition").distinct(), "sample")
+    g = v.groupBy("gene", "condition").agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"))
+    phi = g.where("m > 0 and v is not null").agg(F.median((F.col("v") - F.col("m")) / (F.col("m") * F.col("m"))).alias("phi")).head()["phi"]
+    return max(phi or 0.0, 1e-3)
+
+
+def negative_binomial(pb: DataFrame, samples: DataFrame, test: str, ref: str, others: bool = False) -> DataFrame:
+    """gene, logfc (base 2), stat, p: counts ~ condition with library sizes as offsets and one common dispersion.
+
+    By default a likelihood-ratio test of `test` against `ref`; with others, a Wald test of `test` against the mean of all
+    other conditions. Genes are fitted one by one in a grouped map; the design (one row for each sample) is shared. Without
+    two conditions or with fewer samples than coefficients plus one there is nothing to test and no row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    lib = pb.groupBy("sample").agg(F.sum("count").alias("lib")).join(samples.select("sample", "condition").distinct(), "sample")
+    if not others:
+        lib = lib.where(F.col("condition").isin(test, ref))
+    design = lib.orderBy("sample").toPandas()
+    levels = [ref, *sorted(set(design["condition"]) - {ref})] if not design.empty else []
+    schema = "gene string, logfc double, stat double, p double"
+    if len(levels) < 2 or test not in levels or len(design) <= len(levels):
+        return pb.sparkSession.createDataFrame([], schema)
+    x = np.column_stack([np.ones(len(design))] + [(design["condition"] == c).to_numpy(float) for c in levels[1:]])
+    offset, at = np.log(design["lib"].to_numpy(float)), {s: i for i, s in enumerate(design["sample"])}
+    phi, place = common_dispersion(pb, samples), levels.index(test)
+    contrast = np.zeros(len(levels))
+    if others:
+        contrast[place] = 1
+        contrast[[i for i in range(1, len(levels)) if i != place]] = -1 / (len(levels) - 1)
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        y = np.zeros(len(at))
+        for s, c in zip(f["sample"], f["count"], strict=True):
+            y[at[s]] += c
+        beta, ll, cov = _nb_fit(y, x, offset, phi)
+        if others:
+            fc = float(contrast @ beta)
+            stat = fc * fc / float(contrast @ cov @ contrast)
+        else:
+            fc = float(beta[place])
+            stat = max(0.0, 2 * (ll - _nb_fit(y, x[:, :1], offset, phi)[1]))
+        return pd.DataFrame({"gene": [f["gene"].iloc[0]], "logfc": [fc / math.log(2)], "stat": [stat], "p": [math.erfc(math.sqrt(stat / 2))]})
+
+    here = pb.join(F.broadcast(lib.select("sample")), "sample", "left_semi").select("gene", "sample", "count")  # one row for each sample
+    return here.groupBy("gene").applyInPandas(fit, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
+from spotloom.operators.tables import keep
 
 
 def _tiles(low: Column, high: Column, size: float) -> Column:
@@ -76,3 +79,38 @@ def k_nearest(cells: DataFrame, k: int, radius: float, on: list[str] | None = No
     near = pairs_within(left, right, radius, on).where("src <> dst")
     order = Window.partitionBy("src").orderBy("d2", "dst")
     return near.select("src", "dst", "d2", *on).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(left: DataFrame, right: DataFrame, key: list[str], value: str, start: float, limit: float) -> DataFrame:
+    """left with the `value` of the nearest right row (rx, ry, value; ties by value) and its distance, by rings that double.
+
+    Rows that have found one within a radius leave; only the rest look farther, up to `limit`, beyond which both are null.
+    """
+    rest, radius, parts = left, start, []
+    while True:
+        best = pairs_within(rest, right, radius).groupBy(*key).agg(F.min(F.struct("d2", value)).alias("m"))
+        looked = keep(rest.join(best, key, "left").select(*left.columns, F.col(f"m.{value}").alias(value), F.sqrt("m.d2").alias("distance")), "nearest")
+        rest = looked.where("distance is null").select(*left.columns)
+        if radius >= limit or not rest.limit(1).count():
+            return reduce(DataFrame.unionByName, [*parts, looked])
+        parts.append(looked.where("distance is not null"))
+        radius = min(2 * radius, limit)
+
+
+def neighbour_means(edges: DataFrame, expr: DataFrame) -> DataFrame:
+    """cell_id, gene, mean of a cell's neighbours (src, dst), absent rows as zeros; all-zero genes have no row."""
+    k = edges.groupBy("src").agg(F.count("*").alias("k"))
+    s = edges.join(expr.withColumnRenamed("cell_id", "dst"), "dst").groupBy("src", "gene").agg(F.sum("count").alias("s"))
+    return s.join(k, "src").select(F.col("src").alias("cell_id"), "gene", F.round(F.col("s") / F.col("k"), 6).alias("mean"))
+
+
+def pair_scores(points: DataFrame, factor: float, key: str = "cell_id") -> DataFrame:
+    """key, n, u, score: pairs of a cell's transcripts within factor times half its box diagonal, of all its pairs."""
+    box = points.groupBy(key).agg(
+        F.count("*").alias("n"), ((F.pow(F.max("x") - F.min("x"), F.lit(2)) + F.pow(F.max("y") - F.min("y"), F.lit(2))) * (factor * factor / 4)).alias("r2")
+    ).where("n > 1")
+    p = points.select(key, "x", "y", "z", "gene").withColumn("at", F.monotonically_increasing_id())
+    q = p.select(key, F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("at").alias("other"))
+    d2 = F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2))
+    near = p.join(q, key).where("at < other").join(box, key).groupBy(key, "n").agg(F.sum((d2 <= F.col("r2")).cast("long")).alias("u"))
+    return near.withColumn("score", F.round(2 * F.col("u") / (F.col("n") * (F.col("n") - 1)), 6))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotloom.operators import dea, embed, factors, labels, metrics, qc, raster, shape, spatial
-from spotloom.plans.catalog import _PB, _TOTALS, _also
+from spotloom.operators import dea, embed, factors, graph, labels, metrics, qc, raster, shape, spatial
+from spotloom.plans.catalog import _KNN, _PB, _TOTALS, _also
 from spotloom.plans.registry import Views, query
 from spotloom.sources import readers
 from spotloom.streaming import ingest
@@ -326,3 +327,105 @@ def decoded_pixels(v: Views):
 @query()
 def grid_gaps(v: Views):
     return v.spark.createDataFrame([(c, float(raster.grid_spacing(v.transcripts, c))) for c in ("x", "y")], "axis string, gap double")
+
+
+# --- components, nearest, models --------------------------------------------------------------------------------------
+
+_GRID = "grid AS (SELECT row, col, k1 % 3 AS label FROM (SELECT py // 100 AS row, px // 100 AS col, k1, row_number() OVER (PARTITION BY py // 100, px // 100 ORDER BY count(*) DESC, k1) AS r FROM pixels GROUP BY 1, 2, 3) WHERE r = 1)"
+
+
+def _grid(v: Views):
+    return raster.majority_raster(v.pixels, 100).withColumn("label", (F.col("label") - 1) % 3)
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE {_GRID}, reach(r0, c0, row, col, label) AS (SELECT row, col, row, col, label FROM grid UNION SELECT r0, c0, g.row, g.col, g.label FROM reach h JOIN grid g ON g.label = h.label AND abs(g.row - h.row) + abs(g.col - h.col) = 1)
+    SELECT row, col, label, min(r0 * 100000 + c0) AS component FROM reach GROUP BY 1, 2, 3)""",
+    ("pixels",),
+)
+def grid_segments(v: Views):
+    g = graph.grid_components(_grid(v))
+    return g.select("row", "col", "label", (F.col("component.row") * 100000 + F.col("component.col")).alias("component"))
+
+
+@query()
+def without_islands(v: Views):
+    return graph.relabel_islands(graph.grid_components(_grid(v)), 3)
+
+
+@query()
+def dissolved_regions(v: Views):
+    from spotloom.plans.catalog import _rings
+
+    parts = _rings(v).withColumn("label", F.lit("all")).withColumn("idx", F.row_number().over(Window.partitionBy("sample").orderBy("xs", "ys")))
+    return graph.dissolved(parts, 1.0).select("sample", "label", "idx", "group")
+
+
+@query(
+    "SELECT t.gene, t.x, t.y, round(sqrt(min((px - t.x) * (px - t.x) + (py - t.y) * (py - t.y))), 6) AS distance FROM (SELECT DISTINCT gene, x, y FROM transcripts WHERE gene = 'g10') t, (SELECT DISTINCT px, py FROM pixels WHERE k1 = 2) p GROUP BY 1, 2, 3",
+    ("transcripts", "pixels"),
+)
+def distance_to_factor(v: Views):
+    t = v.transcripts.where("gene = 'g10'").select("gene", "x", "y").distinct()
+    p = v.pixels.where("k1 = 2").select(F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("px").alias("at")).distinct()
+    return spatial.nearest(t, p, ["gene", "x", "y"], "at", 100.0, 3000.0).select("gene", "x", "y", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "SELECT x, y, d, n FROM (SELECT t.x, t.y, min((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y)) AS d, count(DISTINCT o.cell_id) AS n FROM (SELECT DISTINCT x, y FROM transcripts WHERE z = 1) t, octagons o GROUP BY 1, 2)",
+    ("transcripts", "octagons"),
+)
+def nearest_seed(v: Views):
+    t = v.transcripts.where("z = 1").select("x", "y").distinct()
+    seeds = v.octagons.select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("cell_id").alias("seed"))
+    n = v.octagons.select("cell_id").distinct().count()
+    out = spatial.nearest(t, seeds, ["x", "y"], "seed", 400.0, 3000.0)
+    return out.select("x", "y", F.round(F.col("distance") * F.col("distance")).cast("long").alias("d"), F.lit(n).cast("long").alias("n"))
+
+
+@query(f"SELECT k.src AS cell_id, e.gene, round(sum(e.count) / any_value(n.n), 6) AS mean FROM ({_KNN}) k JOIN expr e ON e.cell_id = k.dst JOIN (SELECT src, count(*) AS n FROM ({_KNN}) GROUP BY 1) n ON n.src = k.src GROUP BY 1, 2", ("cells", "expr"))
+def neighbour_means(v: Views):
+    edges = spatial.k_nearest(v.cells.select("cell_id", "sample", "x", "y"), 10, 60.0, ["sample"])
+    return spatial.neighbour_means(edges, v.expr)
+
+
+@query(
+    """SELECT cell_id, n, u::BIGINT AS u, round(2 * u / (n * (n - 1)), 6) AS score FROM (SELECT a.cell_id, any_value(b.n) AS n, sum(((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) <= b.r2)::INT) AS u FROM
+    (SELECT *, row_number() OVER () AS i FROM transcripts) a JOIN (SELECT *, row_number() OVER () AS i FROM transcripts) c ON a.cell_id = c.cell_id AND a.i < c.i
+    JOIN (SELECT cell_id, count(*) AS n, ((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) * 0.25 AS r2 FROM transcripts GROUP BY 1) b ON b.cell_id = a.cell_id GROUP BY 1)""",
+    ("transcripts",),
+)
+def pair_scores(v: Views):
+    return spatial.pair_scores(v.transcripts, 1.0)
+
+
+@query(
+    _also(
+        "SELECT sample, round(pow(2, avg(m)), 6) AS factor FROM (SELECT * FROM (SELECT *, quantile_cont(m, 0.3) OVER (PARTITION BY sample) AS lo, quantile_cont(m, 0.7) OVER (PARTITION BY sample) AS hi FROM ms)) WHERE m BETWEEN lo AND hi GROUP BY 1",
+        _PB + ", fs AS (SELECT sample, gene, count / sum(count) OVER (PARTITION BY sample) AS f FROM pb WHERE subset = 'all'), ms AS (SELECT a.sample, a.gene, round(log2(a.f / b.f), 9) AS m FROM fs a JOIN fs b ON b.gene = a.gene AND b.sample = 's0' WHERE a.f > 0 AND b.f > 0)",
+    ),
+    ("expr", "cells"),
+)
+def trimmed_factors(v: Views):
+    return dea.trimmed_factors(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), "s0")
+
+
+@query()
+def moderated_t(v: Views):
+    return dea.moderated_t(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), v.cells, "KO", "WT")
+
+
+@query()
+def negative_binomial(v: Views):
+    return dea.negative_binomial(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), v.cells, "KO", "WT")
+
+
+@query()
+def one_against_others(v: Views):
+    return dea.negative_binomial(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), v.cells, "KO", "WT", others=True)
+
+
+@query()
+def pseudobulk_components(v: Views):
+    pb = dea.pseudobulk(v.expr, v.cells).where("subset = 'all'").select(F.col("sample").alias("cell_id"), "gene", "count")
+    return embed.pca(pb, pb.select("cell_id").distinct().count(), 2)[0]
