@@ -79,4 +79,38 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_templates": op10_line_templates,
 }
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_REACH = """links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+
+ORACLES: dict[str, str] = {
+    "op5_source_mix": f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('17:' || doc_id) AS digest FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+        f AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM f),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM t),
+        r AS (SELECT d.*, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+            FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source),
+        g AS (SELECT source, CASE WHEN bool_and(upto <= rest) THEN 0 ELSE max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) END AS gap FROM r GROUP BY 1),
+        p AS (SELECT r.source, arg_min(digest, (abs(size - gap), digest)) AS filler FROM r JOIN g ON g.source IS NOT DISTINCT FROM r.source WHERE upto > rest AND rest > 0 AND abs(size - gap) < gap GROUP BY 1)
+        SELECT doc_id, size, source_size, target, (size * (whole + (rest > 0 AND (upto <= rest OR digest = coalesce(filler, '')))::INT))::BIGINT AS taken, (whole + (rest > 0 AND (upto <= rest OR digest = coalesce(filler, '')))::INT)::INT AS repeats
+        FROM r LEFT JOIN p ON p.source IS NOT DISTINCT FROM r.source""",
+    "op7_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        x AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        first AS (SELECT k, min(doc_id) AS least FROM x GROUP BY 1),
+        gone AS (SELECT DISTINCT x.doc_id, x.i + j AS pos FROM x JOIN first ON first.k = x.k AND first.least < x.doc_id, (SELECT unnest(range(13)) AS j)),
+        each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+        told AS (SELECT e.doc_id, count(*) AS n_words, count(g.pos) AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL), '') AS kept FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN told ON told.doc_id = d.doc_id""",
+    "op8_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+        x AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+        n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+        {_REACH}, c AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op9_embedding_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+        {_REACH}, c AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(c.component, vec_id) = vec_id AS kept FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id""",
+}
