@@ -100,7 +100,8 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     )
     marks = marks.select("a", "b", "m", "f1", "f2", F.explode(_blocks()).alias("x")).select("a", "b", "m", "f1", "f2", "x.block", "x.value")
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("i1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("i2")))
-    near = marks.join(of_items.drop("own", "mask"), ["block", "value"]).where(apart <= RADIUS)
+    # 5,576 rows for each item: never broadcast, though their source is small.
+    near = marks.join(of_items.drop("own", "mask").hint("merge"), ["block", "value"]).where(apart <= RADIUS)
     near = save(near.select("a", "b", "m", "item_id", "im").distinct(), "leak-near")
 
     both = near.join(_counted(contents, ["a", "b"]), ["a", "b"]).join(_counted(items, ["item_id"]).withColumnRenamed("c", "ic"), ["item_id", "h"])
