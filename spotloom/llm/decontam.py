@@ -119,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5
     Jaccard similarity of the k-word shingles, each counting as often as it occurs; from `percent` on it is a match.
     Windows and items get SimHash fingerprints of 128 bits; a multi-index of 8 blocks finds every pair at most 31 bits
     apart, and exact similarities decide. A pair of similarity 0.8 lies 19 bits apart on average, and beyond 31 about
-    twice in a thousand; at 0.85 once in a hundred thousand. Items of fewer than k words have one shingle, of all their words.
+    twice in a thousand; at 0.85 a few times in a hundred thousand. Items of fewer than k words have one shingle, of all their words.
 
     Returns doc_id, v (a digest of the text), start (first word), n_shingles, item_id, similarity. Items without words
     match nothing; null texts count as empty.
