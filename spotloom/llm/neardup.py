@@ -21,7 +21,7 @@ _FACTORS, _OFFSETS = _seeds[0] | np.uint64(1), _seeds[1]
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct k-word shingles of each row, ascending, and the first of each row.
+    """Hashes of the distinct k-word shingles of each row, alike in any chunk, and the first of each row.
 
     A-Z count as lower case; a row with fewer than k words has one shingle of all its words, without words it has none.
     """
@@ -32,16 +32,13 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     at, row = textcols.ranges(firsts[:-1], count)
     h = prefix.of(at, np.minimum(at + k, firsts[row + 1]))
-    bits = max(1, int(len(n) - 1).bit_length())
-    if len(n) > 1:  # as many bits of the hash as the row numbers leave
-        h = (row.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
-        h = np.unique(h)
-        row = (h >> np.uint64(64 - bits)).astype(np.int64)
-        h = textcols.mix(h & np.uint64((1 << (64 - bits)) - 1) if bits < 64 else h)
-    else:
-        h = textcols.mix(np.unique(h) >> np.uint64(bits))
-        row = np.zeros(len(h), np.int64)
-    return h, np.searchsorted(row, np.arange(len(n) + 1))
+    bounds = np.append(0, np.cumsum(count)).tolist()
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        h[i:j].sort()  # rows stand one after the other; all 64 bits stay, whatever the chunk
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[keep], row[keep]
+    return textcols.mix(h), np.searchsorted(row, np.arange(len(n) + 1))
 
 
 def exact_shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,21 @@ def test_near_duplicates(spark, docs, empty, tile):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_shingles_alike_in_any_chunk(spark):
+    fill = [f"other text number {i} of chunk with its own words w{i} x{i}" for i in range(2000)]
+    want = None
+    for rows in (1, 3, 100, 2000):
+        column = pa.array([*fill[: rows - 1], BASE + " " + BASE])
+        h, firsts = neardup.shingle_hashes(*textcols.utf8(column), 3)
+        assert np.diff(firsts).tolist() == [len(_shingles(t)) for t in column.to_pylist()]
+        last = h[firsts[-2] : firsts[-1]].tolist()
+        want = want or last
+        assert last == want
+    parts = [spark.createDataFrame([(n, BASE), *((10 * n + i, fill[10 * n + i]) for i in range(n - 1))], "doc_id long, text string").coalesce(1) for n in (1, 3, 100)]
+    found = neardup.near_duplicates(parts[0].unionByName(parts[1]).unionByName(parts[2])).where("doc_id in (1, 3, 100)")
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 3: 1, 100: 1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in links.components(spark.createDataFrame(chain, "a long, b long")).collect()}
