@@ -315,12 +315,19 @@ def repeated_words(docs: DataFrame, length: int = 13) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     hits = _hits(docs, "words", length, half, F.min(doc) < F.max(doc))
     contexts = save(
-        hits.groupBy("anchor", "run").agg(F.min(F.struct(doc.alias("d"), "doc_id", "at")).alias("rep"), F.max(doc).alias("last"), F.min("size").alias("size")), "repeats-runs"
+        hits.groupBy("anchor", "run").agg(
+            F.count("*").alias("c"), F.min(F.struct(doc.alias("d"), "doc_id", "at")).alias("rep"), F.max(doc).alias("last"), F.min("size").alias("size")
+        ),
+        "repeats-runs",
     )
     copied = save(contexts.where("rep.d < last").select("anchor", "run", F.col("rep.d").alias("least")), "repeats-copied")
     whole = hits.join(copied, ["anchor", "run"]).where(doc > F.col("least")).select("doc_id", _v(), _start(), _n())
     several = save(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeats-several")
-    open_runs = contexts.join(several, "anchor").select("anchor", "rep.doc_id", F.col("rep.at").alias("at"), "size").select("doc_id", _v(), "anchor", _start(), _n())
+    open_runs = contexts.join(several, "anchor").select("anchor", "rep.doc_id", F.col("rep.at").alias("at"), "size")
+    # A run's least document may hold it at more places than the representative's: `whole` settles none of them.
+    twice = save(contexts.where("c > 1").join(several, "anchor").select("anchor", "run", F.col("rep.d").alias("d"), F.col("rep.at").alias("first")), "repeats-twice")
+    places = hits.join(twice, ["anchor", "run"]).where((doc == F.col("d")) & (F.col("at") != F.col("first")))
+    open_runs = open_runs.unionByName(places.select("anchor", "doc_id", "at", "size").distinct()).select("doc_id", _v(), "anchor", _start(), _n())
 
     def extend(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prefix, firsts = _units(part, "words")

@@ -166,6 +166,13 @@ def test_repeated_words(docs, empty):
     assert repeats.remove_repeated_words(empty, length).count() == 0
 
 
+def test_repeated_words_at_all_places_of_a_document(spark):
+    a, b, p = (" ".join(f"{x}{i}" for i in range(15)) for x in "abp")
+    rows = [(1, f"{p} then something else"), (2, f"{a} {p} {b} {a} {p} {b}"), (2, f"{a} {p} {b} tail")]
+    got = repeats.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert {(r["doc_id"], r["n_removed"], r["kept"]) for r in got} == {(1, 0, rows[0][1]), (2, 30, f"{a} {b} {a} {b}"), (2, 15, f"{a} {b} tail")}
+
+
 def _shingles(t):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) or (frozenset([tuple(w)]) if w else frozenset())
