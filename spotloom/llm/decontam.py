@@ -74,14 +74,15 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     places = hits.groupBy("doc_id", "v", "n").agg(F.sort_array(F.collect_list("pos")).alias("at"))  # no longer than the document
     # For each item length m, windows that begin at such a place and hold as many as a similar one must; those between
     # two places hold no more than the one that begins at the next. Near the end, the last window of a document.
-    least = lambda m: F.ceil(m * (2.0 * percent / (100 + percent)) - F.lit(1e-9)).cast("int")
-    sized = places.withColumn("m", F.explode(F.array(*map(F.lit, sizes)))).where(F.size("at") >= F.least(least(F.col("m")), F.col("n") + 1))
+    # A document of n < m shingles is one window, of which (n + m) * percent / (100 + percent) suffice.
+    needed = F.ceil((F.least("m", "n") + F.col("m")) * (1.0 * percent / (100 + percent)) - F.lit(1e-9)).cast("int")
+    sized = places.withColumn("m", F.explode(F.array(*map(F.lit, sizes)))).where(F.size("at") >= needed)
     from_hit = F.filter(
         F.col("at"),
-        lambda p, i: (p + F.col("m") <= F.col("n")) & (F.coalesce(F.get("at", i + least(F.col("m")) - 1), F.col("n") + F.col("m")) < p + F.col("m")),
+        lambda p, i: (p + F.col("m") <= F.col("n")) & (F.coalesce(F.get("at", i + needed - 1), F.col("n") + F.col("m")) < p + F.col("m")),
     )
     tail = F.greatest(F.col("n") - F.col("m"), F.lit(0))
-    in_tail = F.size(F.filter("at", lambda p: p >= tail)) >= least(F.col("m"))
+    in_tail = F.size(F.filter("at", lambda p: p >= tail)) >= needed
     starts = F.array_distinct(F.concat(from_hit, F.when(in_tail, F.array(tail)).otherwise(F.array().cast("array<int>"))))
     windows = sized.select("doc_id", "v", F.explode(starts).alias("start"), F.least("m", "n").alias("len"))
     lists = save(windows.groupBy(F.col("doc_id").alias("of"), F.col("v").alias("ov")).agg(F.collect_set(F.struct("start", "len")).alias("w")), "leak-windows")

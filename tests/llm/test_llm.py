@@ -269,6 +269,16 @@ def test_decontamination(spark, docs, empty):
     assert decontam.report(empty, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_a_truncated_item(spark):
+    item = [f"b{i}" for i in range(16)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(1, " ".join(item[:14])), (2, " ".join(item[2:])), (3, " ".join(item[:13])), (4, "and " + " ".join(item[:13]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (list(r["items"]), r["similarity"]) for r in decontam.report(table, bench).collect()}
+    assert got == {1: ([1], 10 / 12), 2: ([1], 10 / 12), 3: ([], None), 4: ([], None)}
+    assert {r["doc_id"] for r in decontam.clean(table, bench).collect()} == {3, 4}
+
+
 def test_line_templates(spark, empty):
     rows = [(i, f"unique text number{i} of words{i}\nPage {i} of 200\nuser u{i} logged in from host h{i} at noon\n\nsame footer here") for i in range(12)]
     rows += [(50, None), (51, ""), (52, "same footer here"), (53, "some other line entirely\nsame footer there")]
