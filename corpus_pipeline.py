@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spotloom.llm import decontam, mixture, neardup, records, toxicity
 from spotloom.llm.shared import save
@@ -19,10 +20,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group whose 5-word shingles are 80 % alike; rows without doc_id stay."""
-    found = neardup.near_duplicates(docs, 80, 5)
-    kept = save(found.where("kept and doc_id is not null").select("doc_id").distinct(), "pipeline-kept")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The document with the least doc_id of each group whose 5-word shingles are 80 % alike; rows without doc_id stay.
+
+    Of rows with one doc_id and one text the one with the least other columns stays; other texts of that doc_id stay too.
+    """
+    found = neardup.near_duplicates(docs, 80, 5, with_digest=True).where("kept and doc_id is not null")
+    kept = save(found.select(F.col("doc_id").alias("__of"), F.col("v").alias("__ov")).distinct(), "pipeline-kept")
+    same = (F.col("doc_id").cast("long") == F.col("__of")) & (F.xxhash64("text") == F.col("__ov"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.join(kept.hint("merge"), same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("__o"))
+    once = once.select(*[c if c in ("doc_id", "text") else F.col(f"__o.{c}") for c in docs.columns])
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

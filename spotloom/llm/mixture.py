@@ -39,21 +39,15 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, levels: int = 2
-) -> DataFrame:
-    """How often the mix takes each document.
+def _digest(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id")))
 
-    Returns doc_id, size, source, source_size, target, repeats, taken (= size * repeats). A source's target is as many
-    whole epochs as fit, plus documents in the order of their seeded digest until the rest is reached, and
-    one more whose size comes nearest to what is then left. The cut is found by sums over 4096 ranges of the digest, `levels` times in
-    turn, so that only documents of one narrow range are ordered, however large a source is.
 
-    A null text has size 0; a null source is a source of its own; an empty table gives none. Repeated rows are
-    documents of their own; those of one doc_id share a digest and are ordered by size.
-    """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"))).alias("digest"))
+def _cuts(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, levels: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size and digest of docs; of each source (of): source_size, target, whole epochs, and the last and filling digest taken once more."""
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest(seed).alias("digest"))
     sized = save(sized, "mix-sizes")
     sources = save(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "mix-targets")
     sources = sources.select(
@@ -110,16 +104,36 @@ def mix(
         .agg(F.min(F.struct(miss.alias("miss"), "digest")).getField("digest").alias("filler"))
     )
     ends = save(begun.join(filler, F.col("of").eqNullSafe(F.col("at")), "left").drop("at", "gap"), "mix-ends")
-    extra = ((F.col("digest") <= F.col("last")) | (F.col("digest") == F.coalesce("filler", F.lit("")))).cast("int")
+    return sized, ends
+
+
+def _repeats(digest: Column) -> Column:
+    """How often a row joined to its source's cuts is taken."""
+    return F.col("whole") + ((digest <= F.col("last")) | (digest == F.coalesce("filler", F.lit("")))).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, levels: int = 2) -> DataFrame:
+    """How often the mix takes each document.
+
+    Returns doc_id, size, source, source_size, target, repeats, taken (= size * repeats). A source's target is as many
+    whole epochs as fit, plus documents in the order of their seeded digest until the rest is reached, and
+    one more whose size comes nearest to what is then left. The cut is found by sums over 4096 ranges of the digest, `levels` times in
+    turn, so that only documents of one narrow range are ordered, however large a source is.
+
+    A null text has size 0; a null source is a source of its own; an empty table gives none. Repeated rows are
+    documents of their own; those of one doc_id share a digest and are ordered by size.
+    """
+    sized, ends = _cuts(docs, weights, share, max_epochs, seed, levels)
     return (
         sized.join(ends, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("repeats", F.col("whole") + extra)
+        .withColumn("repeats", _repeats(F.col("digest")))
         .select("doc_id", "size", "source", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as mix() takes it (by doc_id, which is taken as a key)."""
-    repeats = mix(docs, **options).where(F.col("repeats") > 0).select(F.col("doc_id").alias("of"), "repeats")
-    joined = docs.join(save(repeats, "mix-repeats").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The documents of the mix, each row as often as mix() takes it: repeats are found on the row itself, not by doc_id."""
+    _, ends = _cuts(docs, seed=seed, **options)
+    row = docs.select(F.struct(*docs.columns).alias("row"), "source", _digest(seed).alias("digest"))
+    joined = row.join(ends, F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", _repeats(F.col("digest"))).where("repeats > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "repeats"))).select("row.*")

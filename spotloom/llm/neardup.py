@@ -86,7 +86,7 @@ def estimate(agree: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (distinct shingles), set_a, set_b (a fingerprint of the set), sketch (registers; null without shingles)."""
+    """doc_id, v (a digest of the text), n (distinct shingles), set_a, set_b (a fingerprint of the set), sketch (registers; null without shingles)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,6 +105,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part["doc_id"],
+                        "v": part["v"],
                         "n": pa.array(n),
                         "set_a": pa.array(a.view(np.int64)),
                         "set_b": pa.array(b.view(np.int64)),
@@ -112,7 +113,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n long, set_a long, set_b long, sketch binary")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("v"))
+    return keyed.mapInArrow(each, "doc_id long, v long, n long, set_a long, set_b long, sketch binary")
 
 
 def _close(threshold: float) -> object:
@@ -191,7 +193,7 @@ def _confirm(percent: int, k: int) -> object:
 _PAIR = "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile: int = 1024, group_tile: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile: int = 1024, group_tile: int = 128, with_digest: bool = False) -> DataFrame:
     """Components of documents whose sets of k-word shingles have 100 * intersection >= percent * union.
 
     1. Each document gets the HyperMinHash registers of its set. Documents with one set become one class, named by its
@@ -204,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile:
     A pair at 85 % misses all 24 bands once in 1.3 million. The work of step 3 grows with the square of the number of
     different texts in a group of near copies, never with exact copies.
 
-    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id); one row for each row
-    of docs. Documents without words are linked with nothing. Rows that share a doc_id are one document with several
+    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), and on request v (a
+    digest of the text); one row for each row of docs. Documents without words are linked with nothing. Rows that share a doc_id are one document with several
     texts. A row without doc_id takes no part: its component_id is null and kept is true.
     """
     sketched = save(sketch(docs, k), "near-sketches")
@@ -238,5 +240,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile:
 
     named = save(classes.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "rep").join(found, "rep", "left"), "near-named")
     here = sketched.join(named.hint("merge"), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
-    own = here.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    own = here.select("doc_id", *["v"] * with_digest, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from spotloom.llm import toxicity  # noqa: E402
+from spotloom.llm import mixture, toxicity  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -94,6 +94,24 @@ def test_stages(spark):
         start += len(t)
 
 
+def test_rows_without_a_key_of_their_own(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    one, two, far = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(5, one, "z"), (5, one, "y"), (5, two, "y"), (2, far, "x"), (7, far, "x"), (None, far, "x"), (None, "few words", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in stage["near_dedup"](spark, docs, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(5, one, "y"), (5, two, "y"), (2, far, "x"), (None, far, "x"), (None, "few words", "x")], key=str)
+    null = spark.createDataFrame([(None, f"text {i}", "a") for i in range(6)] + [(i // 2, f"word {i}", "b") for i in range(6)], docs.schema)
+    texts = collections.Counter(r["text"] for r in stage["source_mix"](spark, null, SMALL).collect())
+    want = collections.Counter()
+    for r in mixture.mix(null).collect():
+        want[r["doc_id"], r["source"]] += r["repeats"]
+    assert texts and max(texts.values()) <= 3
+    assert sum(n for t, n in texts.items() if t.startswith("text")) == want[None, "a"]
+    for d in range(3):
+        assert sum(texts[f"word {i}"] for i in (2 * d, 2 * d + 1)) == want[d, "b"]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.where(F.col("n_tokens") < 1).count() == 0 and out.count() > 100
