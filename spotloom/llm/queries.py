@@ -80,6 +80,7 @@ QUERIES = {
     "op10_line_templates": op10_line_templates,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
+_MASKED = r"regexp_replace(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')"
 _REACH = """links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
 ORACLES: dict[str, str] = {
@@ -96,6 +97,17 @@ ORACLES: dict[str, str] = {
         p AS (SELECT r.source, arg_min(digest, (abs(size - gap), digest)) AS filler FROM r JOIN g ON g.source IS NOT DISTINCT FROM r.source WHERE upto > rest AND rest > 0 AND abs(size - gap) < gap GROUP BY 1)
         SELECT doc_id, size, source_size, target, (size * (whole + (rest > 0 AND (upto <= rest OR digest = coalesce(filler, '')))::INT))::BIGINT AS taken, (whole + (rest > 0 AND (upto <= rest OR digest = coalesce(filler, '')))::INT)::INT AS repeats
         FROM r LEFT JOIN p ON p.source IS NOT DISTINCT FROM r.source""",
+    "op10_line_templates": f"""WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        each AS (SELECT rid, doc_id, text, pos, raw, {_MASKED} AS line FROM (SELECT rid, doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM rows)),
+        known AS (SELECT line, string_split(line, ' ') AS w, count(DISTINCT (doc_id, text)) AS docs FROM each WHERE line <> '' GROUP BY 1),
+        spread AS (SELECT line, docs, [len(w)::VARCHAR, w[1], w[2]] AS leaf, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM known WHERE len(w) > 2),
+        fixed AS (SELECT leaf, place, token FROM spread GROUP BY 1, 2, 3 HAVING sum(docs) >= 10),
+        shaped AS (SELECT s.line, list_prepend(array_to_string(any_value(s.leaf), chr(10)), list(CASE WHEN f.token IS NULL THEN '<*>' ELSE s.token END ORDER BY s.place)) AS template,
+            avg((f.token IS NOT NULL AND s.token <> '<*>')::INT::DOUBLE) AS share FROM spread s LEFT JOIN fixed f ON f.leaf = s.leaf AND f.place = s.place AND f.token = s.token GROUP BY 1),
+        named AS (SELECT k.line, coalesce(s.template, ['', k.line]) AS template FROM known k LEFT JOIN (SELECT * FROM shaped WHERE share >= 0.6) s ON s.line = k.line),
+        gone AS (SELECT line FROM named WHERE template IN (SELECT n.template FROM named n JOIN each e ON e.line = n.line GROUP BY 1 HAVING count(DISTINCT (e.doc_id, e.text)) >= 10))
+        SELECT any_value(e.doc_id) AS doc_id, count(*)::INT AS n_lines, count(g.line)::INT AS n_dropped, sha256(coalesce(string_agg(e.raw, chr(10) ORDER BY e.pos) FILTER (g.line IS NULL), '')) AS kept_sha256
+        FROM each e LEFT JOIN gone g ON g.line = e.line GROUP BY e.rid""",
     "op7_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
         x AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
         first AS (SELECT k, min(doc_id) AS least FROM x GROUP BY 1),
