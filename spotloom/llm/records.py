@@ -122,22 +122,26 @@ def unframe(raw: np.ndarray, offsets: np.ndarray, dtype: np.dtype) -> tuple[np.n
 
 
 _TAIL = b".,!?;:%&$*#|)"
+_IN_TAIL = np.zeros(256, bool)
+_IN_TAIL[list(_TAIL)] = True
+_ALNUM = np.array([chr(i).isascii() and chr(i).isalnum() for i in range(256)])
 
 
 class Encoder:
     """Encodes texts word by word: white space always separates tokens, so a word's ids do not depend on its neighbours.
 
-    For a tokenizer that lower-cases and splits letters and digits from punctuation, a word's stem, in lower case, and
-    the punctuation behind it are encoded apart, and stems of letters alone many at a time. Ids already seen by this Python worker come from dictionaries that are
-    emptied when they have grown to `keep` words and twice as many stems.
+    Words are found and hashed for a whole chunk at once; only its distinct words are looked up, and a look-up that
+    hashes alike is checked byte by byte. For a tokenizer that lower-cases and splits letters and digits from
+    punctuation, a word's stem, in lower case, and the punctuation behind it are looked up apart, and stems of letters
+    alone are encoded many at a time. What this Python worker has seen is forgotten when it has grown to `keep` words.
     """
 
     _kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.seen, self.stems = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -145,6 +149,12 @@ class Encoder:
         parts = {t: self.tokenizer.encode(f"stem{t}", add_special_tokens=False).ids for t in map(chr, _TAIL)}
         self.by_stem = probe[0] == probe[1] and all(parts[t] == probe[1] + own for t, own in zip(map(chr, _TAIL), probe[2:], strict=True))
         self.by_stem = self.by_stem and bool(self.ends.any())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # ascending; of each: its word among `spelled`, its ids among `pool`
+        self.words, self.spelled = np.zeros((0, 2), np.int64), np.zeros(0, np.uint8)
+        self.places, self.pool = np.zeros((0, 2), np.int64), np.zeros(0, self.dtype)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -152,52 +162,102 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        """Stem and tail whose ids make up those of the word."""
-        if not self.by_stem or b"<|" in word:
-            return word, b""
-        stem = word.rstrip(_TAIL)
-        if not stem[-1:].isalnum():
-            stem = word
-        tail = word[len(stem) :]
-        return (stem.lower() if stem.isascii() else stem), tail
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut = [self._cut(w) for w in words]
-        stems = self.stems
-        new = {x for pair in cut for x in pair if x not in stems}
-        texts = {x: x.decode() for x in new}
-        letters = [x for x in new if texts[x].isalpha()] if self.by_stem else []
+    def _parts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The bytes to look up, and the parts (start, end, word) of each word: its stem and, where there is one, its tail."""
+        if not self.by_stem or not len(starts):
+            return raw, starts, ends, np.arange(len(starts))
+        lower = textcols.lower_ascii(raw)
+        marks = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        special = np.unique(np.searchsorted(starts, marks, "right") - 1)  # words that may hold a special token stay as they are
+        for i in special[special >= 0].tolist():
+            lower[starts[i] : ends[i]] = raw[starts[i] : ends[i]]
+        # The last byte that is not of a tail, at or before each byte.
+        solid = np.maximum.accumulate(np.where(_IN_TAIL[raw], -1, np.arange(len(raw))))
+        cut = solid[ends - 1] + 1
+        whole = (cut <= starts) | ~_ALNUM[raw[np.maximum(cut, 1) - 1]]
+        whole[special[special >= 0]] = True
+        cut = np.where(whole, ends, cut)
+        n = 1 + (cut < ends)
+        first = np.cumsum(n) - n
+        word = np.repeat(np.arange(len(starts)), n)
+        a, b = starts[word], ends[word]
+        b[first] = cut
+        tail = first[n == 2] + 1
+        a[tail] = cut[n == 2]
+        return lower, a, b, word
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes."""
+        texts = [w.decode() for w in words]
+        out: list[bytes | None] = [None] * len(words)
+        letters = [i for i, t in enumerate(texts) if t.isalpha()] if self.by_stem else []
         for k in range(0, len(letters), 32 * 256):
             part = letters[k : k + 32 * 256]
             rows = [part[i : i + 256] for i in range(0, len(part), 256)]
-            joined = [" ".join([texts[x] for x in row]) for row in rows]
+            joined = [" ".join([texts[i] for i in row]) for row in rows]
             for row, e in zip(rows, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, self.dtype)
                 ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
                 if len(ends) == len(row):  # each word has one end, so these are the words' bounds
                     data, ends = ids.tobytes(), ends.tolist()
-                    stems.update((x, data[a:b]) for x, a, b in zip(row, [0, *ends], ends, strict=False))
-        rest = [x for x in new if x not in stems]
+                    for i, a, b in zip(row, [0, *ends], ends, strict=False):
+                        out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
         for k in range(0, len(rest), 10_000):
             part = rest[k : k + 10_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast([texts[x] for x in part], add_special_tokens=False), strict=True):
-                stems[x] = np.array(e.ids, self.dtype).tobytes()
-        self.seen.update((w, stems[a] + stems[b]) for w, (a, b) in zip(words, cut, strict=True))
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, self.dtype).tobytes()
+        return out
 
-    def ids(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Take up words whose hashes (ascending) are new."""
+        ids = self._encoded(words)
+        size = np.array([len(w) for w in words], np.int64)
+        n = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        at = np.searchsorted(self.hashes, hashes)
+        self.words = np.insert(self.words, at, np.column_stack([len(self.spelled) + np.cumsum(size) - size, size]), axis=0)
+        self.places = np.insert(self.places, at, np.column_stack([len(self.pool) + np.cumsum(n) - n, n]), axis=0)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(words), np.uint8)])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.dtype)])
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with end_id behind, and the first id of each."""
-        split = [(t or "").encode().split() for t in texts]  # of bytes: at ASCII white space only
-        if len(self.seen) > self.keep:
-            self.seen.clear()
-        if len(self.stems) > 2 * self.keep:
-            self.stems.clear()
-        self._learn(list(set().union(*split).difference(self.seen)))
-        end, get = b"" if end_id is None else np.array([end_id], self.dtype).tobytes(), self.seen.__getitem__
-        parts = [b"".join(map(get, ws)) + end for ws in split]
-        firsts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) // self.dtype.itemsize for p in parts], out=firsts[1:])
-        return np.frombuffer(b"".join(parts), self.dtype), firsts
+        starts, ends, firsts = textcols.words(raw, offsets)
+        raw, starts, ends, word = self._parts(raw, starts, ends)
+        firsts = np.searchsorted(word, firsts)
+        distinct, first, of = np.unique(textcols.PrefixHash(raw).of(starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > self.keep:
+            self._forget()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if new.any():
+            data = raw.tobytes()
+            self._learn(distinct[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        known = at[of]  # of each part its number among the known ones
+        size = ends - starts
+        alike = size == self.words[known, 1]
+        place, owner = textcols.ranges(starts[alike], size[alike])
+        same = raw[place] == self.spelled[place + np.repeat(self.words[known[alike], 0] - starts[alike], size[alike])]
+        wrong = np.flatnonzero(~alike).tolist() + np.flatnonzero(alike)[np.unique(owner[~same])].tolist()
+        begin, n, pool = self.places[known, 0], self.places[known, 1], self.pool
+        if wrong:  # another word has the hash: these are encoded one by one
+            data = raw.tobytes()
+            own = self._encoded([data[starts[i] : ends[i]] for i in wrong])
+            n[wrong] = [len(x) // self.dtype.itemsize for x in own]
+            begin[wrong] = len(pool) + np.cumsum(n[wrong]) - n[wrong]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(own), self.dtype)])
+        row = textcols.row_of(firsts)
+        ending = int(end_id is not None)
+        total = np.concatenate([[0], np.cumsum(n)])
+        bounds = total[firsts] + ending * np.arange(len(firsts))
+        out = np.full(int(bounds[-1]), end_id or 0, self.dtype)
+        source, owner = textcols.ranges(begin, n)
+        out[np.arange(len(source)) + ending * row[owner]] = pool[source]
+        return out, bounds
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
@@ -219,7 +279,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 if rec is None:
                     fs.create_dir(folder, recursive=True)
                     rec, idx = fs.open_output_stream(f"{folder}/{name}.rec"), fs.open_output_stream(f"{folder}/{name}.idx")
-                ids, firsts = encoder.ids(part["text"].to_pylist(), end_id)
+                ids, firsts = encoder.ids(*textcols.utf8(part["text"]), end_id)
                 raw, offsets = frame(ids, firsts)
                 entries = np.zeros(part.num_rows, INDEX)
                 entries["doc_id"] = part["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
