@@ -166,16 +166,19 @@ class Encoder:
         """The bytes to look up, and the parts (start, end, word) of each word: its stem and, where there is one, its tail."""
         if not self.by_stem or not len(starts):
             return raw, starts, ends, np.arange(len(starts))
-        lower = textcols.lower_ascii(raw)
         marks = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
-        special = np.unique(np.searchsorted(starts, marks, "right") - 1)  # words that may hold a special token stay as they are
-        for i in special[special >= 0].tolist():
-            lower[starts[i] : ends[i]] = raw[starts[i] : ends[i]]
+        special = np.zeros(len(starts), bool)  # words that may hold a special token stay as they are
+        special[np.unique(np.searchsorted(starts, marks, "right") - 1)] = len(marks) > 0
+        wide = np.concatenate([[0], np.cumsum(raw >= 128, dtype=np.int64)])
+        kept = np.flatnonzero(special | (wide[ends] > wide[starts]))  # lower case may compose otherwise beyond ASCII
+        lower = textcols.lower_ascii(raw)
+        at, _ = textcols.ranges(starts[kept], ends[kept] - starts[kept])
+        lower[at] = raw[at]
         # The last byte that is not of a tail, at or before each byte.
         solid = np.maximum.accumulate(np.where(_IN_TAIL[raw], -1, np.arange(len(raw))))
         cut = solid[ends - 1] + 1
         whole = (cut <= starts) | ~_ALNUM[raw[np.maximum(cut, 1) - 1]]
-        whole[special[special >= 0]] = True
+        whole |= special
         cut = np.where(whole, ends, cut)
         n = 1 + (cut < ends)
         first = np.cumsum(n) - n
