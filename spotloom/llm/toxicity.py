@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,7 +326,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = 4
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000) -> Network | float:
     """A network fitted on at most max_per_class labelled documents of each class that are not held out, chosen by a hash
-    of doc_id. Where one class is missing, the share of toxic rows (0 without labels)."""
+    of doc_id. One task fits it and returns the weights: no text comes to the driver. Where one class is missing, the
+    share of toxic rows (0 without labelled texts)."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -333,20 +335,28 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000) -> Netw
     by = F.xxhash64(F.lit("toxicity"), "doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(by, "doc_id").limit(max_per_class) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # twice max_per_class rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
-    toxic = rows["toxic"].to_numpy() == 1
-    if not toxic.any() or toxic.all():
-        return float(toxic.all())
-    weight = np.where(toxic, totals[1] / toxic.sum(), totals[0] / (~toxic).sum())
-    shuffled = np.random.default_rng(3).permutation(len(rows))
-    texts = rows["text"].fillna("").tolist()
-    return fit([texts[i] for i in shuffled], toxic[shuffled], weight[shuffled])
-
-
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """All columns of docs and score (0 to 1), from all overlapping windows of the whole text. A null text counts as
-    empty; each row is scored on its own, so ties and repeated rows get equal scores."""
-    columns = [c for c in docs.columns if c != "score"]
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long").alias("toxic"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema({"doc_id": pa.int64(), "text": pa.string(), "toxic": pa.int64()}))
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+        toxic = table["toxic"].to_numpy() == 1
+        if not toxic.any() or toxic.all():
+            model: Network | float = float(toxic.any())
+        else:
+            weight = np.where(toxic, totals[1] / toxic.sum(), totals[0] / (~toxic).sum())
+            shuffled = np.random.default_rng(3).permutation(len(toxic))
+            model = fit(table["text"].take(pa.array(shuffled)).to_pylist(), toxic[shuffled], weight[shuffled])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.select(F.col("doc_id").cast("long"), "text", "toxic").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else 0.0
+
+
+def score(docs: DataFrame, model: Network | float, name: str = "score") -> DataFrame:
+    """All columns of docs and `name` (0 to 1), from all overlapping windows of the whole text; a column of that name is
+    replaced. A null text counts as empty; each row is scored on its own, so ties and repeated rows get equal scores."""
+    columns = [c for c in docs.columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training rows
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +364,10 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
         for batch in batches:
             for part in textcols.chunks(batch):
                 s = np.full(part.num_rows, net) if isinstance(net, float) else net.scores(*textcols.utf8(part["text"]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.astype(np.float64))], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.astype(np.float64))], [*part.schema.names, name])
 
     plain = docs.select(*columns)
-    return plain.mapInArrow(each, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+    return plain.mapInArrow(each, StructType([*plain.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_per_class: int = 1000) -> DataFrame:
