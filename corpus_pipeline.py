@@ -16,7 +16,8 @@ TOKENIZER = "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, toxicity.train(docs, labels)).where(f"score < {TOXIC_FROM}").select(*docs.columns)
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, "__toxicity").where(f"__toxicity < {TOXIC_FROM}").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
