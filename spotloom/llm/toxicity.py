@@ -338,8 +338,10 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000) -> Netw
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long").alias("toxic"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema({"doc_id": pa.int64(), "text": pa.string(), "toxic": pa.int64()}))
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
         toxic = table["toxic"].to_numpy() == 1
         if not toxic.any() or toxic.all():
             model: Network | float = float(toxic.any())
