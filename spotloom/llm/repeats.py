@@ -2,8 +2,9 @@
 
 Both operators first cut each document into runs of windows that share an anchor (the least gram hash in the window).
 Equal windows have equal anchors, so only runs whose anchor occurs again can hold a repeated window. What a run covers
-is hashed as well: runs that are equal as a whole are settled by counting, and only one of each goes on to be compared
-window by window. All counting is pre-aggregated, so thousands of copies come down to one row for each map task.
+gets a BLAKE2b digest of 128 bits: runs that are equal as a whole are settled by counting, and only one of each goes on
+to be compared window by window. All counting is pre-aggregated, so thousands of copies come down to one row for each
+chunk of text.
 
 Documents are told apart by doc_id and a digest of their text, so rows that share a doc_id do no harm.
 """
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from spotloom.llm import suffixes, textcols
 from spotloom.llm.shared import drop_saved, save
 
-_RUNS = "anchor long, run long, doc_id long, at long, size long"
 _START_BITS, _PLACE_BITS = 39, 16
-#: More different runs than this with one anchor (some 6 MB of text) are not compared in one task.
-HOT_RUNS = 16384
+_NONE = (1 << 63) - 1  # stands for a null doc_id, which is larger than any other
+#: Anchors with more different runs than this are split by what surrounds them before they are sorted.
+HOT_RUNS = 1024
+#: Windows of a split anchor stay together when they start within so many bytes.
+_PIECE = 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -40,26 +43,78 @@ def _units(part: pa.RecordBatch, unit: str) -> tuple[textcols.PrefixHash, np.nda
     return textcols.PrefixHash(textcols.PrefixHash(raw).of(starts, ends)), firsts
 
 
-def _runs(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
-    """Runs of windows: anchor, run (hashes), doc_id, at (v and first window), size (number of windows, anchor's place)."""
+def _anchors(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
+    """anchor, n (places), least and most (doc_id, null as _NONE): one row for each chunk of text that an anchor occurs in."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textcols.chunks(batch):
-                prefix, offsets = _units(part, unit)
-                anchor, run, first, count, place, row = textcols.anchors(prefix, offsets, window, gram)
+                anchor, *_, row = textcols.anchors(*_units(part, unit), window, gram)
+                doc = part["doc_id"].fill_null(_NONE).to_numpy(zero_copy_only=False)[row]
+                order = np.argsort(anchor)
+                anchor, doc = anchor[order], doc[order]
+                first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "anchor": pa.array(anchor[first].view(np.int64)),
+                        "n": pa.array(np.diff(np.append(first, len(anchor)))),
+                        "least": pa.array(np.minimum.reduceat(doc, first) if len(first) else doc),
+                        "most": pa.array(np.maximum.reduceat(doc, first) if len(first) else doc),
+                    }
+                )
+
+    return docs.mapInArrow(cut, "anchor long, n long, least long, most long")
+
+
+def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of ranges of bytes, as two integers each."""
+    data, blake = memoryview(raw.tobytes()), hashlib.blake2b
+    joined = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
+def _runs(docs: DataFrame, unit: str, window: int, gram: int, double: bool = False) -> DataFrame:
+    """Runs of windows: anchor, run and again (digest), doc_id, at (v and first window), size (number of windows, anchor's place).
+
+    With `double`, a run has only windows that hold one and the same gram of twice the length around the anchor, and half
+    is its hash: the gram goes on to the right of the anchor where every such window has room for that, else to the left.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textcols.chunks(batch):
+                raw, offsets = textcols.utf8(part["text"])
+                begin, end = np.arange(len(raw)), np.arange(1, len(raw) + 1)
+                prefix = textcols.PrefixHash(raw)
+                if unit == "words":
+                    begin, end, offsets = textcols.words(raw, offsets)
+                    prefix = textcols.PrefixHash(prefix.of(begin, end))
+                anchor, first, count, place, row = textcols.anchors(prefix, offsets, window, gram)
+                cols = {}
+                if double:
+                    leftward = np.clip(place - (window - 2 * gram), 0, count)  # windows with too little room on the right come first
+                    both = np.column_stack([leftward, count - leftward]).ravel()
+                    left = np.tile([True, False], len(count))[both > 0]
+                    two = lambda x: np.repeat(x, 2)[both > 0]
+                    shift = two(leftward) * ~left
+                    anchor, row, first, place, count = two(anchor), two(row), two(first) + shift, two(place) - shift, both[both > 0]
+                    at = first + place - gram * left
+                    cols["half"] = pa.array(prefix.of(at, at + 2 * gram).view(np.int64))
+                digest = _digests(raw, begin[first], end[first + count + window - 2]) if len(first) else np.zeros((0, 2), np.int64)
                 v = part["v"].to_numpy()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "anchor": pa.array(anchor.view(np.int64)),
-                        "run": pa.array(run.view(np.int64)),
+                        **cols,
+                        "run": pa.array(digest[:, 0]),
+                        "again": pa.array(digest[:, 1]),
                         "doc_id": part["doc_id"].take(pa.array(row)),
                         "at": pa.array((v[row] << _START_BITS) | (first - offsets[row])),
                         "size": pa.array((count << _PLACE_BITS) | place),
                     }
                 )
 
-    return docs.mapInArrow(cut, _RUNS)
+    return docs.mapInArrow(cut, f"anchor long, {'half long, ' * double}run long, again long, doc_id long, at long, size long")
 
 
 def _v() -> Column:
@@ -122,11 +177,11 @@ def _covered(n_units: int, offsets: np.ndarray, part: pa.RecordBatch, window: in
     return np.cumsum(depth[:-1]) > 0
 
 
-def _hits(docs: DataFrame, unit: str, window: int, gram: int, again: Column) -> DataFrame:
-    """Runs whose anchor occurs again (`again`: an aggregate over the runs of one anchor)."""
-    anchors = _runs(docs, unit, window, gram).groupBy("anchor").agg(again.alias("again")).where("again").select("anchor")
-    anchors = save(anchors, "repeats-anchors")
-    hits = save(_runs(docs, unit, window, gram).join(anchors, "anchor"), "repeats-hits")
+def _hits(docs: DataFrame, unit: str, window: int, gram: int, again: str, double: bool = False) -> DataFrame:
+    """Runs whose anchor occurs again (`again`: a condition on n, least and most of an anchor)."""
+    anchors = _anchors(docs, unit, window, gram).groupBy("anchor").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    anchors = save(anchors.where(again).select("anchor"), "repeats-anchors")
+    hits = save(_runs(docs, unit, window, gram, double).join(anchors, "anchor"), "repeats-hits")
     drop_saved(anchors)
     return hits
 
@@ -138,21 +193,46 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int
     """Per document the ranges (start, n) of starts of `length`-byte strings that start anywhere else as well.
 
     Runs with one anchor are compared by suffix sorting in one task: polynomial prefix hashes and binary search give
-    common extensions, merge sort orders the suffixes, equal neighbours are checked byte by byte. Anchors with more than
-    `hot` different runs are not brought together: their windows are counted by hash and settled by that.
+    common extensions, merge sort orders the suffixes, equal neighbours are checked byte by byte. The runs of an anchor
+    with more than `hot` different ones are first split into pieces, by how far their windows start before the anchor
+    and by all bytes that such windows share; equal windows fall into one piece's group, and each group is sorted alike.
 
     Returns of, ov (doc_id and digest of the text), ranges. Strings never cross documents; null texts have no bytes;
     repeated rows are documents of their own and hence repeat each other.
     """
-    hits = _hits(docs, "bytes", length, gram, F.count("*") > 1)
-    contexts = save(
-        hits.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("rep"), F.min("size").alias("size")), "repeats-runs"
-    )
-    copied = save(contexts.where("c > 1").select("run", "anchor"), "repeats-copied")
-    whole = hits.join(copied, ["anchor", "run"]).select("doc_id", _v(), _start(), _n())
+    hits = _hits(docs, "bytes", length, gram, "n > 1")
+    same = ["anchor", "run", "again"]
+    contexts = save(hits.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("rep"), F.min("size").alias("size")), "repeats-runs")
+    copied = save(contexts.where("c > 1").select(*same), "repeats-copied")
+    whole = hits.join(copied, same).select("doc_id", _v(), _start(), _n())
     several = save(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "repeats-several")
     open_runs = contexts.join(several, "anchor").select("anchor", "k", "c", "rep.doc_id", F.col("rep.at").alias("at"), "size")
-    open_runs = open_runs.select("doc_id", _v(), "anchor", "k", "c", _start(), "size")
+    open_runs = save(open_runs.select("doc_id", _v(), "anchor", "k", "c", _start(), "size"), "repeats-unsettled")
+
+    def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw, offsets = textcols.utf8(part["text"])
+        row, e = _list_of(part)
+        start, size = e.field("start").to_numpy(), e.field("size").to_numpy()
+        number, owner = textcols.ranges(np.zeros(len(size), np.int64), size >> _PLACE_BITS)
+        place = (size & ((1 << _PLACE_BITS) - 1))[owner] - number
+        zone = place // _PIECE
+        first = np.flatnonzero(np.r_[True, (zone[1:] != zone[:-1]) | (owner[1:] != owner[:-1])])
+        count = np.diff(np.append(first, len(zone)))
+        owner, number, place, zone = owner[first], number[first], place[first], zone[first]
+        core = start[owner] + number + place - _PIECE * zone + offsets[row[owner]]  # all windows of a zone hold these bytes
+        anchor = e.field("anchor").to_numpy()[owner].view(np.uint64)
+        key = textcols.mix(textcols.PrefixHash(raw).of(core, core + length - _PIECE + 1) + anchor * np.uint64(_PIECE * 2 + 1) + zone.astype(np.uint64))
+        rows = pa.array(row[owner])
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": part["doc_id"].take(rows),
+                "v": part["v"].take(rows),
+                "anchor": pa.array(key.view(np.int64)),
+                "c": e.field("c").take(pa.array(owner)),
+                "start": pa.array(start[owner] + number),
+                "size": pa.array((count << _PLACE_BITS) | place),
+            }
+        )
 
     def contents(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = textcols.utf8(part["text"])
@@ -165,13 +245,15 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int
         content = pa.Array.from_buffers(pa.binary(), len(span), [None, pa.py_buffer(bounds), pa.py_buffer(raw[at])])
         rows = pa.array(row)
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": part["doc_id"].take(rows), "v": part["v"].take(rows), **{c: e.field(c) for c in ("anchor", "k", "c", "start", "size")}, "content": content}
+            {"doc_id": part["doc_id"].take(rows), "v": part["v"].take(rows), **{c: e.field(c) for c in ("anchor", "c", "start", "size")}, "content": content}
         )
 
-    schema = "doc_id long, v long, anchor long, k long, c long, start long, size long, content binary"
-    cut = save(_cut_out(docs, open_runs, contents, schema), "repeats-contents")
-    found = whole.unionByName(_sorted_out(cut.where(F.col("k") <= hot), length)).unionByName(_counted_out(cut.where(F.col("k") > hot), length))
-    return _ranges_by_doc(found, "repeats-ranges")
+    schema = "doc_id long, v long, anchor long, c long, start long, size long"
+    split = save(_cut_out(docs, open_runs.where(F.col("k") > hot), pieces, schema), "repeats-pieces")
+    met = split.join(save(split.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeats-met"), "anchor", "left_semi")
+    to_sort = open_runs.where(F.col("k") <= hot).drop("k").unionByName(met)
+    cut = save(_cut_out(docs, to_sort, contents, schema + ", content binary"), "repeats-contents")
+    return _ranges_by_doc(whole.unionByName(_sorted_out(cut, length)), "repeats-ranges")
 
 
 def _runs_of(hit: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,31 +322,6 @@ def _sorted_out(cut: DataFrame, length: int, chunk: int = 2 << 20) -> DataFrame:
     return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(each, _FOUND)
 
 
-def _counted_out(cut: DataFrame, length: int) -> DataFrame:
-    """The same by counting window hashes, for anchors with very many different runs."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw, at, row, number = _windows(batch)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "anchor": batch["anchor"].take(rows),
-                    "hash": pa.array(textcols.PrefixHash(raw).of(at, at + length).view(np.int64)),
-                    "doc_id": batch["doc_id"].take(rows),
-                    "v": batch["v"].take(rows),
-                    "c": batch["c"].take(rows),
-                    "start": pa.array(batch["start"].to_numpy()[row] + number),
-                }
-            )
-
-    each = save(cut.mapInArrow(hashes, "anchor long, hash long, doc_id long, v long, c long, start long"), "repeats-windows")
-    again = save(each.groupBy("anchor", "hash").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "hash"), "repeats-again")
-    return each.where("c = 1").join(again, ["anchor", "hash"]).select("doc_id", "v", "start", F.lit(1).cast("long").alias("n"))
-
-
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int = HOT_RUNS, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that starts anywhere else as well.
 
@@ -307,26 +364,34 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, ho
 def repeated_words(docs: DataFrame, length: int = 13) -> DataFrame:
     """Per document the ranges (start, n) of windows of `length` words that also start in a document with a smaller doc_id.
 
-    Level-wise doubling: windows of half the length are counted first, at anchors that every window of the full length
-    holds one of; only those that occur in several documents are extended to the full length, which joins two halves
-    that share a word. A null doc_id is larger than any other.
+    Level-wise doubling: sequences of a quarter of the length are looked for first (4 words of 13), at anchors that every
+    full window holds one of. Those that occur in several documents are extended to twice that length (8 words), those
+    that still do to the full length, which joins overlapping halves; the result depends on no longer level. Each level
+    sees only what the level before left. A null doc_id is larger than any other.
     """
-    half = length // 2 + 1
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    hits = _hits(docs, "words", length, half, F.min(doc) < F.max(doc))
+    base = -(-length // 4)
+    doc = F.coalesce("doc_id", F.lit(_NONE))
+    double = 2 * base < length
+    hits = _hits(docs, "words", length, base, "least < most", double)
+    if double:
+        halves = save(hits.groupBy("half").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).where("least < most").select("half"), "repeats-halves")
+        longer = save(hits.drop("anchor").join(halves, "half").withColumnRenamed("half", "anchor"), "repeats-doubled")
+        drop_saved(hits, halves)
+        hits = longer
+    same = ["anchor", "run", "again"]
     contexts = save(
-        hits.groupBy("anchor", "run").agg(
+        hits.groupBy(*same).agg(
             F.count("*").alias("c"), F.min(F.struct(doc.alias("d"), "doc_id", "at")).alias("rep"), F.max(doc).alias("last"), F.min("size").alias("size")
         ),
         "repeats-runs",
     )
-    copied = save(contexts.where("rep.d < last").select("anchor", "run", F.col("rep.d").alias("least")), "repeats-copied")
-    whole = hits.join(copied, ["anchor", "run"]).where(doc > F.col("least")).select("doc_id", _v(), _start(), _n())
+    copied = save(contexts.where("rep.d < last").select(*same, F.col("rep.d").alias("least")), "repeats-copied")
+    whole = hits.join(copied, same).where(doc > F.col("least")).select("doc_id", _v(), _start(), _n())
     several = save(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeats-several")
     open_runs = contexts.join(several, "anchor").select("anchor", "rep.doc_id", F.col("rep.at").alias("at"), "size")
     # A run's least document may hold it at more places than the representative's: `whole` settles none of them.
-    twice = save(contexts.where("c > 1").join(several, "anchor").select("anchor", "run", F.col("rep.d").alias("d"), F.col("rep.at").alias("first")), "repeats-twice")
-    places = hits.join(twice, ["anchor", "run"]).where((doc == F.col("d")) & (F.col("at") != F.col("first")))
+    twice = save(contexts.where("c > 1").join(several, "anchor").select(*same, F.col("rep.d").alias("d"), F.col("rep.at").alias("first")), "repeats-twice")
+    places = hits.join(twice, same).where((doc == F.col("d")) & (F.col("at") != F.col("first")))
     open_runs = open_runs.unionByName(places.select("anchor", "doc_id", "at", "size").distinct()).select("doc_id", _v(), "anchor", _start(), _n())
 
     def extend(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

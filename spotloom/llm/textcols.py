@@ -139,20 +139,19 @@ def sliding_argmin(hashes: np.ndarray, w: int) -> np.ndarray:
 def anchors(prefix: PrefixHash, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share their anchor, the least of the grams in a window.
 
-    Equal windows have equal anchors at equal places. Returns for each run: hash of the anchor, hash of all that the
-    run's windows cover, first window, number of windows, place of the anchor in the first window, row. Windows lie
-    within rows (offsets).
+    Equal windows have equal anchors at equal places. Returns for each run: hash of the anchor, first window, number of
+    windows, place of the anchor in the first window, row. Windows lie within rows (offsets).
     """
     at = sliding_argmin(prefix.windows(gram), window - gram + 1)
     sizes = np.maximum(np.diff(offsets) - window + 1, 0)
     starts, row = ranges(offsets[:-1], sizes)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z, z
+        return z.astype(np.uint64), z, z, z, z
     at = at[starts]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     s0, p = starts[first], at[first]
-    return prefix.of(p, p + gram), prefix.of(s0, s0 + count + window - 1), s0, count, p - s0, row[first]
+    return prefix.of(p, p + gram), s0, count, p - s0, row[first]

@@ -128,7 +128,7 @@ def test_mix(docs, empty):
     assert mixture.mixed_documents(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("hot", [1, 16384])
+@pytest.mark.parametrize("hot", [1, 1024])
 def test_repeated_bytes(docs, empty, hot):
     length = 40
     texts = [(t or "").encode() for _, t, _ in ROWS]
