@@ -292,28 +292,70 @@ def test_line_templates(spark, empty):
     assert templates.drop_recurring_lines(empty).count() == 0
 
 
-def test_lm_scores(spark, docs, empty):
-    target = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
-    got = lmscore.cross_entropy_difference(docs, target).collect()
-    assert len(got) == len(ROWS)
-    by = {r["doc_id"]: r for r in got}
-    assert by[1]["difference"] < by[10]["difference"] and by[3]["difference"] is None and by[1]["n_tokens"] == len(BASE)
-    c = collections.Counter()
-    for d, t, _ in ROWS:
-        b = b"\0\0" + (t or "").encode()
-        c.update((b[i - 2] << 16) | (b[i - 1] << 8) | b[i] for i in range(2, len(b)))
-    counted = {r["gram"]: r["n"] for r in lmscore.gram_counts(docs, target).collect()}
-    assert counted == dict(c)
-    grams = np.array(sorted(c))
-    model = lmscore.Model(grams, np.array([c[g] for g in grams.tolist()]))
-    context = 32 * 65536 + 116 * 256  # " t": the distribution behind it sums to 1
-    p = model.tri_rest[context // 256] * model.bi[(context % 65536) + np.arange(256)]
-    on = (grams // 256) == context // 256
-    p[grams[on] % 256] = model.tri[on]
-    assert abs(p.sum() - 1) < 1e-9
+def _lm_brute(rows, target):
+    """Losses by definition: counts of all other texts, one word after the other."""
+    numbered = []
+    for d, t in rows:
+        n, _ = lmscore.word_numbers(*textcols.utf8(pa.array([t], pa.string())))
+        numbered.append((d, n.tolist()))
+    out = []
+    for i, (d, w) in enumerate(numbered):
+        means = []
+        for inside in (lambda k: k in target and k is not None, lambda k: True):
+            pairs, contexts, singles = collections.Counter(), collections.Counter(), collections.Counter()
+            for j, (e, x) in enumerate(numbered):
+                if j != i and inside(e):
+                    pairs.update(zip([0, *x], x))
+                    contexts.update([0, *x][: len(x)])
+                    singles.update(x)
+            kinds = collections.Counter(u for u, _ in pairs)
+            total = 0.0
+            for u, x in zip([0, *w], w):
+                p = (singles[x] + 1) / (sum(singles.values()) + lmscore.VOCABULARY - 1)
+                if contexts[u]:
+                    p = (pairs[u, x] + kinds[u] * p) / (contexts[u] + kinds[u])
+                total -= np.log2(p)
+            means.append(total / len(w) if w else None)
+        out.append((d, len(w), *means))
+    return out
+
+
+def test_lm_scores(spark, docs, empty, monkeypatch):
+    target = spark.createDataFrame([(1,), (1,), (9,), (None,)], "doc_id long")
+    want = sorted(_lm_brute([(d, t) for d, t, _ in ROWS], {1, 9}), key=str)
+    for chunk, ranges in ((1 << 21, 1 << 21), (5, 3)):
+        monkeypatch.setattr(lmscore, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(lmscore, "RANGE_WORDS", ranges)
+        got = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in lmscore.cross_entropy_difference(docs.repartition(3), target).collect()), key=str)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[:2] == b[:2] and all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:])), (a, b)
+    none = lmscore.cross_entropy_difference(docs, target.limit(0)).where("n_tokens > 0").collect()
+    assert all(abs(r["target_loss"] - np.log2(lmscore.VOCABULARY - 1)) < 1e-9 for r in none)
     assert lmscore.cross_entropy_difference(empty, target).count() == 0
 
 
+def test_lm_probabilities_sum_to_one():
+    words, sizes = np.array([5, 9, 5, 9, 7, 5, 9], np.uint16), np.array([5, 2])
+    pairs = lmscore._spread_pairs(words, sizes)
+    known, n = np.unique(pairs, return_counts=True)
+    key = (known * lmscore._GATHER).astype(np.int64)
+    totals = np.zeros((lmscore.VOCABULARY, 6), np.int64)
+    for u, w, c in zip((key // lmscore.VOCABULARY).tolist(), (key % lmscore.VOCABULARY).tolist(), n.tolist()):
+        totals[u, 0] += c
+        totals[u, 1] += 1
+        totals[w, 2] += c
+    # A third text "5 x" for every word x, of which only the first two are counted.
+    every = np.arange(1, lmscore.VOCABULARY)
+    probe = np.concatenate([words, np.column_stack([np.full(len(every), 5), every]).ravel().astype(np.uint16)])
+    count = dict(zip(known.tolist(), n.tolist()))
+    asked = np.unique(lmscore._spread_pairs(probe, np.array([5, 2, *[2] * len(every)])))
+    stats = np.hstack([totals[:, :3], totals[:, :3]])
+    counts = np.array([count.get(k, 0) for k in asked.tolist()])
+    loss, _ = lmscore.losses(probe, np.array([5, 2, *[2] * len(every)]), np.zeros(2 + len(every), bool), counts, counts, stats)
+    assert abs((2.0 ** -loss[len(words) + 1 :: 2]).sum() - 1) < 1e-9
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(11)
     rows = []
