@@ -40,7 +40,8 @@ def _recurring(lines: DataFrame, min_docs: int, depth: int, min_fixed: float) ->
     leaves = known.where(F.col("size") > depth).groupBy("leaf").agg(F.count("*").alias("members"), F.sum("docs").alias("all"))
     leaves = save(leaves.where((F.col("members") > 1) & (F.col("all") >= min_docs)).select("leaf"), "lines-leaves")
     wanted = save(known.where(F.col("size") > depth).join(leaves, "leaf").select("key", "leaf", "docs"), "lines-wanted")
-    texts = lines.select("key", "line").join(wanted.select("key"), "key", "left_semi").distinct()
+    # Tables of keys grow with the corpus: the lines meet them by a merge at every size.
+    texts = lines.select("key", "line").join(wanted.select("key").hint("merge"), "key", "left_semi").distinct()
     open_rows = save(texts.join(wanted, "key").select("key", "leaf", "docs", F.split("line", " ").alias("tokens")), "lines-open")
     spread = open_rows.select("key", "leaf", "docs", F.posexplode("tokens").alias("pos", "token"))
     fixed = save(spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n"), "lines-fixed")
@@ -60,7 +61,7 @@ def _recurring(lines: DataFrame, min_docs: int, depth: int, min_fixed: float) ->
     several = save(several.where(F.col("all") >= min_docs), "lines-several")
     strong = several.where(F.col("most") >= min_docs).select("template", F.col("most").alias("docs"))
     asked = save(shaped.join(several.where(F.col("most") < min_docs), "template").select("key", "template"), "lines-asked")
-    met = lines.select("key", "doc_id", "v").join(asked, "key").select("template", "doc_id", "v").distinct()
+    met = lines.select("key", "doc_id", "v").join(asked.hint("merge"), "key").select("template", "doc_id", "v").distinct()
     counted = met.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     by_template = shaped.select("key", "template").join(save(strong.unionByName(counted), "lines-counted"), "template").select("key", "docs")
     alone = known.where(F.col("docs") >= min_docs).select("key", "docs")
@@ -90,10 +91,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 2, mi
     """
     masked_lines = _lines(docs, depth)
     gone = _recurring(masked_lines, min_docs, depth, min_fixed).select("key")
-    hit = masked_lines.select("doc_id", "v", "pos", "key").join(gone, "key")
+    hit = masked_lines.select("doc_id", "v", "pos", "key").join(gone.hint("merge"), "key")
     lists = save(hit.groupBy(F.col("doc_id").alias("of"), F.col("v").alias("ov")).agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "lines-dropped")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("v"))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
+    joined = rows.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), "left")
     text = F.coalesce("text", F.lit(""))
     # The lines between two that go, as slices: the work grows with the lines, not with lines times those that go.
     none = F.array().cast("array<int>")
