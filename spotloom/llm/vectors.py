@@ -86,25 +86,70 @@ def _pairs_above(a: np.ndarray, b: np.ndarray, xa: np.ndarray, xb: np.ndarray, t
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def _dealt(axes: np.ndarray, width: float, reach: float, count: int) -> object:
+    """A mapInArrow function that deals vectors (rep, c, dim, v) to cells of the leading `count` axes: dim, cell, upper, rep, c, v.
+
+    Each vector is in its own cell, and a visitor (upper) in every later cell, in the order of their numbers, that lies no
+    farther than `reach` from it. Two vectors no farther apart meet once: in their own cell, or in that of the later one.
+    """
+    radix = int(2 / width) + 3
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, gap, cell, later = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        for k in range(min(count, x.shape[1])):
+            at = x[row, k] + 1
+            own = np.floor(at / width)
+            parts = []
+            for step, near in ((0, np.zeros(len(at))), (-1, at - own * width), (1, (own + 1) * width - at)):
+                on = np.flatnonzero((gap + near * near <= reach * reach) & (later if step < 0 else True))
+                parts.append((row[on], gap[on] + near[on] ** 2, cell[on] * radix + own[on].astype(np.int64) + 1 + step, later[on] | (step > 0)))
+            row, gap, cell, later = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return row, cell, later
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                dims = part["dim"].to_numpy()
+                for dim in np.unique(dims).tolist():
+                    some = part.take(pa.array(np.flatnonzero(dims == dim)))
+                    u = _unit(_matrix(some["v"]))
+                    row, cell, later = places(u @ axes if dim == len(axes) else u)
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "dim": some["dim"].take(rows),
+                            "cell": pa.array(cell),
+                            "upper": pa.array(later),
+                            "rep": some["rep"].take(rows),
+                            "c": some["c"].take(rows),
+                            "v": some["v"].take(rows),
+                        }
+                    )
+
+    return each
+
+
 def _compare(axes: np.ndarray, threshold: float, lead: int) -> object:
-    """A kernel for rows cell, ta, tb, tile, upper, rep, c, v -> for each vector with links: rep, links, a vector it is connected with."""
+    """A kernel for rows dim, cell, ta, tb, tile, upper, rep, c, v -> for each vector with links: rep, links, a vector it is connected with."""
 
     def settle(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
         out: list[tuple[np.ndarray, ...]] = []
         rep, c = batch["rep"].to_numpy(), batch["c"].to_numpy()
         tile, ta = batch["tile"].to_numpy(), batch["ta"].to_numpy()
         tb, upper = batch["tb"].to_numpy(), batch["upper"].to_numpy(zero_copy_only=False)
-        given = _matrix(batch["v"])
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            x = given[lo:hi]
-            u = _unit(x) @ axes
+            x = _matrix(batch["v"].slice(lo, hi - lo))
+            u = _unit(x)
+            if u.shape[1] == len(axes):
+                u = u @ axes
             left = np.flatnonzero(tile[lo:hi] == ta[lo])
             right = np.flatnonzero(tile[lo:hi] == tb[lo])
             if not len(left) or not len(right):
                 continue
             i, j = _pairs_above(u[left], u[right], x[left], x[right], threshold, lead)
             i, j = left[i], right[j]
-            # Two vectors of the upper cell meet in that cell's own group; a pair within one tile counts once.
+            # Two visitors meet elsewhere; a pair within one tile counts once.
             on = ~(upper[lo + i] & upper[lo + j]) & ((i < j) if ta[lo] == tb[lo] else True)
             i, j = i[on], j[on]
             links = np.zeros(hi - lo, np.int64)
@@ -125,42 +170,41 @@ def _compare(axes: np.ndarray, threshold: float, lead: int) -> object:
         cols = [np.concatenate(x) for x in zip(*out, (z, z, z), strict=False)] if out else [z, z, z]
         return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in zip(("rep", "links", "root"), cols, strict=True)})
 
-    return by_group(["cell", "ta", "tb"], settle, chunk=1)
+    return by_group(["dim", "cell", "ta", "tb"], settle, chunk=1)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 16, per_tile: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, lead: int = 16, per_tile: int = 16384) -> DataFrame:
     """Links between vectors with cosine >= threshold, in double precision, and their components.
 
-    Identical vectors form one class and are compared once. Classes are cut into cells along the first principal axis,
-    as wide as two linked unit vectors can lie apart, so links stay within a cell or lead to the next; a cell and the
-    next are compared tile by tile. The work grows with the square of the number of different vectors.
+    Identical vectors form one class and are compared once. Classes are dealt to cells along the leading principal axes,
+    twice as wide as two linked unit vectors can lie apart; a vector also visits the later cells that a link of its own
+    can reach. The number of axes grows with the logarithm of the number of classes, so that cells stay small, and the
+    rows dealt with the number of classes; cells beyond per_tile rows are compared tile by tile. What cannot be avoided
+    grows with the square: comparisons of different vectors that all lie close together.
 
     vectors has vec_id and embedding. Returns vec_id, n_links (other rows linked directly), component_id (least vec_id
     reachable, itself included), kept (vec_id = component_id); one row for each row. Vectors that are null, zero, or
-    hold null or non-finite components link with nothing; so do vectors of another length than the most, and rows
-    without vec_id (component_id null, kept true). Rows that share a vec_id are one vector with several places.
+    hold null or non-finite components link with nothing; so do rows without vec_id (component_id null, kept true).
+    Vectors of different lengths never link; those of the commonest length are turned to their principal axes, others
+    are compared as they are. Rows that share a vec_id are one vector with several places.
     """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).withColumn("ok", usable(v) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
-    common = rows.where("ok").groupBy("dim").count().orderBy(F.desc("count"), "dim").head()
-    dim = common["dim"] if common else 1
-    rows = rows.withColumn("ok", F.col("ok") & (F.col("dim") == dim)).withColumn("key", F.xxhash64("embedding"))
+    rows = rows.withColumn("key", F.xxhash64("embedding"))
     classes = save(
-        rows.where("ok").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c")).withColumnRenamed("embedding", "v"), "vec-classes"
+        rows.where("ok").groupBy("key", "embedding", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("c")).withColumnRenamed("embedding", "v"), "vec-classes"
     )
-    axes = principal_axes(classes, dim)
-    width = float(np.sqrt(2 - 2 * threshold) + 1e-9)
-    first = axes[:, 0].tolist()
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    wide = F.transform("v", lambda x: x.cast("double"))
-    # NaN or overflow cannot occur: the vectors are finite floats.
-    along = dot(wide, F.array(*map(F.lit, first))) / F.sqrt(dot(wide, wide))
-    cells = classes.select("rep", "c", "v", F.floor(along / width).alias("own"))
-    # A cell's group: its own vectors, and those of the next as `upper`.
-    grouped = cells.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cell", F.col("own") - F.col("upper").cast("int")).drop("own")
-    sizes = grouped.groupBy("cell").agg(F.count("*").alias("members"), F.min("upper").alias("empty")).where("not empty").drop("empty")
-    dealt = tiled(grouped.join(F.broadcast(sizes), "cell"), F.col("members"), F.col("rep"), per_tile).drop("members")  # a few cells, by the width
-    keys = ["cell", "ta", "tb"]
+    common = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").head()
+    dim = common["dim"] if common else 1
+    axes = principal_axes(classes.where(F.col("dim") == dim), dim)
+    reach = float(np.sqrt(2 - 2 * threshold) + 1e-9)
+    count = int(np.clip(3 + np.ceil(np.log2(max(1, common["count"] if common else 1) / (1 << 17)) / 2), 3, 12))
+    dealt = classes.select("rep", "c", "dim", "v").mapInArrow(_dealt(axes, max(2 * reach, 1e-3), reach, count), f"dim int, cell long, upper boolean, rep long, c long, v {classes.schema['v'].dataType.simpleString()}")
+    grouped = save(dealt, "vec-dealt")
+    sizes = grouped.groupBy("dim", "cell").agg(F.count("*").alias("members"), F.min("upper").alias("empty")).where("not empty").drop("empty")
+    together = grouped.join(save(sizes, "vec-sizes"), ["dim", "cell"])
+    dealt = tiled(together, F.col("members"), F.col("rep"), per_tile).drop("members")
+    keys = ["dim", "cell", "ta", "tb"]
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(axes, threshold, lead), "rep long, links long, root long")
     found = save(found, "vec-links")
     counts = save(found.groupBy(F.col("rep").alias("cr")).agg(F.sum("links").alias("links")), "vec-counts")

@@ -238,8 +238,9 @@ def test_near_vectors(spark, tile):
     base = rng.standard_normal((12, 8))
     x = np.concatenate([base, base + 0.15 * rng.standard_normal((12, 8)), base[:3] * 2, base[:2]]).astype(np.float32)
     rows = [(i, v.tolist(), 1, 1) for i, v in enumerate(x)]
-    rows += [(90, None, 1, 1), (91, [0.0] * 8, 1, 1), (92, [float("nan")] + [1.0] * 7, 1, 1), (93, [None] + [1.0] * 7, 1, 1), (94, [1.0], 1, 1), (None, x[0].tolist(), 1, 1), (95, [float("inf")] + [1.0] * 7, 1, 1)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int")
+    rows += [(90, None, 1, 1), (91, [0.0] * 8, 1, 1), (92, [float("nan")] + [1.0] * 7, 1, 1), (93, [None] + [1.0] * 7, 1, 1), (94, [], 1, 1), (None, x[0].tolist(), 1, 1), (95, [float("inf")] + [1.0] * 7, 1, 1)]
+    rows += [(100, [1.0], 1, 1), (101, [2.0], 1, 1), (102, [-1.0], 1, 1), (103, [1.0, 0.1], 1, 1), (104, [1.0, 0.4], 1, 1), (105, [1.0, 0.7], 1, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int").withColumn("dim", F.lit(1)).withColumn("cell", F.lit(1))
     got = {r["vec_id"]: r for r in vectors.near_vectors(table, 0.95, lead=3, per_tile=tile).collect()}
     u = x.astype(np.float64)
     u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
@@ -250,6 +251,7 @@ def test_near_vectors(spark, tile):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (int(on[i].sum()), int(label[i]), label[i] == i), i
     for i in range(90, 96):
         assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(100, 106)] == [(1, 100), (1, 100), (0, 102), (1, 103), (2, 103), (1, 103)]
     assert got[None]["component_id"] is None and len(got) == len(rows)
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
@@ -405,3 +407,27 @@ def test_gradients():
         down = value()
         net.p[key][at] = kept
         assert abs((up - down) / 2e-2 - grad[key][at]) < 2e-3 + 0.02 * abs(grad[key][at]), key
+
+
+def test_near_vectors_in_many_cells(spark):
+    """Vectors over all directions and a crowded one, for cells along few and many axes."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 5))
+    x[300:] = x[299] + 0.12 * rng.standard_normal((200, 5))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table, 0.95, lead=2, per_tile=40).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    on = u @ u.T >= 0.95
+    np.fill_diagonal(on, False)
+    label = links.forest(on)
+    assert on.sum() > 1000
+    assert got == {i: (int(on[i].sum()), int(label[i])) for i in range(len(x))}
+    for count in (1, 2, 5):
+        f = vectors._dealt(np.eye(5), 0.4, 0.33, count)
+        (out,) = f(iter([pa.RecordBatch.from_pydict({"rep": pa.array(range(500)), "c": pa.array([1] * 500), "dim": pa.array([5] * 500, pa.int32()), "v": pa.array(u.tolist(), pa.list_(pa.float64()))})]))
+        cells = collections.defaultdict(list)
+        for c, up, r in zip(out["cell"].to_pylist(), out["upper"].to_pylist(), out["rep"].to_pylist()):
+            cells[c].append((r, up))
+        met = collections.Counter(frozenset((a, b)) for g in cells.values() for i, (a, x1) in enumerate(g) for b, x2 in g[i + 1 :] if not (x1 and x2))
+        assert max(met.values()) == 1 and all(met[frozenset((a, b))] for a in range(500) for b in range(a) if np.linalg.norm(u[a] - u[b]) <= 0.33)
