@@ -76,6 +76,19 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n nodes and links i - j, the least node that each node is connected with."""
+    label = np.arange(n)
+    while len(i):
+        least, before = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    return label
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b), as node, component (the least node reachable); nodes without links are absent.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.llm import textcols
-from spotloom.llm.links import by_group, components, forest, tiled
+from spotloom.llm.links import by_group, components, connected, forest, tiled
 from spotloom.llm.shared import drop_saved, save
 
 BANDS, ROWS = 24, 5
@@ -41,22 +41,6 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     return textcols.mix(h), np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def exact_shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of the distinct shingles of each row."""
-    raw = textcols.lower_ascii(raw)
-    starts, ends, firsts = textcols.words(raw, offsets)
-    prefix = textcols.PrefixHash(textcols.PrefixHash(raw).of(starts, ends))
-    n = np.diff(firsts)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    at, row = textcols.ranges(firsts[:-1], count)
-    h = prefix.of(at, np.minimum(at + k, firsts[row + 1]))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return row[keep], h[keep]
-
-
 def registers(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of rows that have shingles: the leading zeros of the least 32-bit hash (5 bits) and the
     bits that follow (10)."""
@@ -150,65 +134,95 @@ def _close(threshold: float) -> object:
     return by_group(["bucket", "ta", "tb"], settle)
 
 
-def _confirm(percent: int, k: int) -> object:
-    """A kernel for members of groups: rows group, ta, tb, rep, text -> a forest of pairs whose full sets are similar."""
+def _sets(percent: int, slice_rows: int = 1024) -> object:
+    """A mapInArrow function for rows group, tile, right, rep, sub, shingles, sorted by group, tile and right.
 
-    def settle(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
-        rep = batch["rep"].to_numpy()
-        row, h = exact_shingles(*textcols.utf8(batch["text"]), k)
-        n = np.bincount(row, minlength=len(rep))
-        firsts = np.searchsorted(row, bounds)
-        out_a, out_b = [], []
-        for i in range(len(bounds) - 1):
-            lo, size = bounds[i], bounds[i + 1] - bounds[i]
-            if size < 2:
-                continue
-            r, hh = row[firsts[i] : firsts[i + 1]] - lo, h[firsts[i] : firsts[i + 1]]
-            _, col, seen = np.unique(hh, return_inverse=True, return_counts=True)
-            shared = seen > 1
-            number = np.cumsum(shared) - 1
-            on = shared[col]
-            r, col = r[on], number[col[on]]
-            both = np.zeros((size, size), np.float32)
-            order = np.argsort(col, kind="stable")
-            r, col = r[order], col[order]
-            for c in range(0, int(shared.sum()), 8192):
-                a, b = np.searchsorted(col, [c, c + 8192])
-                m = np.zeros((size, 8192), np.float32)
-                m[r[a:b], col[a:b] - c] = 1
-                both += m @ m.T
-            inter = both.astype(np.int64)
-            size_of = n[lo : lo + size]
-            union = size_of[:, None] + size_of[None, :] - inter
-            root = forest((100 * inter >= percent * union) & (inter > 0))
-            moved = np.flatnonzero(root != np.arange(size))
-            out_a.append(rep[lo + root[moved]])
-            out_b.append(rep[lo + moved])
-        z = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(out_a + z)), "b": pa.array(np.concatenate(out_b + z))})
-
-    return by_group(["group", "ta", "tb"], settle)
+    In each tile of a group every row on the right is compared with all on the left: links of those whose sets are similar
+    and whose `sub` differs come out, as a spanning forest (a, b). Rows on the right are taken as they come, so only a
+    tile's left side is held.
+    """
+
+    def hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, off, data = part["shingles"].buffers()
+        bounds = np.frombuffer(off, np.int32)[part["shingles"].offset :][: part.num_rows + 1].astype(np.int64) // 8
+        n = np.diff(bounds)
+        return np.frombuffer(data, np.uint64)[bounds[0] : bounds[-1]], np.repeat(np.arange(len(n)), n), n
+
+    def compare(left: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
+        known, owner, n_left, rep_left, sub_left = left
+        h, row, n = hashes(part)
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        at, of = textcols.ranges(lo, hi - lo)
+        both = np.bincount(row[of] * len(n_left) + owner[at], minlength=part.num_rows * len(n_left)).reshape(part.num_rows, -1)
+        sub = part["sub"].to_numpy()
+        ok = (100 * both >= percent * (n[:, None] + n_left[None, :] - both)) & (both > 0) & (sub[:, None] != sub_left[None, :])
+        i, j = np.nonzero(ok)
+        rep = np.concatenate([rep_left, part["rep"].to_numpy()])
+        label = connected(len(rep), i + len(rep_left), j)
+        moved = np.flatnonzero(label != np.arange(len(rep)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(rep[label[moved]]), "b": pa.array(rep[moved])})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left = None, [], None
+        for batch in batches:
+            group, tile, right = (batch[c].to_numpy(zero_copy_only=False) for c in ("group", "tile", "right"))
+            new = np.flatnonzero((group[1:] != group[:-1]) | (tile[1:] != tile[:-1]) | (right[1:] != right[:-1])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if key != (group[lo], tile[lo]):
+                    key, held, left = (group[lo], tile[lo]), [], None
+                part = batch.slice(lo, hi - lo)
+                if not right[lo]:
+                    held.append(part)
+                    continue
+                if left is None and held:
+                    one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    h, owner, n = hashes(one)
+                    order = np.argsort(h)
+                    left = (h[order], owner[order], n, one["rep"].to_numpy(), one["sub"].to_numpy())
+                if left is not None:
+                    for k in range(0, part.num_rows, slice_rows):
+                        yield compare(left, part.slice(k, slice_rows))
+
+    return each
+
+
+def _shingles(texts: DataFrame, k: int) -> DataFrame:
+    """rep and shingles (hashes of the distinct shingles, as bytes) of rep, text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textcols.chunks(batch):
+                h, firsts = shingle_hashes(*textcols.utf8(part["text"]), k)
+                bounds = pa.py_buffer((firsts * 8).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"rep": part["rep"], "shingles": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, bounds, pa.py_buffer(h)])})
+
+    return texts.mapInArrow(each, "rep long, shingles binary")
 
 
 _PAIR = "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile: int = 1024, group_tile: int = 128, with_digest: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile: int = 1024, group_tile: int = 256, with_digest: bool = False) -> DataFrame:
     """Components of documents whose sets of k-word shingles have 100 * intersection >= percent * union.
 
     1. Each document gets the HyperMinHash registers of its set. Documents with one set become one class, named by its
        least doc_id.
     2. Classes that agree in a band of registers share a bucket. Within a bucket, pairs whose corrected estimate is not
-       clearly below the threshold join a group (buckets and groups of any size are dealt into tiles, whose pairs are
-       compared in separate tasks; a task gives a spanning forest, not all pairs).
-    3. Within a group all pairs are compared on their full sets, and the components of the links are found.
+       clearly below the threshold join a group (buckets of any size are dealt into tiles, whose pairs are compared in
+       separate tasks; a task gives a spanning forest, not all pairs).
+    3. Each member of a group is compared, on full sets, with the least one that it was close to. What this links falls
+       into parts. If a group has several, those that are not in its largest part are compared with all the rest, tile by
+       tile; members of one part are not compared again. The components of all links are found.
 
-    A pair at 85 % misses all 24 bands once in 1.3 million. The work of step 3 grows with the square of the number of
-    different texts in a group of near copies, never with exact copies.
+    Sets are told by 64-bit hashes of their shingles. A pair at 85 % misses all 24 bands once in 1.3 million. The work of
+    step 3 grows with the members of a group times those outside its largest part, never with exact copies.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), and on request v (a
-    digest of the text); one row for each row of docs. Documents without words are linked with nothing. Rows that share a doc_id are one document with several
-    texts. A row without doc_id takes no part: its component_id is null and kept is true.
+    digest of the text); one row for each row of docs. Documents without words are linked with nothing. Rows that share
+    a doc_id are one document with several texts. A row without doc_id takes no part: its component_id is null and kept
+    is true.
     """
     sketched = save(sketch(docs, k), "near-sketches")
     known = sketched.where("doc_id is not null and n > 0")
@@ -225,17 +239,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 3, bucket_tile:
     met = shared.join(classes.select("rep", "n", "sketch").hint("merge"), "rep")
     met = tiled(met, F.col("members"), F.col("rep"), bucket_tile).drop("members", "tile")
     keys = ["bucket", "ta", "tb"]
-    close = met.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_close(percent / 100), _PAIR)
-    groups = components(save(close, "near-close"))
-
-    groups = save(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "near-groups")
-    sizes = save(groups.groupBy("group").agg(F.count("*").alias("members")), "near-sizes")
-    members = groups.join(sizes, "group")
-    texts = save(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.hint("merge"), "rep"), "near-texts")
-    dealt = tiled(texts, F.col("members"), F.col("rep"), group_tile).drop("members", "tile")
-    keys = ["group", "ta", "tb"]
-    links = save(dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_confirm(percent, k), _PAIR), "near-links")
-    drop_saved(texts)
+    close = save(met.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_close(percent / 100), _PAIR), "near-close")
+    groups = save(components(close).select(F.col("node").alias("rep"), F.col("component").alias("group")), "near-groups")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.select("rep").hint("merge"), "rep", "left_semi")
+    sets = save(_shingles(texts, k), "near-sets")
+    order = ["group", "tile", "right"]
+    kernel = lambda rows: rows.repartition("group", "tile").sortWithinPartitions(*order).mapInArrow(_sets(percent), _PAIR)
+    # Stars: each member on the right of the least one it was close to. A star's members are dealt to many tiles, so the
+    # one in its middle is repeated for each of them, and no more often.
+    arms = close.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("group")).where("rep <> group")
+    tiles = 64
+    arms = arms.select("rep", "group", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int").alias("tile"), F.lit(True).alias("right"))
+    arms = save(arms, "near-arms")
+    middles = arms.select(F.col("group").alias("rep"), "group", "tile", F.lit(False).alias("right")).distinct()
+    stars = arms.unionByName(middles).join(sets.hint("merge"), "rep").select(*order, "rep", F.when(F.col("right"), 1).otherwise(0).cast("long").alias("sub"), "shingles")
+    first = save(kernel(stars), "near-stars")
+
+    parts = components(first).select(F.col("node").alias("at"), F.col("component").alias("sub"))
+    member = save(groups.join(parts, F.col("rep") == F.col("at"), "left").select("rep", "group", F.coalesce("sub", "rep").alias("sub")), "near-parts")
+    sized = member.groupBy("group", "sub").agg(F.count("*").alias("n"))
+    largest = sized.groupBy("group").agg(F.max(F.struct("n", (-F.col("sub")).alias("low"))).alias("m"), F.sum("n").alias("members"), F.count("*").alias("subs"))
+    # Both members of a group of two have met.
+    several = largest.where("subs > 1 and members > 2").select("group", (-F.col("m.low")).alias("main"), F.ceil((F.col("members") - F.col("m.n")) / group_tile).cast("int").alias("tiles"))
+    still = save(member.join(save(several, "near-open"), "group"), "near-open-members")
+    left = still.where("sub <> main").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("right", F.lit(False))
+    right = still.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("right", F.lit(True))
+    rest = left.select(*order, "rep", "sub").unionByName(right.select(*order, "rep", "sub")).join(sets.hint("merge"), "rep").select(*order, "rep", "sub", "shingles")
+    links = save(first.unionByName(kernel(rest)), "near-links")
+    drop_saved(sets)
     found = components(links).select(F.col("node").alias("rep"), "component")
 
     named = save(classes.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "rep").join(found, "rep", "left"), "near-named")

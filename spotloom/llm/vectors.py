@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.llm.links import by_group, components, tiled
+from spotloom.llm.links import by_group, components, connected, tiled
 from spotloom.llm.shared import save
 
 #: Cosines this near to the threshold are computed again from the vectors as they are given.
@@ -155,15 +155,7 @@ def _compare(axes: np.ndarray, threshold: float, lead: int) -> object:
             links = np.zeros(hi - lo, np.int64)
             np.add.at(links, i, c[lo + j])
             np.add.at(links, j, c[lo + i])
-            label = np.arange(hi - lo)
-            while len(i):
-                least = np.minimum(label[i], label[j])
-                before = label.copy()
-                np.minimum.at(label, i, least)
-                np.minimum.at(label, j, least)
-                label = label[label]
-                if np.array_equal(before, label):
-                    break
+            label = connected(hi - lo, i, j)
             some = np.flatnonzero(links)
             out.append((rep[lo + some], links[some], rep[lo + label[some]]))
         z = np.zeros(0, np.int64)
