@@ -14,6 +14,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Most benchmark shingles that are sent to all executors; more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Most keys of documents (16 bytes each) that are sent to all executors to pick these documents out; more go by a merge.
+BROADCAST_KEYS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -57,6 +59,12 @@ def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode("sh").alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("c"))
 
 
+def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose (doc_id, v) is (left_semi) or is not (left_anti) among keys (of, ov), without a shuffle while there are few."""
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(keys.hint("broadcast" if few else "merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov")), how)
+
+
 def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     """Matches with items of at least k words (or, for k < 5, of exactly k words), by k-word shingles."""
     spark = docs.sparkSession
@@ -75,8 +83,9 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     # For each item length m, windows that begin at such a place and hold as many as a similar one must; those between
     # two places hold no more than the one that begins at the next. Near the end, the last window of a document.
     # A document of n < m shingles is one window, of which (n + m) * percent / (100 + percent) suffice.
-    needed = F.ceil((F.least("m", "n") + F.col("m")) * (1.0 * percent / (100 + percent)) - F.lit(1e-9)).cast("int")
-    sized = places.withColumn("m", F.explode(F.array(*map(F.lit, sizes)))).where(F.size("at") >= needed)
+    suffice = lambda m: F.ceil((F.least(m, "n") + m) * (1.0 * percent / (100 + percent)) - F.lit(1e-9)).cast("int")
+    sized = places.withColumn("m", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda m: F.size("at") >= suffice(m))))
+    needed = suffice(F.col("m"))
     from_hit = F.filter(
         F.col("at"),
         lambda p, i: (p + F.col("m") <= F.col("n")) & (F.coalesce(F.get("at", i + needed - 1), F.col("n") + F.col("m")) < p + F.col("m")),
@@ -87,7 +96,9 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     windows = sized.select("doc_id", "v", F.explode(starts).alias("start"), F.least("m", "n").alias("len"))
     lists = save(windows.groupBy(F.col("doc_id").alias("of"), F.col("v").alias("ov")).agg(F.collect_set(F.struct("start", "len")).alias("w")), "leak-windows")
 
-    there = shingled.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov"))).select("doc_id", "v", "sh", F.explode("w").alias("w"))
+    # Texts are looked at a second time only where windows were found.
+    again = _shingled(_only(docs, lists.select("of", "ov"), "left_semi"), k)
+    there = again.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("v") == F.col("ov"))).select("doc_id", "v", "sh", F.explode("w").alias("w"))
     there = there.select("doc_id", "v", "w.start", F.slice("sh", F.col("w.start") + 1, F.col("w.len")).alias("sh"))
     placed = save(there.withColumn("a", F.xxhash64("sh")).withColumn("b", F.xxhash64(F.lit("b"), "sh")), "leak-placed")
     # Windows with equal contents are compared once, however many documents hold them.
@@ -122,8 +133,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5
     apart, and exact similarities decide. A pair of similarity 0.8 lies 19 bits apart on average, and beyond 31 about
     twice in a thousand; at 0.85 a few times in a hundred thousand. Items of fewer than k words have one shingle, of all their words.
 
-    Returns doc_id, v (a digest of the text), start (first word), n_shingles, item_id, similarity. Items without words
-    match nothing; null texts count as empty.
+    Returns doc_id, v (a digest of the text), start (first word), n_shingles, item_id, similarity. Shingles are told by
+    64-bit hashes of their words. Items without words match nothing; null texts count as empty; repeated rows, and rows
+    without doc_id, are told by their text; empty tables give none; other columns are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words"), F.xxhash64("text").alias("v"))
     items = save(benchmark.select(F.col("item_id").cast("long"), words(F.col("text")).alias("words")), "leak-words")
@@ -149,5 +161,6 @@ def report(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5)
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """Rows of docs, with all columns, that hold no item."""
-    found = contaminated(docs, benchmark, percent, k).select(F.col("doc_id").alias("__of"), F.col("v").alias("__ov"))
-    return docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__ov")), "left_anti")
+    found = contaminated(docs, benchmark, percent, k).select(F.col("doc_id").alias("of"), F.col("v").alias("ov"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("v"))
+    return _only(keyed, found, "left_anti").select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that a kernel takes at once, besides one document that is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
