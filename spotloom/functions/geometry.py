@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,17 @@ def perimeter(xs: Column, ys: Column) -> Column:
     return _edges(xs, ys, lambda a, b, c, d: F.sqrt((c - a) * (c - a) + (d - b) * (d - b)))
 
 
-def contains(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+def _crossed(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     """Crossing-number test: points on an edge may count either way."""
     cross = _edges(xs, ys, lambda a, b, c, d: F.when(((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b) + a), 1.0).otherwise(0.0))
     return cross % 2 == 1
 
 
+def contains(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies within a ring; points on its edges and vertices do not."""
+    return _crossed(xs, ys, x, y) & ~on_edge(xs, ys, x, y)
+
+
 def on_edge(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     """Whether a point lies on the ring itself."""
 
@@ -38,7 +45,28 @@ def on_edge(xs: Column, ys: Column, x: Column, y: Column) -> Column:
 
 
 def covers(xs: Column, ys: Column, x: Column, y: Column) -> Column:
-    return contains(xs, ys, x, y) | on_edge(xs, ys, x, y)
+    return _crossed(xs, ys, x, y) | on_edge(xs, ys, x, y)
+
+
+def signed_area(xs: Column, ys: Column) -> Column:
+    """Area of a ring, negative where it runs clockwise."""
+    return _edges(xs, ys, lambda a, b, c, d: a * d - c * b) / 2
+
+
+def angle_at(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+    """The angle of a ring's inside at a point on its edge: half a turn, or that of the vertex; 0 off the edge."""
+    n = F.size(xs)
+    turn = F.when(signed_area(xs, ys) < 0, -1.0).otherwise(1.0)
+
+    def part(i: Column) -> Column:
+        a, b, c, d = F.get(xs, i), F.get(ys, i), F.get(xs, (i + 1) % n), F.get(ys, (i + 1) % n)
+        e, f = F.get(xs, (i + n - 1) % n), F.get(ys, (i + n - 1) % n)
+        cross, dot = (c - a) * (f - b) - (d - b) * (e - a), (c - a) * (e - a) + (d - b) * (f - b)
+        corner = (a == x) & (b == y)
+        inner = ((c - a) * (y - b) == (d - b) * (x - a)) & ((x - a) * (x - c) + (y - b) * (y - d) < 0)
+        return F.when(corner, F.pmod(turn * F.atan2(cross, dot), F.lit(2 * math.pi))).when(inner, F.lit(math.pi)).otherwise(0.0)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + part(i))
 
 
 def affine(xs: Column, ys: Column, m: list[list[float]]) -> tuple[Column, Column]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.operators.spatial import points_in_polygons
+from spotloom.operators.spatial import points_in_polygons, with_polygons
+from spotloom.operators.tables import keep
 
 
 def _methods(boundaries: DataFrame) -> Column:
@@ -15,34 +16,31 @@ def _methods(boundaries: DataFrame) -> Column:
 
 
 def assigned_transcripts(transcripts: DataFrame, boundaries: DataFrame, tile: float = 50.0) -> DataFrame:
-    """Transcripts inside the union of each method's polygons, as method and the transcript's columns.
+    """transcripts with methods: the methods whose polygons, taken together, hold the transcript.
 
-    Polygons with a null z hold transcripts of every plane, others those of their own. Each transcript counts once for a
-    method, however many polygons hold it: transcripts have no key, so a semi-join decides.
+    Polygons with a null z hold transcripts of every plane, others those of their own. A transcript on the outer edge of
+    a method's polygons is not in them, one on an edge that two of them share is. Rows are not multiplied by methods.
     """
-    flat = boundaries.where("z is null").select(F.col("method").alias("bm"), "xs", "ys")
-    deep = boundaries.where("z is not null").select(F.col("method").alias("bm"), F.col("z").alias("bz"), "xs", "ys")
-    each = transcripts.withColumn("method", F.explode(_methods(boundaries)))
-    in_flat = points_in_polygons(each.withColumn("bm", F.col("method")), flat, ["bm"], tile, how="left_semi").drop("bm")
-    in_deep = points_in_polygons(each.withColumns({"bm": F.col("method"), "bz": F.col("z")}), deep, ["bm", "bz"], tile, how="left_semi").drop("bm", "bz")
-    return in_flat.unionByName(in_deep)
+    held = with_polygons(transcripts, boundaries, ["method"], tile, edges="union")
+    return held.withColumn("methods", F.array_distinct(F.transform("hits", lambda h: h["method"]))).drop("hits")
 
 
 def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str]) -> DataFrame:
     """method, *by, n, assigned, pct: all transcripts, those assigned and their share, 0 where none is."""
-    total = transcripts.groupBy(*by).agg(F.count("*").alias("n"))
-    hit = assigned_transcripts(transcripts, boundaries).groupBy("method", *by).agg(F.count("*").alias("assigned"))
+    held = assigned_transcripts(transcripts, boundaries).select(*by, "methods")
+    # One shuffle of counts: each set of methods by itself, of which there are few.
+    counts = keep(held.groupBy(*by, F.sort_array("methods").alias("methods")).agg(F.count("*").alias("n")), "assigned-counts")
+    total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    hit = counts.withColumn("method", F.explode("methods")).groupBy("method", *by).agg(F.sum("n").alias("assigned"))
     out = total.withColumn("method", F.explode(_methods(boundaries))).join(hit, ["method", *by], "left").withColumn("assigned", F.coalesce("assigned", F.lit(0)))
-    return out.withColumn("pct", F.round(100.0 * F.col("assigned") / F.col("n"), 6))
+    return out.select("method", *by, "n", "assigned", F.round(100.0 * F.col("assigned") / F.col("n"), 6).alias("pct"))
 
 
 def cell_by_gene(transcripts: DataFrame, boundaries: DataFrame, min_transcripts: int = 10) -> DataFrame:
     """method, cell_id, gene, count of transcripts in each cell; cells with fewer than min_transcripts are left out."""
-    points = transcripts.select("gene", "x", "y", "z")
-    polygons = boundaries.withColumnRenamed("z", "bz")
-    flat = points_in_polygons(points, polygons.where("bz is null").drop("bz"))
-    deep = points_in_polygons(points.withColumn("bz", F.col("z")), polygons.where("bz is not null"), ["bz"]).drop("bz")
-    counts = flat.unionByName(deep).groupBy("method", "cell_id", "gene").agg(F.count("*").alias("count"))
+    held = with_polygons(transcripts.select("gene", "x", "y", "z"), boundaries, ["method", "cell_id"])
+    each = held.select("gene", F.explode("hits").alias("h")).select("gene", "h.method", "h.cell_id")
+    counts = keep(each.groupBy("method", "cell_id", "gene").agg(F.count("*").alias("count")), "cell-by-gene")
     enough = counts.groupBy("method", "cell_id").agg(F.sum("count").alias("n")).where(F.col("n") >= min_transcripts)
     return counts.join(enough, ["method", "cell_id"], "left_semi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,31 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, on: list[str] | N
     return joined.drop(*drop)
 
 
+def with_polygons(points: DataFrame, polygons: DataFrame, carry: list[str], tile: float = 50.0, edges: str = "out") -> DataFrame:
+    """points(x, y, z, ...) with hits: an array of structs of `carry`, one for each polygon(z, xs, ys, ...) that holds it.
+
+    Points are shuffled once, by tile, and never multiplied: each meets one row with all polygons of its tile (of all
+    methods and planes; a null z is every plane), and is tested there. Points on an edge are out, or, with edges "union",
+    in where polygons that agree in the first of `carry` (a method, whose polygons do not overlap) meet all around them.
+    """
+    fields = [*carry, "z", "xs", "ys", "bx0", "bx1", "by0", "by1"]
+    dealt = polygons_by_tile(polygons, tile).groupBy("tx", "ty").agg(F.collect_list(F.struct(*fields)).alias("here"))
+    at = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    joined = at.join(dealt, ["tx", "ty"], "left").drop("tx", "ty")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    near = F.filter("here", lambda p: (p["z"].isNull() | (p["z"] == z)) & x.between(p["bx0"], p["bx1"]) & y.between(p["by0"], p["by1"]))
+    joined = joined.withColumn("near", F.coalesce(near, F.array())).drop("here") if "here" not in points.columns else joined
+    inside = F.filter("near", lambda p: geometry.contains(p["xs"], p["ys"], x, y))
+    if edges == "union":
+        touched = F.filter("near", lambda p: geometry.on_edge(p["xs"], p["ys"], x, y))
+        around = lambda p: F.aggregate(
+            F.filter("touched", lambda q: q[carry[0]] == p[carry[0]]), F.lit(0.0), lambda s, q: s + geometry.angle_at(q["xs"], q["ys"], x, y)
+        )
+        joined = joined.withColumns({"inside": inside, "touched": touched})
+        inside = F.concat("inside", F.filter("touched", lambda p: around(p) > 2 * math.pi - 1e-9))
+    return joined.withColumn("hits", F.transform(inside, lambda p: F.struct(*[p[c].alias(c) for c in carry]))).drop("near", "inside", "touched")
+
+
 def _ring(df: DataFrame, radius: float) -> DataFrame:
     """Rows once for each of the nine tiles around their own."""
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
@@ -105,12 +131,25 @@ def neighbour_means(edges: DataFrame, expr: DataFrame) -> DataFrame:
 
 
 def pair_scores(points: DataFrame, factor: float, key: str = "cell_id") -> DataFrame:
-    """key, n, u, score: pairs of a cell's transcripts within factor times half its box diagonal, of all its pairs."""
+    """key, n, u, score: pairs of a cell's transcripts within factor times half its box diagonal, of all its pairs.
+
+    Pairs are looked for by tiles as wide as that radius, so a crowded cell is split; rows without key take no part.
+    """
     box = points.groupBy(key).agg(
-        F.count("*").alias("n"), ((F.pow(F.max("x") - F.min("x"), F.lit(2)) + F.pow(F.max("y") - F.min("y"), F.lit(2))) * (factor * factor / 4)).alias("r2")
-    ).where("n > 1")
-    p = points.select(key, "x", "y", "z", "gene").withColumn("at", F.monotonically_increasing_id())
-    q = p.select(key, F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("at").alias("other"))
+        F.count("*").alias("n"),
+        F.min("x").alias("x0"),
+        F.min("y").alias("y0"),
+        ((F.pow(F.max("x") - F.min("x"), F.lit(2)) + F.pow(F.max("y") - F.min("y"), F.lit(2))) * (factor * factor / 4)).alias("r2"),
+    )
+    box = keep(box.where("n > 1"), "pair-boxes")
+    # Numbered once and written: both sides of the join see the same numbers.
+    p = keep(points.where(F.col(key).isNotNull()).select(key, "x", "y").withColumn("at", F.monotonically_increasing_id()), "pair-points").join(box, key)
+    side = lambda c, o: F.when(F.col("r2") > 0, F.floor((F.col(c) - F.col(o)) / F.sqrt("r2"))).otherwise(0)
+    p = p.withColumns({"tx": side("x", "x0"), "ty": side("y", "y0")})
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    q = p.select(key, F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("at").alias("other"), "tx", "ty").withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps))
+    q = q.withColumns({"tx": F.col("tx") + F.col("sx"), "ty": F.col("ty") + F.col("sy")}).drop("sx", "sy")
     d2 = F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2))
-    near = p.join(q, key).where("at < other").join(box, key).groupBy(key, "n").agg(F.sum((d2 <= F.col("r2")).cast("long")).alias("u"))
-    return near.withColumn("score", F.round(2 * F.col("u") / (F.col("n") * (F.col("n") - 1)), 6))
+    near = p.join(q, [key, "tx", "ty"]).where((F.col("at") < F.col("other")) & (d2 <= F.col("r2"))).groupBy(key).agg(F.count("*").alias("u"))
+    out = box.select(key, "n").join(near, key, "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    return out.withColumn("score", F.round(2 * F.col("u") / (F.col("n") * (F.col("n") - 1)), 6))

@@ -5,12 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local session gets a temporary folder of its own;
+    a cluster, whose machines would not see one, gets an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-keep-', dir='/tmp')}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder (see shared_dir)."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

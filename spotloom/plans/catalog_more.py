@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import dea, embed, factors, graph, labels, metrics, qc, raster, shape, spatial
+from spotloom.operators.tables import shared_dir
 from spotloom.plans.catalog import _KNN, _PB, _TOTALS, _also
 from spotloom.plans.registry import Views, query
 from spotloom.sources import readers
@@ -15,9 +16,8 @@ from spotloom.streaming import ingest
 
 
 def _scratch(v: Views, name: str) -> str:
-    """A new folder in the one that the cluster shares; a temporary one where none is named."""
-    base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{next(tempfile._get_candidate_names())}" if base else tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp") + "/t"
+    """A new folder in the one that the cluster shares."""
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks ------------------------------------------------------------------------------------------------
