@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotloom.operators.tables import keep
+
 
 def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count") -> tuple[DataFrame, list[float]]:
     """cell_id, pc (array of k scores) and the share of variance of each component, of z-scored genes.
@@ -35,18 +40,38 @@ def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count") -> tuple[Da
     return scores, (w[::-1][:k] / w.sum()).tolist()
 
 
-def silhouette(vectors: DataFrame, n: int, value: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
+def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """cells, silhouette: mean over n rows, the first by a digest of their key, by exact distances among them.
 
-    The sample is the statistic's own limit: it is quadratic. Its rows are matched with all of them in one shuffle.
+    The sample is the statistic's own limit: it is quadratic. Its n rows go to all tasks, which take some of them each.
     """
-    s = vectors.where(F.col(label).isNotNull()).orderBy(F.md5(F.col(key).cast("string")), key).limit(n).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(value).cast("array<double>").alias("v"))
-    other = s.select(F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("v").alias("v2"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    means = s.join(F.broadcast(other), F.col("k") != F.col("k2")).groupBy("k", "l", "l2").agg(F.avg(d).alias("d"))  # n rows are sent
-    ab = means.groupBy("k", "l").agg(F.min(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
-    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return ab.agg(F.count("*").alias("cells"), F.round(F.avg(one), 6).alias("silhouette"))
+    typed = vectors.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(value).cast("array<double>").alias("v"))
+    sample = keep(typed.orderBy(F.md5(F.col("k").cast("string")), "k").limit(n), "silhouette")
+    rows = sample.toPandas()
+    names, group = np.unique(rows["l"].to_numpy(), return_inverse=True)
+    shared = vectors.sparkSession.sparkContext.broadcast((np.vstack(rows["v"]) if len(rows) else np.zeros((0, 0)), names, group))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, names, group = shared.value
+        size = np.bincount(group, minlength=len(names))
+        belongs = np.zeros((len(x), len(names)))
+        belongs[np.arange(len(x)), group] = 1
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                v = part["v"].flatten().to_numpy().reshape(part.num_rows, -1)
+                own = np.searchsorted(names, part["l"].to_numpy(zero_copy_only=False))
+                sums = np.sqrt(np.maximum(((v[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) @ belongs
+                at = np.arange(len(v))
+                a = sums[at, own] / np.maximum(size[own] - 1, 1)
+                other = np.where(np.arange(len(names)) == own[:, None], np.inf, sums / size)
+                b = other.min(axis=1)
+                alone = (size[own] < 2) | ~np.isfinite(b)
+                s = np.where(alone, 0.0, (b - a) / np.where(alone, 1.0, np.maximum(a, b)))
+                yield pa.RecordBatch.from_pydict({"s": pa.array(s)})
+
+    # In pieces small enough for the distances of 256 rows.
+    return sample.repartition(64, "k").mapInArrow(each, "s double").agg(F.count("*").alias("cells"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 
 def clusters(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", seed: int = 1) -> DataFrame:

@@ -56,16 +56,23 @@ def micro_f1(confusion: DataFrame, markers: DataFrame) -> DataFrame:
 def coexpression(expr: DataFrame, markers: DataFrame) -> DataFrame:
     """gene_a, gene_b, both, either, mecr: cells with both markers of different types, by cells with either.
 
+    Every pair of markers of different types has a row, also if no cell has both; mecr is null where no cell has either.
     The self-join runs over one cell's marker genes, of which there are at most as many as markers.
     """
+    sets = markers.select("gene", "gene_set").distinct()
+    first = sets.select(F.col("gene").alias("gene_a"), F.col("gene_set").alias("sa"))
+    second = sets.select(F.col("gene").alias("gene_b"), F.col("gene_set").alias("sb"))
+    pairs = first.join(second, (F.col("gene_a") < F.col("gene_b")) & (F.col("sa") != F.col("sb"))).select("gene_a", "gene_b").distinct()  # of markers: some hundreds
     on = expr.where("count > 0").join(markers.select("gene", "gene_set"), "gene").select("cell_id", "gene", "gene_set")
     a = on.select("cell_id", F.col("gene").alias("gene_a"), F.col("gene_set").alias("sa"))
     b = on.select("cell_id", F.col("gene").alias("gene_b"), F.col("gene_set").alias("sb"))
     both = a.join(b, "cell_id").where("gene_a < gene_b and sa <> sb").groupBy("gene_a", "gene_b").agg(F.count("*").alias("both"))
     n = on.groupBy("gene").agg(F.count("*").alias("n"))
-    out = both.join(n.select(F.col("gene").alias("gene_a"), F.col("n").alias("na")), "gene_a").join(n.select(F.col("gene").alias("gene_b"), F.col("n").alias("nb")), "gene_b")
-    out = out.withColumn("either", F.col("na") + F.col("nb") - F.col("both"))
-    return out.select("gene_a", "gene_b", "both", "either", F.round(F.col("both") / F.col("either"), 6).alias("mecr"))
+    out = pairs.join(both, ["gene_a", "gene_b"], "left")
+    for side in ("a", "b"):
+        out = out.join(n.select(F.col("gene").alias(f"gene_{side}"), F.col("n").alias(f"n{side}")), f"gene_{side}", "left")
+    out = out.na.fill(0, ["both", "na", "nb"]).withColumn("either", F.col("na") + F.col("nb") - F.col("both"))
+    return out.select("gene_a", "gene_b", "both", "either", F.round(_ratio(F.col("both"), F.col("either")), 6).alias("mecr"))
 
 
 def neighbour_contamination(edges: DataFrame, cells: DataFrame, expr: DataFrame, markers: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def group_columns(cells: DataFrame, by: list[str], volume: str = "volume_final")
     return cells.withColumns({"n_cells_sum": F.count("*").over(w), "volume_mean": F.avg(volume).over(w), "volume_sum": F.sum(volume).over(w)})
 
 
-def counts_by_sample(transcripts: DataFrame) -> DataFrame:
-    """gene, one column of counts for each sample (0 where none), total."""
-    wide = transcripts.groupBy("gene").pivot("sample").agg(F.count(F.lit(1))).na.fill(0)
-    return wide.withColumn("total", sum((F.col(c) for c in wide.columns if c != "gene"), F.lit(0)))
+def counts_by_sample(transcripts: DataFrame, samples: list[str]) -> DataFrame:
+    """gene, one column of counts for each of the samples (0 where none), total over all transcripts of the gene."""
+    each = [F.count(F.when(F.col("sample") == s, 1)).alias(s) for s in samples]
+    return transcripts.groupBy("gene").agg(*each, F.count("*").alias("total"))

@@ -33,7 +33,7 @@ def channel_means(pixels: DataFrame, polygons: DataFrame, keys: list[str]) -> Da
     Variance is that of the pixels inside (sample); pixels outside the polygon have no part in it.
     """
     g = points_in_polygons(pixels, polygons).groupBy(*keys, "channel")
-    r = lambda c: F.round(c, 6)
+    r = lambda c: F.round(c, 9)
     return g.agg(
         F.count("*").alias("n"), r(F.avg("value")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), r(F.var_samp("value")).alias("variance")
     )
@@ -90,9 +90,15 @@ def factor_counts(pixels: DataFrame) -> DataFrame:
 
 
 def grid_spacing(points: DataFrame, column: str) -> float:
-    """Median gap of a coordinate's distinct values."""
-    w = Window.orderBy(column)
-    gaps = points.select(column).distinct().withColumn("g", F.col(column) - F.lag(column).over(w))
+    """Median gap of a coordinate's distinct values.
+
+    Values are ordered within buckets of a thousand units; a bucket's first follows the last of the bucket before.
+    """
+    each = points.where(F.col(column).isNotNull()).select(F.col(column).alias("c")).distinct().withColumn("bucket", F.floor(F.col("c") / 1000))
+    ends = each.groupBy("bucket").agg(F.max("c").alias("last"))
+    before = ends.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("before"))  # one row for each bucket
+    inside = F.lag("c").over(Window.partitionBy("bucket").orderBy("c"))
+    gaps = each.withColumn("lag", inside).join(before, "bucket").select((F.col("c") - F.coalesce("lag", "before")).alias("g"))
     return gaps.agg(F.median("g").alias("m")).head()["m"]
 
 

@@ -104,14 +104,14 @@ def spatial_outliers(v: Views):
 
 
 @query(
-    """SELECT t.gene, t.x, t.y, t.z, coalesce(p.k1, 21) AS factor, count(*) AS n FROM (SELECT DISTINCT gene, x, y, z FROM transcripts WHERE z = 0) t
-    LEFT JOIN LATERAL (SELECT k1 FROM (SELECT DISTINCT px, py, k1 FROM pixels) q WHERE abs(px - t.x) <= 5 AND abs(py - t.y) <= 5
-    AND (px - t.x) * (px - t.x) + (py - t.y) * (py - t.y) <= 25 ORDER BY (px - t.x) * (px - t.x) + (py - t.y) * (py - t.y), px, py, k1 LIMIT 1) p ON true
-    GROUP BY 1, 2, 3, 4, 5""",
+    """SELECT t.gene, t.x, t.y, t.z, coalesce(p.k1, 21) AS factor, count(*) AS n FROM (SELECT DISTINCT gene, x, y, z FROM transcripts) t
+    LEFT JOIN (SELECT x, y, arg_min(k1, (d2, px, py, k1)) AS k1 FROM (SELECT x, y, px, py, k1, (px - x) * (px - x) + (py - y) * (py - y) AS d2 FROM
+    (SELECT DISTINCT x, y, x // 5 AS tx, y // 5 AS ty FROM transcripts) a JOIN (SELECT px, py, k1, px // 5 + i AS tx, py // 5 + j AS ty FROM (SELECT DISTINCT px, py, k1 FROM pixels), (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) b
+    ON a.tx = b.tx AND a.ty = b.ty) WHERE d2 <= 25 GROUP BY 1, 2) p ON p.x = t.x AND p.y = t.y GROUP BY 1, 2, 3, 4, 5""",
     ("transcripts", "pixels"),
 )
 def nearest_factor(v: Views):
-    t = v.transcripts.where("z = 0").select("gene", "x", "y", "z").distinct()
+    t = v.transcripts.select("gene", "x", "y", "z").distinct()
     p = v.pixels.select(F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("k1").alias("factor")).distinct()
     out = spatial.nearest_within(t, p, 5.0, ["gene", "x", "y", "z"], "factor", ["rx", "ry"], F.lit(21))
     return out.groupBy("gene", "x", "y", "z", "factor").agg(F.count("*").alias("n"))
@@ -218,9 +218,9 @@ def group_columns(v: Views):
     return qc.group_columns(v.cells, ["cell_type", "sample"]).select("cell_id", "n_cells_sum", F.round("volume_mean", 4).alias("volume_mean"), F.round("volume_sum", 2).alias("volume_sum"))
 
 
-@query("PIVOT (SELECT gene, sample FROM transcripts) ON sample USING count(*) GROUP BY gene".join(("SELECT *, " + " + ".join(f"s{i}" for i in range(12)) + " AS total FROM (", ")")), ("transcripts",))
+@query("SELECT gene, " + ", ".join(f"count(*) FILTER (sample = 's{i}') AS s{i}" for i in range(12)) + ", count(*) AS total FROM transcripts GROUP BY 1", ("transcripts",))
 def counts_by_sample(v: Views):
-    return qc.counts_by_sample(v.transcripts)
+    return qc.counts_by_sample(v.transcripts, [f"s{i}" for i in range(12)])
 
 
 @query("SELECT sample, cell_id FROM (SELECT sample, cell_id, row_number() OVER (PARTITION BY sample ORDER BY md5('0:' || cell_id), cell_id) AS n FROM cells) WHERE n <= 50", ("cells",))
@@ -418,9 +418,11 @@ def micro_f1(v: Views):
 
 
 @query(
-    """SELECT p.gene_a, p.gene_b, p."both", a.n + b.n - p."both" AS either, round(p."both" / (a.n + b.n - p."both"), 6) AS mecr FROM
-    (SELECT x.gene AS gene_a, y.gene AS gene_b, count(*) AS "both" FROM expr x JOIN expr y ON x.cell_id = y.cell_id AND x.gene < y.gene JOIN genes gx ON gx.gene = x.gene JOIN genes gy ON gy.gene = y.gene AND gx.gene_set <> gy.gene_set
-    WHERE x.count > 0 AND y.count > 0 GROUP BY 1, 2) p JOIN (SELECT gene, count(*) AS n FROM expr WHERE count > 0 GROUP BY 1) a ON a.gene = p.gene_a JOIN (SELECT gene, count(*) AS n FROM expr WHERE count > 0 GROUP BY 1) b ON b.gene = p.gene_b""",
+    """SELECT m.gene_a, m.gene_b, coalesce(p."both", 0) AS "both", coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(p."both", 0) AS either,
+    round(coalesce(p."both", 0) / nullif(coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(p."both", 0), 0), 6) AS mecr FROM
+    (SELECT gx.gene AS gene_a, gy.gene AS gene_b FROM genes gx JOIN genes gy ON gx.gene < gy.gene AND gx.gene_set <> gy.gene_set) m LEFT JOIN (SELECT x.gene AS gene_a, y.gene AS gene_b, count(*) AS "both" FROM expr x JOIN expr y ON x.cell_id = y.cell_id AND x.gene < y.gene JOIN genes gx ON gx.gene = x.gene JOIN genes gy ON gy.gene = y.gene AND gx.gene_set <> gy.gene_set
+    WHERE x.count > 0 AND y.count > 0 GROUP BY 1, 2) p ON p.gene_a = m.gene_a AND p.gene_b = m.gene_b LEFT JOIN (SELECT gene, count(*) AS n FROM expr WHERE count > 0 GROUP BY 1) a ON a.gene = m.gene_a
+    LEFT JOIN (SELECT gene, count(*) AS n FROM expr WHERE count > 0 GROUP BY 1) b ON b.gene = m.gene_b""",
     ("expr", "genes"),
 )
 def coexpression(v: Views):
@@ -505,9 +507,9 @@ def _de(v: Views):
     return m.join(a, "gene").select("cell_type", "gene", F.round("mean", 6).alias("mean"), F.round(F.log2(F.col("mean") / F.col("a")), 6).alias("logfc"), fdr.alias("fdr"))
 
 
-@query(_also("SELECT cell_type, gene, logfc FROM de", _DE), ("expr", "cells"))
+@query(_also("SELECT cell_type, gene, mean, logfc FROM de", _DE), ("expr", "cells"))
 def mean_by_type(v: Views):
-    return _de(v).select("cell_type", "gene", "logfc")
+    return _de(v).select("cell_type", "gene", "mean", "logfc")
 
 
 @query(
@@ -623,33 +625,48 @@ def factor_counts(v: Views):
     return raster.factor_counts(v.pixels)
 
 
-@query("SELECT tx, ty, count(*) AS n FROM (SELECT unnest(range((x - 20) // 500, (x + 20) // 500 + 1)) AS tx, y FROM transcripts WHERE x > 20), LATERAL (SELECT unnest(range((y - 20) // 500, (y + 20) // 500 + 1)) AS ty) WHERE y > 20 GROUP BY 1, 2 HAVING count(*) >= 100", ("transcripts",))
+@query("SELECT tx - 1 AS tx, ty - 1 AS ty, count(*) AS n FROM (SELECT unnest(range((x + 480) // 500, (x + 520) // 500 + 1)) AS tx, y FROM transcripts), LATERAL (SELECT unnest(range((y + 480) // 500, (y + 520) // 500 + 1)) AS ty) GROUP BY 1, 2 HAVING count(*) >= 100", ("transcripts",))
 def overlapping_tiles(v: Views):
-    t = raster.squares(v.transcripts.where("x > 20 and y > 20"), 500, 20)
+    t = raster.squares(v.transcripts, 500, 20)
     return t.groupBy("tx", "ty").agg(F.count("*").alias("n")).where("n >= 100")
 
 
 @query(
-    """SELECT p.cell_id, q.k1 AS channel, count(*) AS n, round(avg(q.p1), 6) AS mean, round(var_samp(q.p1), 6) AS variance FROM (SELECT px + 0.25 AS x, py + 0.25 AS y, k1, p1 FROM pixels WHERE k1 < 3) q
+    """SELECT p.cell_id, q.k1 AS channel, count(*) AS n, round(avg(q.p1), 9) AS mean, round(var_samp(q.p1), 9) AS variance FROM (SELECT px + 0.25 AS x, py + 0.25 AS y, k1, p1 FROM pixels) q
     JOIN planes p ON p.method = 'A2D' AND abs(q.x - p.cx) < p.r AND abs(q.y - p.cy) < p.r AND abs(q.x - p.cx) + abs(q.y - p.cy) < p.r + p.r // 2 GROUP BY 1, 2""",
     ("pixels", "planes"),
 )
 def channel_means(v: Views):
-    px = v.pixels.where("k1 < 3").select((F.col("px") + 0.25).alias("x"), (F.col("py") + 0.25).alias("y"), F.col("k1").alias("channel"), F.col("p1").alias("value"))
-    return raster.channel_means(px, v.boundaries.where("method = 'A2D'").select("cell_id", "xs", "ys"), ["cell_id"]).select("cell_id", "channel", "n", "mean", "variance")
+    px = v.pixels.select((F.col("px") + 0.25).alias("x"), (F.col("py") + 0.25).alias("y"), F.col("k1").alias("channel"), F.col("p1").alias("value"))
+    return raster.channel_means(px, v.boundaries.where("z is null").select("cell_id", "xs", "ys"), ["cell_id"]).select("cell_id", "channel", "n", "mean", "variance")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT gene, (x * sqrt(3) / 3 - y / 3) / (60 / sqrt(3)) AS fq, y * 2 / 3 / (60 / sqrt(3)) AS fr FROM transcripts),
+    g AS (SELECT gene, round(fq) AS q, round(fr) AS r, round(-fq - fr) AS s, abs(round(fq) - fq) AS dq, abs(round(fr) - fr) AS dr, abs(round(-fq - fr) + fq + fr) AS ds FROM f),
+    h AS (SELECT gene, (CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END)::BIGINT AS q, (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q - s ELSE r END)::BIGINT AS r FROM g)
+    SELECT q, r, gene, count(*) AS n FROM h WHERE (q, r) IN (SELECT (q, r) FROM h GROUP BY q, r HAVING count(*) >= 5) GROUP BY 1, 2, 3""".join(("SELECT * FROM (", ")")),
+    ("transcripts",),
+)
 def hexagon_bins(v: Views):
     return raster.hex_bins(v.transcripts, 60.0, 5)
 
 
-@query()
+@query(
+    """SELECT 'visium_' || i || '_' || j AS spot, i::INT AS i, j::INT AS j, round(x0 - 27.5 + j * 100 + CASE WHEN i % 2 = 1 THEN 50 ELSE 0 END, 6)::DOUBLE AS x, round(y0 - 27.5 + i * 100 * sqrt(3) / 2, 6) AS y FROM
+    (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM transcripts), LATERAL (SELECT unnest(range(0, floor((y1 - y0 + 55) / (100 * sqrt(3) / 2))::INT + 1)) AS i), LATERAL (SELECT unnest(range(0, floor((x1 - x0 + 55) / 100)::INT + 1)) AS j)""",
+    ("transcripts",),
+)
 def spot_lattice(v: Views):
     return raster.spot_lattice(v.transcripts)
 
 
-@query()
+@query(
+    """WITH k AS (SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS k)),
+    d AS (SELECT sample, y // 50 AS row, x // 50 AS col, count(*)::DOUBLE AS n FROM transcripts GROUP BY 1, 2, 3)
+    SELECT sample, row + a.k AS row, col + b.k AS col, round(sum(n * a.w * b.w), 6) AS n FROM d, k a, k b GROUP BY 1, 2, 3""".join(("SELECT * FROM (", ")")),
+    ("transcripts",),
+)
 def smoothed_density(v: Views):
     out = raster.smooth(raster.density(v.transcripts, 50, ["sample"]), 1.0, ["sample"])
     return out.select("sample", "row", "col", F.round("n", 6).alias("n"))

@@ -285,17 +285,17 @@ def pca_scores(v: Views):
 @query(
     """SELECT count(*) AS cells, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (SELECT k, min(CASE WHEN l = l2 THEN d END) AS a, min(CASE WHEN l <> l2 THEN d END) AS b FROM
     (SELECT x.vec_id AS k, x.label AS l, y.label AS l2, avg(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS d FROM s x JOIN s y ON x.vec_id <> y.vec_id GROUP BY 1, 2, 3) GROUP BY 1, l)""".join(
-        ("SELECT * FROM (WITH s AS (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 200) ", ")")
+        ("SELECT * FROM (WITH s AS (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 10000) ", ")")
     )
 )
 def silhouette(v: Views):
-    return embed.silhouette(v.embeddings, 200)
+    return embed.silhouette(v.embeddings, 10_000)
 
 
 @query()
 def integrated_vectors(v: Views):
     e = v.embeddings.withColumn("batch", F.col("vec_id") % 4)
-    return embed.integrate(e, "batch", 5, rounds=2).select("vec_id", "batch")
+    return embed.integrate(e, "batch", 5, rounds=2).select("vec_id", "batch", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("SELECT event_type AS gene, count(*) AS n FROM events GROUP BY 1")
@@ -316,15 +316,18 @@ def streamed_bounds(v: Views):
     return v.spark.read.parquet(out)
 
 
-@query("SELECT p.px, p.py, p.k1, count(*) AS n FROM pixels p WHERE p.k1 = 2 GROUP BY 1, 2, 3", ("pixels",))
+@query("SELECT p.px, p.py, p.k1, count(*) AS n FROM pixels p GROUP BY 1, 2, 3", ("pixels",))
 def decoded_pixels(v: Views):
     path = _scratch(v, "decode")
     rows = v.pixels.select(F.concat_ws("\t", "px", "py", "k1", "k2", "k3", "p1", F.lit(0.0), F.lit(0.0)).alias("value"))
     rows.write.text(path)
-    return readers.pixel_decode(v.spark, path).select(F.col("X").alias("px"), F.col("Y").alias("py"), F.get("k", F.lit(0)).alias("k1")).where("k1 = 2").groupBy("px", "py", "k1").agg(F.count("*").alias("n"))
+    return readers.pixel_decode(v.spark, path).select(F.col("X").alias("px"), F.col("Y").alias("py"), F.get("k", F.lit(0)).alias("k1")).groupBy("px", "py", "k1").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "SELECT 'x' AS axis, median(g) AS gap FROM (SELECT x - lag(x) OVER (ORDER BY x) AS g FROM (SELECT DISTINCT x FROM transcripts)) UNION ALL SELECT 'y', median(g) FROM (SELECT y - lag(y) OVER (ORDER BY y) AS g FROM (SELECT DISTINCT y FROM transcripts))",
+    ("transcripts",),
+)
 def grid_gaps(v: Views):
     return v.spark.createDataFrame([(c, float(raster.grid_spacing(v.transcripts, c))) for c in ("x", "y")], "axis string, gap double")
 
@@ -348,7 +351,14 @@ def grid_segments(v: Views):
     return g.select("row", "col", "label", (F.col("component.row") * 100000 + F.col("component.col")).alias("component"))
 
 
-@query()
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE {_GRID}, reach(r0, c0, row, col, label) AS (SELECT row, col, row, col, label FROM grid UNION SELECT r0, c0, g.row, g.col, g.label FROM reach h JOIN grid g ON g.label = h.label AND abs(g.row - h.row) + abs(g.col - h.col) = 1),
+    parts AS (SELECT row, col, label, min(r0 * 100000 + c0) AS component FROM reach GROUP BY 1, 2, 3), small AS (SELECT component FROM parts GROUP BY 1 HAVING count(*) < 3),
+    votes AS (SELECT p.component, o.label AS next, count(*) AS n FROM parts p JOIN small s ON s.component = p.component JOIN parts o ON abs(o.row - p.row) <= 1 AND abs(o.col - p.col) <= 1 AND o.component <> p.component GROUP BY 1, 2),
+    best AS (SELECT component, arg_min(next, (-n, next)) AS next FROM votes GROUP BY 1)
+    SELECT p.row, p.col, coalesce(b.next, p.label) AS label FROM parts p LEFT JOIN best b ON b.component = p.component)""",
+    ("pixels",),
+)
 def without_islands(v: Views):
     return graph.relabel_islands(graph.grid_components(_grid(v)), 3)
 
@@ -372,15 +382,14 @@ def distance_to_factor(v: Views):
 
 
 @query(
-    "SELECT x, y, d, n FROM (SELECT t.x, t.y, min((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y)) AS d, count(DISTINCT o.cell_id) AS n FROM (SELECT DISTINCT x, y FROM transcripts WHERE z = 1) t, octagons o GROUP BY 1, 2)",
+    "SELECT t.x, t.y, min((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y)) AS d, arg_min(o.cell_id, ((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y), o.cell_id)) AS seed FROM (SELECT DISTINCT x, y FROM transcripts) t, octagons o GROUP BY 1, 2",
     ("transcripts", "octagons"),
 )
 def nearest_seed(v: Views):
-    t = v.transcripts.where("z = 1").select("x", "y").distinct()
+    t = v.transcripts.select("x", "y").distinct()
     seeds = v.octagons.select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("cell_id").alias("seed"))
-    n = v.octagons.select("cell_id").distinct().count()
     out = spatial.nearest(t, seeds, ["x", "y"], "seed", 400.0, 3000.0)
-    return out.select("x", "y", F.round(F.col("distance") * F.col("distance")).cast("long").alias("d"), F.lit(n).cast("long").alias("n"))
+    return out.select("x", "y", F.round(F.col("distance") * F.col("distance")).cast("long").alias("d"), "seed")
 
 
 @query(f"SELECT k.src AS cell_id, e.gene, round(sum(e.count) / any_value(n.n), 6) AS mean FROM ({_KNN}) k JOIN expr e ON e.cell_id = k.dst JOIN (SELECT src, count(*) AS n FROM ({_KNN}) GROUP BY 1) n ON n.src = k.src GROUP BY 1, 2", ("cells", "expr"))

@@ -124,3 +124,34 @@ def test_small_tables(spark):
     assert assign.outliers(empty, square).count() == 0
     t = metrics.combine([spark.createDataFrame([("a", 1)], "method string, p int"), spark.createDataFrame([("b", 2)], "method string, q int")])
     assert {tuple(r) for r in t.collect()} == {("a", 1, None), ("b", None, 2)}
+
+
+def test_edges_between_polygons(spark):
+    """A point on an outer edge is in no cell; one that polygons of a method enclose together is in their union."""
+    ring = lambda x, y, s: ([x, x + s, x + s, x], [y, y, y + s, y + s])
+    flat = [("A", c, None, *ring(x, y, 2.0)) for c, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (2.0, 2.0), (10.0, 0.0)])]
+    flat += [("B", 1, 0, *ring(0.0, 0.0, 2.0)), ("B", 2, 0, [2.0, 4.0, 2.0], [0.0, 0.0, 2.0])]
+    polygons = spark.createDataFrame(flat, "method string, cell_id long, z int, xs array<double>, ys array<double>")
+    rows = [(2.0, 1.0), (2.0, 2.0), (0.0, 1.0), (1.0, 1.0), (4.0, 4.0), (10.0, 1.0), (2.0, 0.0), (None, 1.0), (3.0, 0.5)]
+    points = spark.createDataFrame([(x, y, 0) for x, y in rows] + [(2.0, 1.0, 1)], "x double, y double, z int")
+    got = {(r["x"], r["y"], r["z"]): sorted(r["methods"]) for r in assign.assigned_transcripts(points, polygons, 3.0).collect()}
+    assert got == {
+        (2.0, 1.0, 0): ["A", "B"], (2.0, 1.0, 1): ["A"], (2.0, 2.0, 0): ["A"], (0.0, 1.0, 0): [], (1.0, 1.0, 0): ["A", "B"], (4.0, 4.0, 0): [],
+        (10.0, 1.0, 0): [], (2.0, 0.0, 0): [], (None, 1.0, 0): [], (3.0, 0.5, 0): ["A", "B"],
+    }
+    counts = assign.cell_by_gene(points.withColumn("gene", F.lit("g")), polygons, 1).collect()
+    assert {(r["method"], r["cell_id"], r["count"]) for r in counts} == {("A", 0, 1), ("A", 1, 1), ("B", 1, 1), ("B", 2, 1)}
+    assert assign.pct_assigned(points.limit(0).withColumn("gene", F.lit("g")), polygons, ["gene"]).count() == 0
+
+
+def test_integration_and_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 3))
+    v = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(30)], "vec_id long, batch int, embedding array<double>")
+    got = np.array([r["vector"] for r in embed.integrate(v, "batch", 1, rounds=1).orderBy("vec_id").collect()])
+    want = x - np.array([x[i % 2 :: 2].mean(axis=0) for i in range(30)]) + x.mean(axis=0)
+    assert np.allclose(got, want, atol=1e-9)  # with one cluster each batch moves to the mean of all
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 4.0, 0.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0), (None, 1.0, 1.0), (None, 1.0, 1.0)], "cell_id long, x double, y double")
+    assert {tuple(r) for r in spatial.pair_scores(p, 1.0).collect()} == {(1, 3, 1, 0.333333), (2, 2, 1, 1.0)}
+    two = metrics.coexpression(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "cell_id long, gene string, count int"), spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "t")], "gene string, gene_set string"))
+    assert {tuple(r) for r in two.collect()} == {("a", "b", 0, 2, 0.0), ("a", "c", 0, 1, 0.0)}
