@@ -2,8 +2,8 @@
 
 Both operators first cut each document into runs of windows that share an anchor (the least gram hash in the window).
 Equal windows have equal anchors, so only runs whose anchor occurs again can hold a repeated window. What a run covers
-gets a BLAKE2b digest of 128 bits: runs that are equal as a whole are settled by counting, and only one of each goes on
-to be compared window by window. All counting is pre-aggregated, so thousands of copies come down to one row for each
+gets a BLAKE2b digest (128 bits with bytes; 64 with words, beside 128 of hashes): runs that are equal as a whole are
+settled by counting, and only one of each goes on to be compared window by window. All counting is pre-aggregated, so thousands of copies come down to one row for each
 chunk of text.
 
 Documents are told apart by doc_id and a digest of their text, so rows that share a doc_id do no harm.
@@ -74,7 +74,7 @@ def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, unit: str, window: int, gram: int, double: bool = False) -> DataFrame:
-    """Runs of windows: anchor, run and again (digest), doc_id, at (v and first window), size (number of windows, anchor's place).
+    """Runs of windows: anchor, run and, of bytes, again (digest), doc_id, at (v and first window), size (number of windows, anchor's place).
 
     With `double`, a run has only windows that hold one and the same gram of twice the length around the anchor, and half
     is its hash: the gram goes on to the right of the anchor where every such window has room for that, else to the left.
@@ -107,14 +107,14 @@ def _runs(docs: DataFrame, unit: str, window: int, gram: int, double: bool = Fal
                         "anchor": pa.array(anchor.view(np.int64)),
                         **cols,
                         "run": pa.array(digest[:, 0]),
-                        "again": pa.array(digest[:, 1]),
+                        **({} if unit == "words" else {"again": pa.array(digest[:, 1])}),
                         "doc_id": part["doc_id"].take(pa.array(row)),
                         "at": pa.array((v[row] << _START_BITS) | (first - offsets[row])),
                         "size": pa.array((count << _PLACE_BITS) | place),
                     }
                 )
 
-    return docs.mapInArrow(cut, f"anchor long, {'half long, ' * double}run long, again long, doc_id long, at long, size long")
+    return docs.mapInArrow(cut, f"anchor long, {'half long, ' * double}run long, {'again long, ' * (unit == 'bytes')}doc_id long, at long, size long")
 
 
 def _v() -> Column:
@@ -378,7 +378,7 @@ def repeated_words(docs: DataFrame, length: int = 13) -> DataFrame:
         longer = save(hits.drop("anchor").join(halves, "half").withColumnRenamed("half", "anchor"), "repeats-doubled")
         drop_saved(hits, halves)
         hits = longer
-    same = ["anchor", "run", "again"]
+    same = ["anchor", "run"]
     contexts = save(
         hits.groupBy(*same).agg(
             F.count("*").alias("c"), F.min(F.struct(doc.alias("d"), "doc_id", "at")).alias("rep"), F.max(doc).alias("last"), F.min("size").alias("size")
