@@ -22,7 +22,7 @@ from spotloom.llm.shared import drop_saved, save
 #: Both models share one vocabulary: classes of lower-case words by hash; 0 stands before a text's first word.
 VOCABULARY = 1 << 16
 #: Words of a chunk (besides one text that is longer), and words for each range of pairs, up to so many ranges.
-CHUNK_WORDS, RANGE_WORDS, MOST_RANGES = 1 << 21, 1 << 21, 1 << 12
+CHUNK_WORDS, RANGE_WORDS, MOST_RANGES = 1 << 19, 1 << 21, 1 << 12
 
 _SPREAD = np.uint32(2654435761)  # odd, so a pair can be told from its spread number
 _GATHER = np.uint32(pow(2654435761, -1, 1 << 32))
@@ -91,7 +91,9 @@ def _chunks(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def _pairs(chunks: DataFrame, bits: int) -> DataFrame:
-    """The different pairs of each chunk with their counts in all texts (n) and in those of the target (t), by ranges."""
+    """The different pairs of each chunk with their counts in all texts (n) and in those of the target (t), by ranges.
+
+    They are told again where they are needed again: that takes less than a table of them."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +117,7 @@ def _pairs(chunks: DataFrame, bits: int) -> DataFrame:
                     }
                 )
 
-    return save(chunks.mapInArrow(tell, _PAIRS), "lm-pairs")
+    return chunks.mapInArrow(tell, _PAIRS)
 
 
 def _counts(pairs: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def _answers(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("binary")
     both = pairs.select("part", "chunk", "pairs", none.alias("n"), none.alias("t")).unionByName(counts)
     dealt = both.repartition("part").sortWithinPartitions("part", "chunk")
-    return dealt.mapInArrow(answer, "chunk long, part int, size long, all binary, target binary")
+    return save(dealt.mapInArrow(answer, "chunk long, part int, size long, all binary, target binary"), "lm-answers")
 
 
 def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,6 +267,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     pairs = _pairs(chunks, bits)
     counts = _counts(pairs)
     totals = docs.sparkSession.sparkContext.broadcast(_totals(counts))
+    answers = _answers(pairs, counts)
+    drop_saved(counts)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, every, of_target = None, [], []
@@ -307,8 +311,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     none = F.lit(None).cast("binary")
     asked = chunks.select("chunk", F.lit(-1).alias("part"), "doc_id", "hit", "size", "words", "n", none.alias("all"), none.alias("target"))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "array<long>"), ("hit", "array<boolean>"), ("size", "array<long>"), ("words", "binary"))]
-    told = _answers(pairs, counts).select("chunk", "part", *empty, F.col("size").alias("n"), "all", "target")
+    told = answers.select("chunk", "part", *empty, F.col("size").alias("n"), "all", "target")
     dealt = asked.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "part")
     out = save(dealt.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"), "lm-scores")
-    drop_saved(chunks, pairs, counts)
+    drop_saved(chunks, answers)
     return out
