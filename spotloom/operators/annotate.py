@@ -76,3 +76,32 @@ def decide(scores: DataFrame, cells: DataFrame, labels: DataFrame, high: float =
     reason = F.when(F.coalesce(move, F.lit(False)), "reassigned").when(F.coalesce(F.col("best_mean") < low, F.lit(True)), "undefined").otherwise("kept")
     out = all_.withColumn("reason", reason)
     return out.select("cluster", "label", F.when(F.col("reason") == "reassigned", F.col("best")).when(F.col("reason") == "undefined", "Undefined").otherwise(F.col("label")).alias("decided"), "reason")
+
+
+def flatten_levels(df: DataFrame, names: DataFrame) -> DataFrame:
+    """cell_id and, of each taxonomy level, a flat row: names of node and of the first two runners-up, their correlations and
+    probabilities, and the leads over both.
+
+    df has cell_id, level, assignment, avg_correlation, probability and the arrays runner_up, runner_up_correlation,
+    runner_up_probability; names(level, node, name) gives nodes their names, "Unknown" where it has none. A runner-up that
+    is missing is null, and its lead 1.
+    """
+    named = F.broadcast(names.groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("node", "name"))).alias("names")))  # a taxonomy
+    at = df.join(named, "level", "left")
+    name = lambda node: F.when(node.isNotNull(), F.coalesce(F.try_element_at("names", node), F.lit("Unknown")))
+    out = [F.col("cell_id"), F.col("level"), name(F.col("assignment")).alias("assignment"), F.col("avg_correlation"), F.col("probability")]
+    for k in (1, 2):
+        p = F.get("runner_up_probability", F.lit(k - 1))
+        out += [
+            name(F.get("runner_up", F.lit(k - 1))).alias(f"runner_{k}"),
+            F.get("runner_up_correlation", F.lit(k - 1)).alias(f"runner_{k}_correlation"),
+            p.alias(f"runner_{k}_probability"),
+            F.coalesce(F.col("probability") - p, F.lit(1.0)).alias(f"lead_{k}"),
+        ]
+    return at.select(*out)
+
+
+def revised_summary(cells: DataFrame, before: list[str], after: str = "decided") -> DataFrame:
+    """column, label, n, n_after: cells of each label in each of several label columns, and how many of them kept it."""
+    long = cells.unpivot(["cell_id", after], before, "column", "label").where(F.col("label").isNotNull())
+    return long.groupBy("column", "label").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == F.col(after), 1)).alias("n_after"))

@@ -354,3 +354,25 @@ def negative_binomial(pb: DataFrame, samples: DataFrame, test: str, ref: str, ot
 
     here = pb.join(F.broadcast(lib.select("sample")), "sample", "left_semi").select("gene", "sample", "count")  # one row for each sample
     return here.groupBy("gene").applyInPandas(fit, schema)
+
+
+def marker_ratios(de: DataFrame) -> DataFrame:
+    """gene, ratio (greatest logfc by the second one, null where that is 0), sd (sample deviation over types)."""
+    w = Window.partitionBy("gene").orderBy(F.desc("logfc"), "cell_type")
+    ranked = de.where("logfc is not null").withColumn("r", F.row_number().over(w))
+    top = lambda k: F.max(F.when(F.col("r") == k, F.col("logfc")))
+    g = ranked.groupBy("gene").agg(top(1).alias("first"), top(2).alias("second"), F.stddev_samp("logfc").alias("sd"))
+    return g.select("gene", F.round(F.when(F.col("second") != 0, F.col("first") / F.col("second")), 6).alias("ratio"), F.round("sd", 6).alias("sd"))
+
+
+def shaped_results(de: DataFrame, test: str, ref: str, columns: dict[str, str], most_fdr: float | None = None) -> DataFrame:
+    """A result table in its final form: columns renamed and in the order given, fc = 2 ** logfc, test = "AvsB", by FDR cut."""
+    out = de.withColumns({"fc": F.pow(F.lit(2.0), F.col("logfc")), "test": F.lit(f"{test}vs{ref}"), "test_group": F.lit(test), "ref": F.lit(ref)})
+    out = out if most_fdr is None else out.where(F.col("fdr") <= most_fdr)
+    return out.select(*[F.col(a).alias(b) for a, b in columns.items()])
+
+
+def top_n(df: DataFrame, by: list[str], value: str, tie: str, n: int) -> DataFrame:
+    """The n rows of each group with the greatest value, ties by name, with their rank."""
+    w = Window.partitionBy(*by).orderBy(F.desc(value), tie)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators.tables import keep
@@ -97,3 +97,38 @@ def integrate(vectors: DataFrame, batch: str, k: int, value: str = "embedding",
         moved = c.join(F.broadcast(own), ["cluster", batch]).join(F.broadcast(all_), "cluster")  # k times batches rows
         cur = moved.select(key, batch, F.zip_with(F.zip_with("vector", "mb", lambda x, y: x - y), "mc", lambda x, y: x + y).alias("vector"))
     return cur
+
+
+def k_nearest_vectors(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """src, dst, rank: the k nearest other vectors of each (Euclidean, ties by key), exactly.
+
+    Blocks of vectors meet in pairs of blocks, each pair in a task of its own, and keep k candidates for each row; work and
+    rows dealt grow with the square, and with the square by `block`, of the number of vectors: for samples of cells, not for whole cohorts.
+    """
+    rows = keep(vectors.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("array<double>").alias("v")), "knn")
+    n = max(1, -(-rows.count() // block))
+    at = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+    left = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("own", "other", "k", "v", F.lit(False).alias("right"))
+    right = at.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("first").alias("own"), F.col("own").alias("other"), "k", "v", F.lit(True).alias("right"))
+
+    def nearest(table: pa.Table) -> pa.Table:
+        keys, side = table["k"].to_numpy(), table["right"].to_numpy(zero_copy_only=False)
+        x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        order = np.flatnonzero(side)[np.argsort(keys[side], kind="stable")]
+        y, ky = x[order], keys[order]
+        out = []
+        mine = np.flatnonzero(~side)
+        for s in range(0, len(mine), 64):
+            rows_of = mine[s : s + 64]
+            d = ((x[rows_of][:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+            d[keys[rows_of][:, None] == ky[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, best, axis=1)
+            ok = np.isfinite(near)
+            out.append((np.repeat(keys[rows_of], ok.sum(axis=1)), ky[best][ok], near[ok]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"src": cols[0], "dst": cols[1], "d2": cols[2]})
+
+    met = left.unionByName(right).groupBy("own", "other").applyInArrow(nearest, "src long, dst long, d2 double")
+    w = Window.partitionBy("src").orderBy("d2", "dst")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank")

@@ -57,3 +57,27 @@ def distribution(df: DataFrame, by: str, label: str) -> DataFrame:
 def summed_once(df: DataFrame, once: list[str], by: list[str], value: str) -> DataFrame:
     """The first value of each `once` group, summed over `by`: values repeated for each row are not counted twice."""
     return df.groupBy(*once).agg(F.min(value).alias(value)).groupBy(*by).agg(F.round(F.sum(value), 6).alias(value))
+
+
+def allowed_f1(area: DataFrame, totals: DataFrame, allowed: DataFrame) -> DataFrame:
+    """factor, f1 of area(cell_type, factor, area) and totals(factor, total), with the types allowed(factor, cell_type).
+
+    TP: covered by allowed types; FP: by others; FN: the rest of the factor. Two rows more: macro (mean over factors) and
+    micro (pooled).
+    """
+    own = area.join(F.broadcast(allowed.select("factor", "cell_type", F.lit(True).alias("own")).distinct()), ["factor", "cell_type"], "left")  # types by factors
+    s = own.groupBy("factor").agg(F.sum(F.when(F.col("own"), F.col("area")).otherwise(0.0)).alias("tp"), F.sum("area").alias("every"))
+    s = s.join(allowed.select("factor").distinct(), "factor", "left_semi").join(totals.groupBy("factor").agg(F.sum("total").alias("total")), "factor")
+    s = s.select(F.col("factor").cast("string").alias("factor"), "tp", (F.col("every") - F.col("tp")).alias("fp"), (F.col("total") - F.col("every")).alias("fn"))
+    f1 = lambda tp, fp, fn: 2 * tp / (2 * tp + fp + fn)
+    each = s.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
+    macro = each.agg(F.avg("f1").alias("f1")).select(F.lit("macro").alias("factor"), "f1")
+    micro = s.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(F.lit("micro").alias("factor"), f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+    return each.select("factor", "f1").unionByName(macro).unionByName(micro).select("factor", F.round("f1", 6).alias("f1"))
+
+
+def lineage_ratios(cells: DataFrame, lineages: dict[str, list[str]], by: str = "method", label: str = "cell_type") -> DataFrame:
+    """by, n, and of each lineage its number and percentage of a group's cells."""
+    counts = {k: F.count(F.when(F.col(label).isin(*v), 1)) for k, v in lineages.items()}
+    out = cells.groupBy(by).agg(F.count("*").alias("n"), *[c.alias(f"n_{k}") for k, c in counts.items()])
+    return out.withColumns({f"pct_{k}": F.round(100.0 * F.col(f"n_{k}") / F.col("n"), 6) for k in lineages})

@@ -129,3 +129,81 @@ def counts_by_sample(transcripts: DataFrame, samples: list[str]) -> DataFrame:
     """gene, one column of counts for each of the samples (0 where none), total over all transcripts of the gene."""
     each = [F.count(F.when(F.col("sample") == s, 1)).alias(s) for s in samples]
     return transcripts.groupBy("gene").agg(*each, F.count("*").alias("total"))
+
+
+def refilter(cells: DataFrame, min_counts: int = 20, min_genes: int = 5, overrides: dict[str, int] | None = None) -> DataFrame:
+    """cells(method, n_counts, n_genes) with enough counts and genes; overrides: other least counts by method prefix."""
+    least = F.lit(min_counts)
+    for prefix, k in (overrides or {}).items():
+        least = F.when(F.coalesce("method", F.lit("")).startswith(prefix), F.lit(k)).otherwise(least)
+    return cells.where((F.col("n_counts") >= least) & (F.col("n_genes") >= min_genes))
+
+
+def with_boundaries(cells: DataFrame, boundaries: DataFrame, min_counts: int = 10, most_missing: float = 0.05, key: str = "cell_id") -> DataFrame:
+    """cells(key, n_counts, ...) that have a boundary; an error if more than most_missing of those with enough counts have none."""
+    known = boundaries.select(F.col(key).alias("__k")).where("__k is not null").distinct()
+    seen = cells.where(F.col("n_counts") >= min_counts).join(known, F.col(key) == F.col("__k"), "left").agg(F.count("*").alias("n"), F.count("__k").alias("k")).head()
+    if seen["n"] and (seen["n"] - seen["k"]) / seen["n"] > most_missing:
+        raise ValueError(f"{seen['n'] - seen['k']} of {seen['n']} cells with {min_counts} counts or more have no boundary")
+    return cells.join(known, F.col(key) == F.col("__k"), "left_semi")
+
+
+def mapped_ids(cells: DataFrame, ids: DataFrame, key: str = "cell_id") -> DataFrame:
+    """cells with the ids(key, new_id) that a map gives them; cells it does not name are left out."""
+    return cells.join(ids.select(key, "new_id").distinct(), key)
+
+
+def mean_area(cells: DataFrame, by: str = "method", area: str = "area", outlier: str = "is_outlier") -> DataFrame:
+    """by, mean_area: rounded mean area of the cells that are not outliers (half to even)."""
+    return cells.where(~F.coalesce(outlier, F.lit(False))).groupBy(by).agg(F.bround(F.avg(area), 0).alias("mean_area"))
+
+
+def transcript_density(cells: DataFrame, by: str = "method", planes: int = 7) -> DataFrame:
+    """by, density: mean of n_counts / (area * planes), 4 digits; cells without area take no part."""
+    return cells.where("area > 0").groupBy(by).agg(F.round(F.avg(F.col("n_counts") / (F.col("area") * planes)), 4).alias("density"))
+
+
+def covered_fraction(cells: DataFrame, tissue: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, volume, fraction: summed volume of cells by the tissue's volume(keys, tissue_volume)."""
+    g = cells.groupBy(*keys).agg(F.sum("volume").alias("volume")).join(tissue, keys)
+    return g.select(*keys, F.round("volume", 4).alias("volume"), F.round(F.col("volume") / F.col("tissue_volume"), 6).alias("fraction"))
+
+
+def total_z_scores(transcripts: DataFrame, controls: str = "Blank") -> DataFrame:
+    """gene, n, z: totals of genes that are no control probes, and their z-scores (population deviation; 0 where it is 0)."""
+    totals = transcripts.where(~F.col("gene").startswith(controls)).groupBy("gene").agg(F.count("*").alias("n"))
+    over = Window.partitionBy()  # one row for each gene
+    mean, sd = F.avg("n").over(over), F.stddev_pop("n").over(over)
+    return totals.withColumn("z", F.round(F.when(sd > 0, (F.col("n") - mean) / sd).otherwise(0.0), 6))
+
+
+def order_by_median(df: DataFrame, value: str, by: str = "method") -> DataFrame:
+    """by, median, rank: groups in falling order of their median, then by name."""
+    g = df.groupBy(by).agg(F.median(value).alias("median"))
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("median"), by)))  # one row for each group
+
+
+def random_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = 0) -> DataFrame:
+    """About a fraction of the rows, by a digest of their key: the same rows in every run."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), 1, 8), 16, 10).cast("long")
+    return df.where(digest < F.lit(int(fraction * (1 << 32))))
+
+
+def distinct_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each combination of the keys once."""
+    return df.select(*keys).dropDuplicates()
+
+
+def prior_pairs(counts: DataFrame, method: str = "method", value: str = "n") -> DataFrame:
+    """method, prior, n_samples, r: each method with each method before it by name, and the correlation of their counts by sample."""
+    a = counts.select(F.col(method).alias("method"), "sample", F.col(value).cast("double").alias("a"))
+    b = counts.select(F.col(method).alias("prior"), "sample", F.col(value).cast("double").alias("b"))
+    g = a.join(b, "sample").where("prior < method").groupBy("method", "prior")
+    return g.agg(F.count("*").alias("n_samples"), F.round(F.corr("a", "b"), 6).alias("r"))
+
+
+def mean_expression(expr: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, gene, mean count over a group's cells, absent rows as zeros; genes that no cell of a group has are absent."""
+    n = cells.groupBy(*by).agg(F.count("*").alias("n"))
+    s = expr.join(cells.select("cell_id", *by), "cell_id").groupBy(*by, "gene").agg(F.sum("count").alias("s"))
+    return s.join(n, by).select(*by, "gene", F.round(F.col("s") / F.col("n"), 6).alias("mean"))

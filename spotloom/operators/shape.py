@@ -98,3 +98,55 @@ def one_cell_each(pairs: DataFrame, key: list[str], area: str = "area") -> DataF
     """Overlaps removed: each transcript keeps the cell of least area, then of least id."""
     w = Window.partitionBy(*key).orderBy(area, "cell_id")
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def repaired(polygons: DataFrame) -> DataFrame:
+    """Polygons whose rings have three corners or more and an area; null rings go."""
+    return polygons.where(F.col("xs").isNotNull() & F.col("ys").isNotNull() & (F.size("xs") >= 3) & (F.size("xs") == F.size("ys")) & (geometry.area(F.col("xs"), F.col("ys")) > 0))
+
+
+def morphology(boundaries: DataFrame, dz: float = 1.5, planes: int = 7) -> DataFrame:
+    """Tall table over all boundary sets: method, cell_id, dimensionality, planes, volume, sphericity, surface (3D only).
+
+    A method whose polygons have a plane is 3D; in the others a cell has `planes` planes of its one outline.
+    """
+    flat = flat_shape(boundaries.where("z is null"), dz * planes).withColumns({"dimensionality": F.lit("2D"), "planes": F.lit(1).cast("long"), "surface": F.lit(None).cast("double")})
+    deep = deep_shape(boundaries.where("z is not null"), dz).withColumn("dimensionality", F.lit("3D"))
+    columns = ["method", "cell_id", "dimensionality", "planes", "volume", "sphericity", "surface"]
+    return flat.select(*columns).unionByName(deep.select(*columns))
+
+
+def with_volume(cells: DataFrame, boundaries: DataFrame, dz: float = 1.5, planes: int = 7) -> DataFrame:
+    """cells(method, cell_id, ...) that have a boundary, with the volume, sphericity and solidity of their kind of method; older
+    columns of these names, and area, are replaced."""
+    shapes = morphology(boundaries, dz, planes).drop("surface", "planes")
+    flat = boundaries.withColumn("area", geometry.area(F.col("xs"), F.col("ys"))).groupBy("method", "cell_id").agg(F.max("area").alias("area"))
+    known = cells.drop("area", "volume", "sphericity", "dimensionality")
+    return known.join(shapes.join(flat, ["method", "cell_id"]), ["method", "cell_id"])
+
+
+def plane_sums(polygons: DataFrame, dz: float = 1.5) -> DataFrame:
+    """method, cell_id, planes, area (sum), volume (sum * dz), perimeter (mean), circularity (mean over planes that have a
+    perimeter), elongation (1 - shortest by longest side of the x, y, z box)."""
+    s = flat_shape(polygons).withColumns({"bx0": F.array_min("xs"), "bx1": F.array_max("xs"), "by0": F.array_min("ys"), "by1": F.array_max("ys")})
+    g = s.groupBy("method", "cell_id").agg(
+        F.count("*").alias("planes"),
+        F.sum("area").alias("area"),
+        (F.sum("area") * dz).alias("volume"),
+        F.avg("perimeter").alias("perimeter"),
+        F.avg("sphericity").alias("circularity"),
+        *[(F.max(b) - F.min(a)).cast("double").alias(d) for d, a, b in (("dx", "bx0", "bx1"), ("dy", "by0", "by1"), ("dz", "z", "z"))],
+    )
+    long = F.greatest("dx", "dy", "dz")
+    return g.withColumn("elongation", F.when(long > 0, 1 - F.least("dx", "dy", "dz") / long)).drop("dx", "dy", "dz")
+
+
+def dissolved_cells(boundaries: DataFrame) -> DataFrame:
+    """method, cell_id, parts: all outlines of a cell, over its planes and fragments, as one multi-part boundary; a point is
+    in it when any part holds it."""
+    return boundaries.groupBy("method", "cell_id").agg(F.sort_array(F.collect_set(F.struct("xs", "ys"))).alias("parts"))
+
+
+def parts(dissolved: DataFrame) -> DataFrame:
+    """One row for each part of dissolved_cells(): method, cell_id, xs, ys."""
+    return dissolved.select("method", "cell_id", F.explode("parts").alias("p")).select("method", "cell_id", "p.xs", "p.ys")

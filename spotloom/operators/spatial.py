@@ -135,6 +135,7 @@ def pair_scores(points: DataFrame, factor: float, key: str = "cell_id") -> DataF
 
     Pairs are looked for by tiles as wide as that radius, so a crowded cell is split; rows without key take no part.
     """
+    points = points.where(F.col(key).isNotNull())
     box = points.groupBy(key).agg(
         F.count("*").alias("n"),
         F.min("x").alias("x0"),
@@ -143,7 +144,7 @@ def pair_scores(points: DataFrame, factor: float, key: str = "cell_id") -> DataF
     )
     box = keep(box.where("n > 1"), "pair-boxes")
     # Numbered once and written: both sides of the join see the same numbers.
-    p = keep(points.where(F.col(key).isNotNull()).select(key, "x", "y").withColumn("at", F.monotonically_increasing_id()), "pair-points").join(box, key)
+    p = keep(points.select(key, "x", "y").withColumn("at", F.monotonically_increasing_id()), "pair-points").join(box, key)
     side = lambda c, o: F.when(F.col("r2") > 0, F.floor((F.col(c) - F.col(o)) / F.sqrt("r2"))).otherwise(0)
     p = p.withColumns({"tx": side("x", "x0"), "ty": side("y", "y0")})
     steps = F.array(*map(F.lit, (-1, 0, 1)))

@@ -158,3 +158,47 @@ def test_integration_and_pairs(spark):
     assert {tuple(r) for r in spatial.pair_scores(p, 1.0).collect()} == {(1, 3, 1, 0.333333), (2, 2, 1, 1.0)}
     two = metrics.coexpression(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "cell_id long, gene string, count int"), spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "t")], "gene string, gene_set string"))
     assert {tuple(r) for r in two.collect()} == {("a", "b", 0, 2, 0.0), ("a", "c", 0, 1, 0.0)}
+
+
+def test_segments_split_by_seeds(spark):
+    rng = np.random.default_rng(6)
+    label = rng.integers(0, 2, (12, 12))
+    grid = spark.createDataFrame([(int(r), int(c), int(label[r, c])) for r in range(12) for c in range(12)], "row long, col long, label int")
+    parts = graph.grid_components(grid).withColumn("component", F.col("component.row") * 100 + F.col("component.col"))
+    seeds = [(int(r), int(c), int(k)) for k, (r, c) in enumerate(rng.integers(0, 12, (9, 2)))]
+    got = {(r["row"], r["col"]): r["seed"] for r in raster.split_by_seeds(parts, spark.createDataFrame(seeds, "row long, col long, seed long")).collect()}
+    best = {}
+    for r, c, k in seeds:
+        best[r, c] = min(k, best.get((r, c), k))
+    fresh = dict(best)
+    while fresh:
+        told = {}
+        for (r, c), k in fresh.items():
+            for q in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if q not in best and 0 <= q[0] < 12 and 0 <= q[1] < 12 and label[q] == label[r, c]:
+                    told[q] = min(k, told.get(q, k))
+        best |= told
+        fresh = told
+    assert got == {(r, c): best.get((r, c)) for r in range(12) for c in range(12)}
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_vectors(spark, block):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((40, 4))
+    x[5] = x[9]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)] + [(99, None)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embed.k_nearest_vectors(v, 3, block=block).collect())
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == sorted((i, int(j), r + 1) for i in range(40) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3]))
+    assert embed.k_nearest_vectors(v.limit(0), 3).count() == 0
+
+
+def test_missing_boundaries_and_repair(spark):
+    cells = spark.createDataFrame([(i, 20 if i else 1) for i in range(10)], "cell_id long, n_counts int")
+    assert qc.with_boundaries(cells, cells.where("cell_id > 0")).count() == 9
+    with pytest.raises(ValueError):
+        qc.with_boundaries(cells, cells.where("cell_id > 3"))
+    rings = spark.createDataFrame([([0.0, 1.0, 1.0], [0.0, 0.0, 1.0]), ([0.0, 1.0], [0.0, 0.0]), ([0.0, 1.0, 2.0], [0.0, 0.0, 0.0]), (None, None)], "xs array<double>, ys array<double>")
+    assert shape.repaired(rings).count() == 1
