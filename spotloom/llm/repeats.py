@@ -200,14 +200,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int
     Returns of, ov (doc_id and digest of the text), ranges. Strings never cross documents; null texts have no bytes;
     repeated rows are documents of their own and hence repeat each other.
     """
-    hits = _hits(docs, "bytes", length, gram, "n > 1")
-    same = ["anchor", "run", "again"]
-    contexts = save(hits.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("rep"), F.min("size").alias("size")), "repeats-runs")
-    copied = save(contexts.where("c > 1").select(*same), "repeats-copied")
-    whole = hits.join(copied, same).select("doc_id", _v(), _start(), _n())
-    several = save(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "repeats-several")
-    open_runs = contexts.join(several, "anchor").select("anchor", "k", "c", "rep.doc_id", F.col("rep.at").alias("at"), "size")
-    open_runs = save(open_runs.select("doc_id", _v(), "anchor", "k", "c", _start(), "size"), "repeats-unsettled")
+    whole, open_runs = _equal_runs(_hits(docs, "bytes", length, gram, "n > 1"))
 
     def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = textcols.utf8(part["text"])
@@ -220,16 +213,18 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int
         count = np.diff(np.append(first, len(zone)))
         owner, number, place, zone = owner[first], number[first], place[first], zone[first]
         core = start[owner] + number + place - _PIECE * zone + offsets[row[owner]]  # all windows of a zone hold these bytes
+        begin = start[owner] + number + offsets[row[owner]]
+        digest = _digests(raw, begin, begin + count + length - 1)
         anchor = e.field("anchor").to_numpy()[owner].view(np.uint64)
         key = textcols.mix(textcols.PrefixHash(raw).of(core, core + length - _PIECE + 1) + anchor * np.uint64(_PIECE * 2 + 1) + zone.astype(np.uint64))
-        rows = pa.array(row[owner])
+        v = part["v"].to_numpy()[row[owner]]
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": part["doc_id"].take(rows),
-                "v": part["v"].take(rows),
                 "anchor": pa.array(key.view(np.int64)),
-                "c": e.field("c").take(pa.array(owner)),
-                "start": pa.array(start[owner] + number),
+                "run": pa.array(digest[:, 0]),
+                "again": pa.array(digest[:, 1]),
+                "doc_id": part["doc_id"].take(pa.array(row[owner])),
+                "at": pa.array((v << _START_BITS) | (start[owner] + number)),
                 "size": pa.array((count << _PLACE_BITS) | place),
             }
         )
@@ -239,21 +234,37 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, hot: int
         row, e = _list_of(part)
         begin = e.field("start").to_numpy() + offsets[row]
         span = (e.field("size").to_numpy() >> _PLACE_BITS) + length - 1
-        at, _ = textcols.ranges(begin, span)
-        bounds = np.zeros(len(span) + 1, np.int32)
-        np.cumsum(span, out=bounds[1:])
-        content = pa.Array.from_buffers(pa.binary(), len(span), [None, pa.py_buffer(bounds), pa.py_buffer(raw[at])])
-        rows = pa.array(row)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": part["doc_id"].take(rows), "v": part["v"].take(rows), **{c: e.field(c) for c in ("anchor", "c", "start", "size")}, "content": content}
-        )
-
-    schema = "doc_id long, v long, anchor long, c long, start long, size long"
-    split = save(_cut_out(docs, open_runs.where(F.col("k") > hot), pieces, schema), "repeats-pieces")
-    met = split.join(save(split.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeats-met"), "anchor", "left_semi")
-    to_sort = open_runs.where(F.col("k") <= hot).drop("k").unionByName(met)
-    cut = save(_cut_out(docs, to_sort, contents, schema + ", content binary"), "repeats-contents")
-    return _ranges_by_doc(whole.unionByName(_sorted_out(cut, length)), "repeats-ranges")
+        first = 0
+        while first < len(span):  # contents overlap, so they may hold much more than the text
+            total = np.cumsum(span[first : first + 65536])
+            n = max(1, int(np.searchsorted(total, textcols.CHUNK_BYTES, "right")))
+            at, _ = textcols.ranges(begin[first : first + n], span[first : first + n])
+            bounds = np.concatenate([[0], total[:n]]).astype(np.int32)
+            content = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(raw[at])])
+            rows = pa.array(row[first : first + n])
+            cols = {c: e.field(c).slice(first, n) for c in ("anchor", "c", "start", "size")}
+            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(rows), "v": part["v"].take(rows), **cols, "content": content})
+            first += n
+
+    schema = "doc_id long, v long, anchor long, c long, start long, size long, content binary"
+    split = save(_cut_out(docs, open_runs.where(F.col("k") > hot), pieces, "anchor long, run long, again long, doc_id long, at long, size long"), "repeats-pieces")
+    equal, open_pieces = _equal_runs(split)
+    to_sort = open_runs.where(F.col("k") <= hot).unionByName(open_pieces).drop("k")
+    cut = save(_cut_out(docs, to_sort, contents, schema), "repeats-contents")
+    return _ranges_by_doc(whole.unionByName(equal).unionByName(_sorted_out(cut, length)), "repeats-ranges")
+
+
+def _equal_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs (anchor, run, again, doc_id, at, size): the ranges doc_id, v, start, n of those that occur again as a whole, and
+    one of each of the others, if its anchor has several, to be compared window by window: doc_id, v, anchor, k (different
+    runs of the anchor), c (how often it occurs), start, size."""
+    same = ["anchor", "run", "again"]
+    contexts = save(rows.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("rep"), F.min("size").alias("size")), "repeats-runs")
+    copied = save(contexts.where("c > 1").select(*same), "repeats-copied")
+    whole = rows.join(copied, same).select("doc_id", _v(), _start(), _n())
+    several = save(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "repeats-several")
+    open_runs = contexts.join(several, "anchor").select("anchor", "k", "c", "rep.doc_id", F.col("rep.at").alias("at"), "size")
+    return whole, save(open_runs.select("doc_id", _v(), "anchor", "k", "c", _start(), "size"), "repeats-unsettled")
 
 
 def _runs_of(hit: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
