@@ -108,6 +108,14 @@ ORACLES: dict[str, str] = {
         gone AS (SELECT line FROM named WHERE template IN (SELECT n.template FROM named n JOIN each e ON e.line = n.line GROUP BY 1 HAVING count(DISTINCT (e.doc_id, e.text)) >= 10))
         SELECT any_value(e.doc_id) AS doc_id, count(*)::INT AS n_lines, count(g.line)::INT AS n_dropped, sha256(coalesce(string_agg(e.raw, chr(10) ORDER BY e.pos) FILTER (g.line IS NULL), '')) AS kept_sha256
         FROM each e LEFT JOIN gone g ON g.line = e.line GROUP BY e.rid""",
+    "op6_suffix_dedup": """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (SELECT rid, 500 * j AS first, substr(h, 1000 * j + 1, 1398) AS h FROM (SELECT rid, h, unnest(range(length(h) // 1000 + 1)) AS j FROM d)),
+        w AS (SELECT rid, first + i AS i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 400 <= length(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS k FROM (SELECT rid, first, h, unnest(range(least(500, length(h) // 2))) AS i FROM blocks)),
+        again AS (SELECT k FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+        m AS (SELECT w.rid, w.i, w.b, max(a.k) OVER (PARTITION BY w.rid ORDER BY w.i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM w LEFT JOIN again a ON a.k = w.k),
+        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS begins FROM m),
+        told AS (SELECT rid, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY 1)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN told ON told.rid = d.rid""",
     "op7_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
         x AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
         first AS (SELECT k, min(doc_id) AS least FROM x GROUP BY 1),
