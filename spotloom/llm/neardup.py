@@ -134,7 +134,7 @@ def _close(threshold: float) -> object:
     return by_group(["bucket", "ta", "tb"], settle)
 
 
-def _sets(percent: int, slice_rows: int = 1024) -> object:
+def _sets(percent: int, slice_rows: int = 1024, most: int = 1 << 21) -> object:
     """A mapInArrow function for rows group, tile, right, rep, sub, shingles, sorted by group, tile and right.
 
     In each tile of a group every row on the right is compared with all on the left: links of those whose sets are similar
@@ -152,8 +152,17 @@ def _sets(percent: int, slice_rows: int = 1024) -> object:
         known, owner, n_left, rep_left, sub_left = left
         h, row, n = hashes(part)
         lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-        at, of = textcols.ranges(lo, hi - lo)
-        both = np.bincount(row[of] * len(n_left) + owner[at], minlength=part.num_rows * len(n_left)).reshape(part.num_rows, -1)
+        both = np.zeros((part.num_rows, len(n_left)), np.int64)
+        # Shared shingles are counted a few million at a time, however alike the sets are.
+        shared = np.concatenate([[0], np.cumsum(hi - lo)])
+        ends, i = np.cumsum(n), 0
+        while i < part.num_rows:
+            begin = ends[i] - n[i]
+            j = max(i + 1, int(np.searchsorted(shared[ends], shared[begin] + most, "right")))
+            some = slice(begin, ends[j - 1])
+            at, of = textcols.ranges(lo[some], (hi - lo)[some])
+            both[i:j] = np.bincount((row[some][of] - i) * len(n_left) + owner[at], minlength=(j - i) * len(n_left)).reshape(j - i, -1)
+            i = j
         sub = part["sub"].to_numpy()
         ok = (100 * both >= percent * (n[:, None] + n_left[None, :] - both)) & (both > 0) & (sub[:, None] != sub_left[None, :])
         i, j = np.nonzero(ok)
