@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))
+# Coefficients of a published Chebyshev fit of erfc, highest power first.
+_ERFC = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
+
+
+def normal_two_sided(z: Column | str) -> Column:
+    """Two-sided tail probability of a normal deviate, with a relative error below 1.2e-7; null and NaN give null."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(0.0)
+    for c in _ERFC:
+        poly = poly * t + c
+    return F.when(~F.isnan(z), t * F.exp(poly - x * x))
 
 
 def _gamma_upper(a: float, x: float) -> float:

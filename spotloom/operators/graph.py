@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.functions import geometry
 from spotloom.operators.tables import keep
 
 
@@ -58,11 +59,17 @@ def relabel_islands(parts: DataFrame, least: int) -> DataFrame:
     return on.join(best, "component", "left").select("row", "col", F.coalesce("next", "label").alias("label"))
 
 
-def dissolved(regions: DataFrame, gap: float) -> DataFrame:
-    """regions(sample, label, idx, xs, ys) with group: parts of one sample and label whose boxes lie within 2 * gap."""
+def dissolved(regions: DataFrame, gap: float, min_area: float = 0.0) -> DataFrame:
+    """regions(sample, label, idx, xs, ys) with group: parts of one sample and label whose boxes lie within 2 * gap. Groups
+    whose parts have less than min_area together go."""
     r = regions.withColumns({"node": F.struct("sample", "label", "idx"), "x0": F.array_min("xs"), "x1": F.array_max("xs"), "y0": F.array_min("ys"), "y1": F.array_max("ys")})
     a, b = r.alias("a"), r.alias("b")
     near = (F.col("a.x0") <= F.col("b.x1") + 2 * gap) & (F.col("b.x0") <= F.col("a.x1") + 2 * gap) & (F.col("a.y0") <= F.col("b.y1") + 2 * gap) & (F.col("b.y0") <= F.col("a.y1") + 2 * gap)
     edges = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.label") == F.col("b.label")) & near & (F.col("a.idx") < F.col("b.idx"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     found = components(r.select("node"), edges).select("node", F.col("component.idx").alias("group"))
-    return r.join(found, "node").drop("node", "x0", "x1", "y0", "y1")
+    out = r.join(found, "node").drop("node", "x0", "x1", "y0", "y1")
+    if min_area <= 0:
+        return out
+    keys = ["sample", "label", "group"]
+    large = out.groupBy(*keys).agg(F.sum(geometry.area(F.col("xs"), F.col("ys"))).alias("__a")).where(F.col("__a") >= min_area).select(*keys)
+    return out.join(large, keys, "left_semi")

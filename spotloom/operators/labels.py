@@ -29,7 +29,7 @@ def normal_label(label: Column, names: dict[str, str]) -> Column:
 
 def two_hop(df: DataFrame, key: str, first: DataFrame, second: DataFrame) -> DataFrame:
     """df with label: first(key, mid), then the first entry of second(mid, labels), else mid itself."""
-    return df.join(F.broadcast(first), key, "left").join(F.broadcast(second), "mid", "left").withColumn("label", F.coalesce(F.get("labels", F.lit(0)), F.col("mid"))).drop("labels", "mid")
+    return df.join(first, key, "left").join(second, "mid", "left").withColumn("label", F.coalesce(F.get("labels", F.lit(0)), F.col("mid"))).drop("labels", "mid")
 
 
 def sample_name(cohort: Column, slide: Column, region: Column) -> Column:

@@ -75,11 +75,13 @@ def spot_lattice(points: DataFrame, pitch: float = 100, diameter: float = 55) ->
     return grid.select(F.concat_ws("_", F.lit("visium"), "i", "j").alias("spot"), "i", "j", F.round(x, 6).alias("x"), F.round(F.col("y0") - r + F.col("i") * step, 6).alias("y"))
 
 
-def factor_image(pixels: DataFrame, factor: int, size: float) -> DataFrame:
-    """row, col, value: summed probability of a factor, scaled so that the greatest is 65499, and clipped."""
-    v = pixels.where(F.col("k1") == factor).groupBy(F.floor(F.col("py") / size).alias("row"), F.floor(F.col("px") / size).alias("col")).agg(F.sum("p1").alias("s"))
-    top = v.agg(F.max("s").alias("m")).head()["m"] or 1.0
-    return v.select("row", "col", F.least(F.lit(65499), F.floor(F.round(F.col("s") / top * 65499, 6))).cast("long").alias("value"))
+def factor_image(pixels: DataFrame, factor: int, size: float, top: int = 3) -> DataFrame:
+    """row, col, value: summed probability of a factor among the first `top` of each pixel(px, py, k, p: arrays), scaled so that
+    the greatest is 65499, and clipped."""
+    each = pixels.select("px", "py", F.explode(F.slice(F.arrays_zip("k", "p"), 1, top)).alias("e")).where(F.col("e.k") == factor)
+    v = each.groupBy(F.floor(F.col("py") / size).alias("row"), F.floor(F.col("px") / size).alias("col")).agg(F.round(F.sum("e.p"), 9).alias("s"))
+    most = v.agg(F.max("s").alias("m")).head()["m"] or 1.0
+    return v.select("row", "col", F.least(F.lit(65499), F.floor(F.round(F.col("s") / most * 65499, 6))).cast("long").alias("value"))
 
 
 def factor_counts(pixels: DataFrame) -> DataFrame:

@@ -484,14 +484,41 @@ def rank_sum(v: Views):
     return dea.rank_sum(v.expr, v.cells, "KO", "WT").select("gene", "u_z")
 
 
-@query()
+_P = "(1 / (1 + abs(u_z) / sqrt(2) / 2))"
+_TAIL = "0.0"
+for _c in dea._ERFC:
+    _TAIL = f"({_TAIL} * {_P} + {_c})"
+
+
+@query(
+    _also(
+        f"""SELECT gene, u_z, log2fc, 'KOvsWT' AS test, round(p, 9) AS p, round(least(1, min(p * n / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr FROM
+        (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, gene) AS r FROM (SELECT *, {_P} * exp({_TAIL} - u_z * u_z / 2) AS p FROM
+        (SELECT gene, round((sum(a * rk) - any_value(n1) * (any_value(n1) + any_value(n2) + 1) / 2) / sqrt(any_value(n1) * any_value(n2) * (any_value(n1) + any_value(n2) + 1) / 12), 6) AS u_z,
+        round(log2((exp(sum(a * v) / any_value(n1)) - 1 + 1e-9) / (exp(sum((n - a) * v) / any_value(n2)) - 1 + 1e-9)), 6) AS log2fc FROM ranked, sizes GROUP BY 1)))""",
+        _RANKED,
+    ),
+    ("expr", "cells"),
+)
 def rank_sum_test(v: Views):
-    return dea.rank_sum_test(v.expr, v.cells, "KO", "WT")
+    return dea.rank_sum_test(v.expr, v.cells, "KO", "WT").withColumns({c: F.round(c, 9) for c in ("p", "fdr")})
 
 
-@query()
+def _xlogx(k: str, n: str) -> str:
+    return f"CASE WHEN {k} > 0 AND {k} < {n} THEN {k} * ln({k} / {n}) + ({n} - {k}) * ln(({n} - {k}) / {n}) ELSE 0 END"
+
+
+@query(
+    f"""SELECT gene, chi2, round(exp(-chi2 / 2), 9) AS p FROM (SELECT gene, round(2 * ({_xlogx("a.n1", "z.n1")} + {_xlogx("a.n0", "z.n0")} - ({_xlogx("(a.n1 + a.n0)", "(z.n1 + z.n0)")}))
+    + CASE WHEN within > 1e-12 AND a.n1 > 0 AND a.n0 > 0 THEN (a.n1 + a.n0) * ln((q1 + q0 - (s1 + s0) * (s1 + s0) / (a.n1 + a.n0)) / within) ELSE 0 END, 6) AS chi2 FROM
+    (SELECT *, CASE WHEN n1 > 0 THEN q1 - s1 * s1 / n1 ELSE 0 END + CASE WHEN n0 > 0 THEN q0 - s0 * s0 / n0 ELSE 0 END AS within FROM
+    (SELECT gene, count(*) FILTER (t)::DOUBLE AS n1, count(*) FILTER (NOT t)::DOUBLE AS n0, coalesce(sum(x) FILTER (t), 0) AS s1, coalesce(sum(x) FILTER (NOT t), 0) AS s0, coalesce(sum(x * x) FILTER (t), 0) AS q1, coalesce(sum(x * x) FILTER (NOT t), 0) AS q0
+    FROM (SELECT e.gene, ln(1 + e.count) AS x, c.condition = 'KO' AS t FROM expr e JOIN cells c ON c.cell_id = e.cell_id WHERE e.count > 0 AND c.condition IN ('KO', 'WT')) GROUP BY 1)) a,
+    (SELECT count(*) FILTER (condition = 'KO')::DOUBLE AS n1, count(*) FILTER (condition = 'WT')::DOUBLE AS n0 FROM cells) z)""",
+    ("expr", "cells"),
+)
 def hurdle_test(v: Views):
-    return dea.hurdle(v.expr, v.cells, "KO", "WT").withColumn("p", dea.chi2_tail("chi2", F.lit(2.0)))
+    return dea.hurdle(v.expr, v.cells, "KO", "WT").withColumn("p", F.round(dea.chi2_tail("chi2", F.lit(2.0)), 9))
 
 
 _LFC = "SELECT c.cell_type, e.gene, sum(e.count) / any_value(t.n) AS mean FROM expr e JOIN cells c ON c.cell_id = e.cell_id JOIN (SELECT cell_type, count(*) AS n FROM cells GROUP BY 1) t ON t.cell_type = c.cell_type GROUP BY 1, 2"
@@ -615,9 +642,13 @@ def majority_raster(v: Views):
     return raster.majority_raster(v.pixels, 50)
 
 
-@query("SELECT row, col, least(65499, floor(round(s / max(s) OVER () * 65499, 6)))::BIGINT AS value FROM (SELECT py // 20 AS row, px // 20 AS col, sum(p1) AS s FROM pixels WHERE k1 = 3 GROUP BY 1, 2)", ("pixels",))
+_TOP3 = """SELECT px, py, k1 AS k, p1 AS p FROM pixels UNION ALL SELECT px, py, k2, (1 - p1) * 0.6 FROM pixels UNION ALL SELECT px, py, k3, (1 - p1) * 0.4 FROM pixels"""
+
+
+@query(f"SELECT row, col, least(65499, floor(round(s / max(s) OVER () * 65499, 6)))::BIGINT AS value FROM (SELECT py // 20 AS row, px // 20 AS col, round(sum(p), 9) AS s FROM ({_TOP3}) WHERE k = 3 GROUP BY 1, 2)", ("pixels",))
 def factor_image(v: Views):
-    return raster.factor_image(v.pixels, 3, 20)
+    rest = 1 - F.col("p1")
+    return raster.factor_image(v.pixels.select("px", "py", F.array("k1", "k2", "k3").alias("k"), F.array(F.col("p1"), rest * 0.6, rest * 0.4).alias("p")), 3, 20)
 
 
 @query("SELECT k1, count(*) AS n, round(sum(p1), 6) AS weighted, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM pixels GROUP BY 1", ("pixels",))

@@ -363,12 +363,23 @@ def without_islands(v: Views):
     return graph.relabel_islands(graph.grid_components(_grid(v)), 3)
 
 
-@query()
+_WIDE = "label IN ('CTX', 'STR', 'fiber_tracts', 'Meninges')"
+_PARTS = f"SELECT sample, {_WIDE} AS label, row_number() OVER (PARTITION BY sample ORDER BY x0, y0) AS idx, x0, y0, x1, y1 FROM regions"
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE parts AS ({_PARTS}), reach(sample, label, a, b) AS (SELECT sample, label, idx, idx FROM parts UNION SELECT h.sample, h.label, h.a, q.idx FROM reach h JOIN parts p ON p.sample = h.sample AND p.idx = h.b
+    JOIN parts q ON q.sample = p.sample AND q.label = p.label AND q.x0 <= p.x1 + 2 AND p.x0 <= q.x1 + 2 AND q.y0 <= p.y1 + 2 AND p.y0 <= q.y1 + 2),
+    groups AS (SELECT sample, label, a AS idx, min(b) AS "group" FROM reach GROUP BY 1, 2, 3)
+    SELECT sample, CASE WHEN label THEN 'wide' ELSE 'other' END AS label, idx::INT AS idx, "group"::INT AS "group" FROM (SELECT *, count(*) OVER (PARTITION BY sample, label, "group") AS n FROM groups) WHERE n > 1)""",
+    ("regions",),
+)
 def dissolved_regions(v: Views):
     from spotloom.plans.catalog import _rings
 
-    parts = _rings(v).withColumn("label", F.lit("all")).withColumn("idx", F.row_number().over(Window.partitionBy("sample").orderBy("xs", "ys")))
-    return graph.dissolved(parts, 1.0).select("sample", "label", "idx", "group")
+    parts = _rings(v).withColumn("idx", F.row_number().over(Window.partitionBy("sample").orderBy("xs", "ys")))
+    parts = parts.withColumn("label", F.when(F.expr(_WIDE), "wide").otherwise("other"))
+    return graph.dissolved(parts, 1.0, 700.0 * 700 * 1.5).select("sample", "label", "idx", "group")
 
 
 @query(
@@ -419,7 +430,16 @@ def trimmed_factors(v: Views):
     return dea.trimmed_factors(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), "s0")
 
 
-@query()
+@query(
+    _also(
+        """SELECT gene, round(m1 - m0, 6) AS logfc, round((m1 - m0) / sqrt((4 * avg(s2) OVER () + d * s2) / (4 + d) * (1.0 / n1 + 1.0 / n0)), 6) AS t FROM (SELECT *, n1 + n0 - 2 AS d, ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) AS s2 FROM
+        (SELECT gene, count(y) FILTER (condition = 'KO') AS n1, count(y) FILTER (condition = 'WT') AS n0, avg(y) FILTER (condition = 'KO') AS m1, avg(y) FILTER (condition = 'WT') AS m0, var_samp(y) FILTER (condition = 'KO') AS v1, var_samp(y) FILTER (condition = 'WT') AS v0
+        FROM ys GROUP BY 1) WHERE n1 > 1 AND n0 > 1)""",
+        _PB + """, one AS (SELECT * FROM pb WHERE subset = 'all'), libs AS (SELECT o.sample, any_value(c.condition) AS condition, sum(o.count) / count(DISTINCT c.condition) AS lib FROM one o JOIN (SELECT DISTINCT sample, condition FROM cells WHERE condition IN ('KO', 'WT')) c ON c.sample = o.sample GROUP BY 1),
+        ys AS (SELECT g.gene, l.condition, log2((coalesce(o.count, 0) + 0.5) / (l.lib + 1) * 1e6) AS y FROM (SELECT DISTINCT gene FROM one) g CROSS JOIN libs l LEFT JOIN one o ON o.gene = g.gene AND o.sample = l.sample)""",
+    ),
+    ("expr", "cells"),
+)
 def moderated_t(v: Views):
     return dea.moderated_t(dea.pseudobulk(v.expr, v.cells).where("subset = 'all'"), v.cells, "KO", "WT")
 

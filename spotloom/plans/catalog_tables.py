@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import annotate, assign, dea, embed, factors, frames, graph, labels, normalize, qc, raster, shape, spatial
-from spotloom.plans.catalog import _DE, _IN, _LEAD, _TOTALS, _also, _de, _runners
+from spotloom.operators import annotate, assign, dea, embed, factors, frames, graph, labels, metrics, normalize, qc, raster, shape, spatial
+from spotloom.plans.catalog import _CONF, _DE, _IN, _KNN, _LEAD, _TOTALS, _also, _de, _runners
 from spotloom.plans.catalog_more import _AREA, _GRID, _PERI, _grid, _scratch
 from spotloom.plans.registry import Views, query
 from spotloom.sources import readers
@@ -407,3 +407,23 @@ def split_segments(v: Views):
 def vector_neighbours(v: Views):
     """The ten nearest vectors of each cell in component space."""
     return embed.k_nearest_vectors(v.embeddings, 10)
+
+
+@query(
+    f"""SELECT k.src AS cell_id, e.gene, round(sqrt(pow(sum(e.count * coalesce((b.x - a.x) / nullif(sqrt(k.d2), 0), 0)), 2) + pow(sum(e.count * coalesce((b.y - a.y) / nullif(sqrt(k.d2), 0), 0)), 2)) / any_value(n.n), 6) AS gradient
+    FROM ({_KNN}) k JOIN expr e ON e.cell_id = k.dst JOIN cells a ON a.cell_id = k.src JOIN cells b ON b.cell_id = k.dst JOIN (SELECT src, count(*) AS n FROM ({_KNN}) GROUP BY 1) n ON n.src = k.src GROUP BY 1, 2""",
+    ("cells", "expr"),
+)
+def neighbour_gradients(v: Views):
+    edges = spatial.k_nearest(v.cells.select("cell_id", "sample", "x", "y"), 10, 60.0, ["sample"])
+    return spatial.neighbour_gradients(edges, v.cells, v.expr)
+
+
+@query(
+    _also("SELECT gene, round(avg(fpr), 6) AS mean, min(fpr) AS min, max(fpr) AS max, round(stddev_samp(fpr), 6) AS sd, count(fpr) AS n FROM (SELECT cell_type, gene, round(fp / nullif(fp + tn, 0), 3) AS fpr FROM conf) GROUP BY 1", _CONF),
+    ("expr", "cells"),
+)
+def false_positive_summary(v: Views):
+    """False-positive rates of each marker over the groups, summed up."""
+    s = metrics.marker_scores(metrics.marker_confusion(v.expr, v.cells, v.genes, 20)).groupBy("gene")
+    return s.agg(F.round(F.avg("fpr"), 6).alias("mean"), F.min("fpr").alias("min"), F.max("fpr").alias("max"), F.round(F.stddev_samp("fpr"), 6).alias("sd"), F.count("fpr").alias("n"))
