@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import decontam, lmscore, mixture, neardup, records, repeats, templates, toxicity, vectors
+from spotloom.llm import bytebpe, conversations, decontam, lmscore, merkle, mixture, neardup, records, repeats, templates, toxicity, vectors
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,21 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered leaf folds to."""
+    return merkle.documents_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte-level BPE, and the text that they decode to."""
+    return bytebpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits that mend every damaged conversation."""
+    return conversations.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_lm_scores": op2_lm_scores,
@@ -78,11 +94,81 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_templates": op10_line_templates,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 _MASKED = r"regexp_replace(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')"
 _REACH = """links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII text."""
+    bit = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: {bit}), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+def _repair_sql() -> str:
+    """DuckDB SQL of op13: costs, audits and repaired texts to go, from a conversation's last row to its first."""
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    far = f"struct_pack(c := 1000000000000, a := '', t := '')::{state}"
+    insert = lambda g, role: f"struct_pack(c := {g}.c + 5, a := 'I' || {g}.a, t := chr(10) || '{role}:' || {g}.t)"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+
+    def row(q: str, due: str, role: str, keeps: list[tuple[str, str]]) -> str:
+        delete = f"struct_pack(c := {q}.c + 2, a := 'D' || {q}.a, t := {q}.t)"
+        rerole = f"CASE WHEN gone THEN {far} ELSE struct_pack(c := {due}.c + 1 + more, a := 'R' || {due}.a, t := chr(10) || '{role}:' || text || {due}.t) END"
+        kept = " ".join(f"WHEN NOT gone AND i = '{i}' THEN struct_pack(c := {to}.c + more, a := 'K' || {to}.a, t := chr(10) || role || ':' || text || {to}.t)" for i, to in keeps)
+        return least(delete, rerole, f"CASE {kept} ELSE {far} END")
+
+    h0, h1 = row("g0", "g2", "user", [("s", "g1"), ("u", "g2")]), row("g1", "g2", "user", [("u", "g2")])
+    h2, h3 = row("g2", "g3", "assistant", [("a", "g3")]), row("g3", "g2", "user", [("u", "g2")])
+    crc = _crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    begin = f"struct_pack(c := 0::BIGINT, a := '', t := '')::{state}"
+    return rf"""WITH RECURSIVE k AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+        o AS (SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+        f AS MATERIALIZED (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+        x AS MATERIALIZED (SELECT conv_id, pos, role, i, text, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM f),
+        st(conv_id, pos, g0, g1, g2, g3) AS (SELECT conv_id, max(pos) + 1, {begin}, struct_pack(c := 10::BIGINT, a := 'II', t := chr(10) || 'user:' || chr(10) || 'assistant:')::{state}, struct_pack(c := 5::BIGINT, a := 'I', t := chr(10) || 'assistant:')::{state}, {begin} FROM x GROUP BY 1
+            UNION ALL SELECT conv_id, pos, {least("h0", insert("e2", "user"))}, {least("h1", insert("e2", "user"))}, e2, {least("h3", insert("h2", "user"))}
+            FROM (SELECT *, {least("h2", insert("h3", "assistant"))} AS e2 FROM (SELECT st.conv_id, x.pos, {h0} AS h0, {h1} AS h1, {h2} AS h2, {h3} AS h3 FROM st JOIN x ON x.conv_id IS NOT DISTINCT FROM st.conv_id AND x.pos = st.pos - 1))),
+        told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(st.g0.c, 0) AS cost, coalesce(st.g0.a, '') AS audit,
+            sha256(coalesce(substr(st.g0.t, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM c.conv_id AND st.pos = 1"""
+
+
+def _merkle_sql() -> str:
+    """DuckDB SQL of op11: levels of every tree and of the tree over their roots, then each leaf's siblings from the lowest up."""
+    up = lambda name, seed: f"{name}(tree, n, lvl, i, d) AS ({seed} UNION ALL SELECT tree, n, lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > (1::BIGINT << lvl) GROUP BY tree, n, lvl, i // 2)"
+    fold = "CASE WHEN sib.d IS NULL THEN sha256({d}) WHEN {i} % 2 = 1 THEN sha256(sib.d || {d}) ELSE sha256({d} || sib.d) END"
+    changed = _LEAF.replace("n_chars", "(n_chars + 1)")
+    return f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 AND doc_id IS NOT NULL AND n_chars IS NOT NULL THEN {changed} ELSE {_LEAF} END AS mine FROM documents),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, coalesce('=' || lang, '') AS tree FROM l),
+        {up("low", "SELECT tree, n, 0::INT, i, leaf FROM p")},
+        sub AS MATERIALIZED (SELECT tree, max_by(d, lvl) AS subroot FROM low GROUP BY 1),
+        t AS MATERIALIZED (SELECT tree, subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM sub),
+        {up("high", "SELECT 'all', n, 0::INT, i, subroot FROM t")},
+        root AS (SELECT max_by(d, lvl) AS root FROM high),
+        lows AS MATERIALIZED (SELECT * FROM low), highs AS MATERIALIZED (SELECT * FROM high),
+        w(doc_id, leaf, tree, n, i, lvl, d, proof) AS (SELECT doc_id, leaf, tree, n, i, 0::INT, mine, '' FROM p
+            UNION ALL SELECT w.doc_id, w.leaf, w.tree, w.n, w.i // 2, w.lvl + 1, {fold.format(d="w.d", i="w.i")}, w.proof || coalesce(sib.d, '') FROM w LEFT JOIN lows sib ON sib.tree = w.tree AND sib.lvl = w.lvl AND sib.i = xor(w.i, 1) WHERE w.n > (1::BIGINT << w.lvl)),
+        half AS MATERIALIZED (SELECT w.doc_id, w.leaf, w.d, w.proof, t.subroot, t.i, t.n FROM w JOIN t ON t.tree = w.tree WHERE NOT w.n > (1::BIGINT << w.lvl)),
+        z(doc_id, leaf, subroot, n, i, lvl, d, proof) AS (SELECT doc_id, leaf, subroot, n, i, 0::INT, d, proof FROM half
+            UNION ALL SELECT z.doc_id, z.leaf, z.subroot, z.n, z.i // 2, z.lvl + 1, {fold.format(d="z.d", i="z.i")}, z.proof || coalesce(sib.d, '') FROM z LEFT JOIN highs sib ON sib.lvl = z.lvl AND sib.i = xor(z.i, 1) WHERE z.n > (1::BIGINT << z.lvl))
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified FROM z, root WHERE NOT z.n > (1::BIGINT << z.lvl)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_source_mix": f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('17:' || doc_id) AS digest FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
@@ -133,4 +219,6 @@ ORACLES: dict[str, str] = {
         pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
         {_REACH}, c AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
         SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(c.component, vec_id) = vec_id AS kept FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id""",
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_conversation_repair": _repair_sql(),
 }
