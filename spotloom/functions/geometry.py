@@ -23,29 +23,31 @@ def perimeter(xs: Column, ys: Column) -> Column:
     return _edges(xs, ys, lambda a, b, c, d: F.sqrt((c - a) * (c - a) + (d - b) * (d - b)))
 
 
-def _crossed(xs: Column, ys: Column, x: Column, y: Column) -> Column:
-    """Crossing-number test: points on an edge may count either way."""
-    cross = _edges(xs, ys, lambda a, b, c, d: F.when(((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b) + a), 1.0).otherwise(0.0))
-    return cross % 2 == 1
+def place(xs: Column, ys: Column, x: Column, y: Column) -> Column:
+    """0 for a point outside a ring, 1 inside, 2 on an edge or vertex: crossings and touches counted in one pass over the edges."""
+    touch = 1e6
+
+    def met(a: Column, b: Column, c: Column, d: Column) -> Column:
+        flat = (c - a) * (y - b) == (d - b) * (x - a)
+        on = flat & x.between(F.least(a, c), F.greatest(a, c)) & y.between(F.least(b, d), F.greatest(b, d))
+        return F.when(on, touch).when(((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b) + a), 1.0).otherwise(0.0)
+
+    n = _edges(xs, ys, met)
+    return F.when(n >= touch, 2).when(n % 2 == 1, 1).otherwise(0)
 
 
 def contains(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     """Whether a point lies within a ring; points on its edges and vertices do not."""
-    return _crossed(xs, ys, x, y) & ~on_edge(xs, ys, x, y)
+    return place(xs, ys, x, y) == 1
 
 
 def on_edge(xs: Column, ys: Column, x: Column, y: Column) -> Column:
     """Whether a point lies on the ring itself."""
-
-    def hit(a: Column, b: Column, c: Column, d: Column) -> Column:
-        flat = (c - a) * (y - b) == (d - b) * (x - a)
-        return F.when(flat & x.between(F.least(a, c), F.greatest(a, c)) & y.between(F.least(b, d), F.greatest(b, d)), 1.0).otherwise(0.0)
-
-    return _edges(xs, ys, hit) > 0
+    return place(xs, ys, x, y) == 2
 
 
 def covers(xs: Column, ys: Column, x: Column, y: Column) -> Column:
-    return _crossed(xs, ys, x, y) | on_edge(xs, ys, x, y)
+    return place(xs, ys, x, y) > 0
 
 
 def signed_area(xs: Column, ys: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.operators.spatial import points_in_polygons, with_polygons
+from spotloom.functions import geometry
+from spotloom.operators.spatial import points_in_polygons, points_near_polygons
 from spotloom.operators.tables import keep
 
 
@@ -15,32 +19,69 @@ def _methods(boundaries: DataFrame) -> Column:
     return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
 
 
+def _sides(boundaries: DataFrame) -> list[tuple[DataFrame, list[str]]]:
+    """Polygons of flat methods, and those of methods whose polygons all have a plane, with the columns that a transcript
+    must share. A method with both kinds of polygons is among the flat ones."""
+    each = boundaries.groupBy("method").agg(F.bool_and(F.col("z").isNotNull()).alias("layered")).where("layered").collect()  # a few dozen
+    layered = [r["method"] for r in each]
+    sides = [(boundaries.where(F.col("method").isNull() | ~F.col("method").isin(layered)), [])]
+    return sides + ([(boundaries.where(F.col("method").isin(layered)), ["z"])] if layered else [])
+
+
+def _near(transcripts: DataFrame, polygons: DataFrame, on: list[str], tile: float) -> DataFrame:
+    if on:
+        return points_near_polygons(transcripts, polygons, on, tile)
+    pairs = points_near_polygons(transcripts, polygons.withColumnRenamed("z", "__z"), [], tile)
+    return pairs.where(F.col("__z").isNull() | (F.col("__z") == F.col("z")))
+
+
+def _held(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: float) -> DataFrame:
+    """by, method, once for each transcript(x, y, z, __id, *by) that the method's polygons, taken together, hold.
+
+    A transcript on the outer edge of a method's polygons is not in them; one on an edge is where the polygons that touch
+    it meet all around it. Transcripts are dealt by tile (and plane) and not multiplied by methods: only pairs with polygons whose box
+    holds them are, and those are counted where they are made.
+    """
+    parts = []
+    for polygons, on in _sides(boundaries):
+        pairs = _near(transcripts, polygons.select("method", "z", "xs", "ys"), on, tile)
+        around = F.when(F.col("__place") == 2, geometry.angle_at(F.col("xs"), F.col("ys"), F.col("x"), F.col("y"))).otherwise(0.0)
+        keys = ["__tx", "__ty", *on, *[c for c in by if c not in on], "__id", "method"]
+        met = pairs.groupBy(*keys).agg(F.max((F.col("__place") == 1).cast("int")).alias("inside"), F.sum(around).alias("around"))
+        parts.append(met.where((F.col("inside") == 1) | (F.col("around") > 2 * math.pi - 1e-9)).select("__id", *by, "method"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def assigned_transcripts(transcripts: DataFrame, boundaries: DataFrame, tile: float = 50.0) -> DataFrame:
     """transcripts with methods: the methods whose polygons, taken together, hold the transcript.
 
     Polygons with a null z hold transcripts of every plane, others those of their own. A transcript on the outer edge of
-    a method's polygons is not in them, one on an edge that two of them share is. Rows are not multiplied by methods.
+    a method's polygons is not in them, one on an edge that two of them share is.
     """
-    held = with_polygons(transcripts, boundaries, ["method"], tile, edges="union")
-    return held.withColumn("methods", F.array_distinct(F.transform("hits", lambda h: h["method"]))).drop("hits")
+    numbered = keep(transcripts.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    held = _held(numbered.select("__id", "x", "y", "z"), boundaries, [], tile).groupBy("__id").agg(F.sort_array(F.collect_set("method")).alias("methods"))
+    return numbered.join(held, "__id", "left").drop("__id").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
 
 
-def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str]) -> DataFrame:
+def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: float = 50.0) -> DataFrame:
     """method, *by, n, assigned, pct: all transcripts, those assigned and their share, 0 where none is."""
-    held = assigned_transcripts(transcripts, boundaries).select(*by, "methods")
-    # One shuffle of counts: each set of methods by itself, of which there are few.
-    counts = keep(held.groupBy(*by, F.sort_array("methods").alias("methods")).agg(F.count("*").alias("n")), "assigned-counts")
-    total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
-    hit = counts.withColumn("method", F.explode("methods")).groupBy("method", *by).agg(F.sum("n").alias("assigned"))
-    out = total.withColumn("method", F.explode(_methods(boundaries))).join(hit, ["method", *by], "left").withColumn("assigned", F.coalesce("assigned", F.lit(0)))
-    return out.select("method", *by, "n", "assigned", F.round(100.0 * F.col("assigned") / F.col("n"), 6).alias("pct"))
-
-
-def cell_by_gene(transcripts: DataFrame, boundaries: DataFrame, min_transcripts: int = 10) -> DataFrame:
+    total = transcripts.groupBy(*by).agg(F.count("*").alias("n"))
+    points = transcripts.select(*dict.fromkeys([*by, "x", "y", "z"])).withColumn("__id", F.monotonically_increasing_id())
+    hit = _held(points, boundaries, by, tile).groupBy("method", *by).agg(F.count("*").alias("assigned"))
+    every = total.withColumn("method", F.explode(_methods(boundaries)))
+    same = every["method"] == hit["method"]
+    for c in by:
+        same &= every[c].eqNullSafe(hit[c])
+    out = every.join(hit, same, "left").select(every["method"], *[every[c] for c in by], "n", F.coalesce("assigned", F.lit(0)).alias("assigned"))
+    return out.withColumn("pct", F.round(100.0 * F.col("assigned") / F.col("n"), 6))
+
+
+def cell_by_gene(transcripts: DataFrame, boundaries: DataFrame, min_transcripts: int = 10, tile: float = 50.0) -> DataFrame:
     """method, cell_id, gene, count of transcripts in each cell; cells with fewer than min_transcripts are left out."""
-    held = with_polygons(transcripts.select("gene", "x", "y", "z"), boundaries, ["method", "cell_id"])
-    each = held.select("gene", F.explode("hits").alias("h")).select("gene", "h.method", "h.cell_id")
-    counts = keep(each.groupBy("method", "cell_id", "gene").agg(F.count("*").alias("count")), "cell-by-gene")
+    points = transcripts.select("gene", "x", "y", "z")
+    each = [_near(points, polygons.select("method", "cell_id", "z", "xs", "ys"), on, tile).groupBy("method", "cell_id", "gene").agg(F.count_if(F.col("__place") == 1).alias("count")) for polygons, on in _sides(boundaries)]
+    # Counted, not filtered, so that the join's condition stays the box, in generated code, and a ring is tested once.
+    counts = keep(reduce(DataFrame.unionByName, each).where(F.col("count") > 0), "cell-by-gene")
     enough = counts.groupBy("method", "cell_id").agg(F.sum("count").alias("n")).where(F.col("n") >= min_transcripts)
     return counts.join(enough, ["method", "cell_id"], "left_semi")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +15,26 @@ def _tiles(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+_TILE = ("__tx", "__ty")
+_BOX = ("__bx0", "__bx1", "__by0", "__by1")
+
+
 def polygons_by_tile(polygons: DataFrame, tile: float) -> DataFrame:
-    """polygons(xs, ys, ...) with a bounding box, once for each tile that the box touches (tx, ty)."""
-    boxed = polygons.withColumns({"bx0": F.array_min("xs"), "bx1": F.array_max("xs"), "by0": F.array_min("ys"), "by1": F.array_max("ys")})
-    return boxed.withColumn("tx", F.explode(_tiles(F.col("bx0"), F.col("bx1"), tile))).withColumn("ty", F.explode(_tiles(F.col("by0"), F.col("by1"), tile)))
+    """polygons(xs, ys, ...) with a bounding box, once for each tile that the box touches."""
+    boxed = polygons.withColumns(dict(zip(_BOX, (F.array_min("xs"), F.array_max("xs"), F.array_min("ys"), F.array_max("ys")), strict=True)))
+    x0, x1, y0, y1 = map(F.col, _BOX)
+    return boxed.withColumn("__tx", F.explode(_tiles(x0, x1, tile))).withColumn("__ty", F.explode(_tiles(y0, y1, tile)))
+
+
+def _meeting(points: DataFrame, polygons: DataFrame, on: list[str], tile: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides by tile, and the condition that a point lies in a polygon's tile and box."""
+    dealt = polygons_by_tile(polygons, tile)
+    here = points.withColumns({"__tx": F.floor(F.col("x") / tile), "__ty": F.floor(F.col("y") / tile)})
+    x, y = here["x"], here["y"]
+    met = (here["__tx"] == dealt["__tx"]) & (here["__ty"] == dealt["__ty"])
+    for c in on:
+        met &= here[c] == dealt[c]
+    return here, dealt, met & x.between(dealt["__bx0"], dealt["__bx1"]) & y.between(dealt["__by0"], dealt["__by1"])
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, on: list[str] | None = None, tile: float = 50.0, covers: bool = False, how: str = "inner") -> DataFrame:
@@ -31,42 +46,22 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, on: list[str] | N
     are joined by sort and merge, so AQE can split one that is crowded.
     """
     on = on or []
-    dealt = polygons_by_tile(polygons, tile)
-    here = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    x, y = here["x"], here["y"]
+    here, dealt, met = _meeting(points, polygons, on, tile)
     inside = geometry.covers if covers else geometry.contains
-    boxed = x.between(dealt["bx0"], dealt["bx1"]) & y.between(dealt["by0"], dealt["by1"])
-    equal = (here["tx"] == dealt["tx"]) & (here["ty"] == dealt["ty"])
-    for c in on:
-        equal &= here[c] == dealt[c]
-    joined = here.join(dealt, equal & boxed & inside(dealt["xs"], dealt["ys"], x, y), how)
-    drop = [here["tx"], here["ty"]] + ([] if how in ("left_semi", "left_anti") else [dealt[c] for c in ("tx", "ty", "bx0", "bx1", "by0", "by1", "xs", "ys", *on)])
+    joined = here.join(dealt.hint("merge"), met & inside(dealt["xs"], dealt["ys"], here["x"], here["y"]), how)
+    drop = [here[c] for c in _TILE] + ([] if how in ("left_semi", "left_anti") else [dealt[c] for c in (*_TILE, *_BOX, "xs", "ys", *on)])
     return joined.drop(*drop)
 
 
-def with_polygons(points: DataFrame, polygons: DataFrame, carry: list[str], tile: float = 50.0, edges: str = "out") -> DataFrame:
-    """points(x, y, z, ...) with hits: an array of structs of `carry`, one for each polygon(z, xs, ys, ...) that holds it.
+def points_near_polygons(points: DataFrame, polygons: DataFrame, on: list[str] | None = None, tile: float = 50.0) -> DataFrame:
+    """Pairs of points and polygons whose box holds them, with the ring and __place (0 outside, 1 inside, 2 on an edge).
 
-    Points are shuffled once, by tile, and never multiplied: each meets one row with all polygons of its tile (of all
-    methods and planes; a null z is every plane), and is tested there. Points on an edge are out, or, with edges "union",
-    in where polygons that agree in the first of `carry` (a method, whose polygons do not overlap) meet all around them.
+    The tile's columns (__tx, __ty) stay, so that grouping by them and a point's own columns needs no further shuffle.
     """
-    fields = [*carry, "z", "xs", "ys", "bx0", "bx1", "by0", "by1"]
-    dealt = polygons_by_tile(polygons, tile).groupBy("tx", "ty").agg(F.collect_list(F.struct(*fields)).alias("here"))
-    at = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    joined = at.join(dealt, ["tx", "ty"], "left").drop("tx", "ty")
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    near = F.filter("here", lambda p: (p["z"].isNull() | (p["z"] == z)) & x.between(p["bx0"], p["bx1"]) & y.between(p["by0"], p["by1"]))
-    joined = joined.withColumn("near", F.coalesce(near, F.array())).drop("here") if "here" not in points.columns else joined
-    inside = F.filter("near", lambda p: geometry.contains(p["xs"], p["ys"], x, y))
-    if edges == "union":
-        touched = F.filter("near", lambda p: geometry.on_edge(p["xs"], p["ys"], x, y))
-        around = lambda p: F.aggregate(
-            F.filter("touched", lambda q: q[carry[0]] == p[carry[0]]), F.lit(0.0), lambda s, q: s + geometry.angle_at(q["xs"], q["ys"], x, y)
-        )
-        joined = joined.withColumns({"inside": inside, "touched": touched})
-        inside = F.concat("inside", F.filter("touched", lambda p: around(p) > 2 * math.pi - 1e-9))
-    return joined.withColumn("hits", F.transform(inside, lambda p: F.struct(*[p[c].alias(c) for c in carry]))).drop("near", "inside", "touched")
+    on = on or []
+    here, dealt, met = _meeting(points, polygons, on, tile)
+    joined = here.join(dealt.hint("merge"), met).drop(*[dealt[c] for c in (*_TILE, *_BOX, *on)])
+    return joined.withColumn("__place", geometry.place(F.col("xs"), F.col("ys"), F.col("x"), F.col("y")))
 
 
 def _ring(df: DataFrame, radius: float) -> DataFrame:
