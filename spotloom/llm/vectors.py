@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spotloom.llm.links import by_group, components, connected, tiled
 from spotloom.llm.shared import save
 
-#: Cosines this near to the threshold are computed again from the vectors as they are given.
+#: Cosines this near to the threshold are computed again from the vectors as they are given, up to powers of two.
 _MARGIN = 1e-9
 
 
@@ -32,6 +32,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component below 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     """Axes (columns) by falling second moment of the unit vectors; each task sends one dim x dim matrix."""
 
@@ -79,7 +84,7 @@ def _pairs_above(a: np.ndarray, b: np.ndarray, xa: np.ndarray, xb: np.ndarray, t
         near = np.flatnonzero(np.abs(c - threshold) <= _MARGIN)
         ok = c >= threshold
         for n in near:
-            x, y = xa[i[n]], xb[j[n]]
+            x, y = _scaled(xa[i[n]]), _scaled(xb[j[n]])
             ok[n] = float(x @ y) / float(np.sqrt(x @ x) * np.sqrt(y @ y)) >= threshold
         found_i.append(i[ok])
         found_j.append(j[ok])

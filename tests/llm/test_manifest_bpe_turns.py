@@ -240,3 +240,25 @@ def test_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert collections.Counter(map(tuple, got.select(*columns).collect())) == collections.Counter(cur.fetchall())
     assert got.select(F.count("*")).head()[0] > 50
+
+
+def test_links_of_vectors_of_any_length(spark):
+    """Pairs at the threshold, one of them very long or very short, are linked as their own directions are."""
+    import math
+
+    from spotloom.llm import vectors
+
+    s = math.sqrt(1 - 0.95**2)
+    rows = [(1, [1.0, 0.0]), (2, [0.96, 0.28]), (3, [0.95, s]), (4, [1e200, 0.0]), (5, [2e200, 1e190]), (6, [1e-200, 0.0]), (7, [0.95e-200, s * 1e-200]), (8, [1.7e308, 1e300]), (9, [-1.0, 0.0]), (10, [5e-324, 0.0])]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    unit = {}
+    for k, (x, y) in rows:
+        top = max(abs(x), abs(y))
+        n = math.hypot(x / top, y / top)
+        unit[k] = (x / top / n, y / top / n)
+    cos = lambda a, b: unit[a][0] * unit[b][0] + unit[a][1] * unit[b][1]
+    for a in unit:
+        sure = sum(cos(a, b) >= 0.95 + 1e-12 for b in unit if b != a)
+        may = sum(cos(a, b) >= 0.95 - 1e-12 for b in unit if b != a)
+        assert sure <= got[a]["n_links"] <= may, (a, got[a])
+    assert got[9]["n_links"] == 0 and got[10]["n_links"] >= 5
