@@ -29,14 +29,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def grid_components(grid: DataFrame, eight: bool = False) -> DataFrame:
-    """grid(row, col, label) with component: neighbours (4 or 8) of one label belong together."""
-    g = grid.withColumn("node", F.struct("row", "col"))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    moved = g.withColumn("s", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
-    moved = moved.select(F.col("node").alias("a"), F.col("label").alias("l"), F.struct((F.col("row") + F.col("s.a")).cast(grid.schema["row"].dataType).alias("row"), (F.col("col") + F.col("s.b")).cast(grid.schema["col"].dataType).alias("col")).alias("b"))
-    edges = moved.join(g.select(F.col("node").alias("b"), "label"), "b").where("l = label").select("a", "b")
-    return g.join(components(g.select("node"), edges), "node").drop("node")
+def grid_components(grid: DataFrame, eight: bool = False, size: int = 512) -> DataFrame:
+    """grid(row, col, label, ...) with component, the least (row, col) of its own: neighbours (4 or 8) of one label belong
+    together. Worked out by tiles, see tiles.components()."""
+    from spotloom.operators import tiles
+
+    named = tiles.components(grid, eight, size)
+    least = F.struct(*[f(F.col("component")).cast(grid.schema[c].dataType).alias(c) for c, f in (("row", tiles.pixel_row), ("col", tiles.pixel_col))])
+    return named.withColumn("component", least)
 
 
 def segments(parts: DataFrame, size: float) -> DataFrame:

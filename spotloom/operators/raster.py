@@ -134,54 +134,3 @@ def intensity_ranges(cells: DataFrame, values: list[str], by: str = "method", q:
     kept = long.join(cut, [by, "channel"]).where(F.col("value") <= F.col("cut"))
     g = kept.groupBy(by, "channel").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("median"), by)))  # one row for each group
-
-
-def _part_sizes(grid: DataFrame) -> DataFrame:
-    from spotloom.operators.graph import grid_components
-
-    parts = grid_components(grid)
-    return parts.join(parts.groupBy("component").agg(F.count("*").alias("pixels")), "component")
-
-
-def without_specks(grid: DataFrame, least: int) -> DataFrame:
-    """row, col, label of grid(row, col, label): segments below `least` pixels go, and holes below that, which lie within
-    one label, are filled with it.
-
-    Segments and holes join four neighbours. A hole of a label is a set of neighbouring pixels of the image (from row and
-    column 0 to the greatest) that are not the label's own. Where two labels claim a pixel, the smaller one has it.
-    """
-    kept = _part_sizes(grid).where(F.col("pixels") >= least).select("row", "col", "label")
-    box = grid.agg(F.max("row").alias("row1"), F.max("col").alias("col1")).where("row1 is not null")
-    zero = F.lit(0).cast("long")
-    every = box.withColumn("row", F.explode(F.sequence(zero, F.col("row1").cast("long")))).withColumn("col", F.explode(F.sequence(zero, F.col("col1").cast("long")))).select("row", "col")
-    labels = kept.select("label").distinct()
-    # The complement of each label over the image.
-    own = kept.select("row", "col", F.col("label").alias("of"))
-    empty = labels.withColumnRenamed("label", "of").crossJoin(every).join(own, ["row", "col", "of"], "left_anti")
-    shifted = empty.select((F.col("row") + F.col("of") * 1_000_000).alias("row"), "col", F.col("of").alias("label"))
-    holes = _part_sizes(shifted).where(F.col("pixels") < least).select((F.col("row") - F.col("label") * 1_000_000).alias("row"), "col", "label")
-    both = kept.unionByName(holes.select(*kept.columns))
-    return both.groupBy("row", "col").agg(F.min("label").alias("label"))
-
-
-def split_by_seeds(parts: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-    """row, col, label, component, seed of parts(row, col, label, component) and seeds(row, col, seed): within a segment each
-    pixel takes the seed that is fewest steps (of four neighbours) away, the least among equals; null without a seed.
-
-    Each round passes seeds on by one step; `rounds` bounds the steps (until none changes where it is null).
-    """
-    from spotloom.operators.tables import keep
-
-    base = keep(parts, "seeded")
-    at = seeds.groupBy("row", "col").agg(F.min("seed").alias("seed"))
-    state = keep(base.join(at, ["row", "col"], "left").select("row", "col", "component", "seed", F.col("seed").isNotNull().alias("fresh")), "seeds")
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    done = 0
-    while rounds is None or done < rounds:
-        told = state.where("fresh").withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "component", F.col("seed").alias("next"))
-        told = told.groupBy("row", "col", "component").agg(F.min("next").alias("next"))
-        new = state.join(told, ["row", "col", "component"], "left").select("row", "col", "component", F.coalesce("seed", "next").alias("seed"), (F.col("seed").isNull() & F.col("next").isNotNull()).alias("fresh"))
-        state, done = keep(new, "seeds"), done + 1
-        if not state.where("fresh").limit(1).count():
-            break
-    return base.join(state.drop("fresh", "component"), ["row", "col"])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import annotate, assign, dea, embed, factors, frames, graph, labels, metrics, normalize, qc, raster, shape, spatial
+from spotloom.operators import annotate, assign, dea, embed, factors, frames, graph, labels, metrics, normalize, qc, raster, shape, spatial, tiles
 from spotloom.plans.catalog import _CONF, _DE, _IN, _KNN, _LEAD, _TOTALS, _also, _de, _runners
 from spotloom.plans.catalog_more import _AREA, _GRID, _PERI, _grid, _scratch
 from spotloom.plans.registry import Views, query
@@ -392,7 +392,7 @@ _REACH = "reach(r0, c0, row, col, label) AS (SELECT row, col, row, col, label FR
     ("pixels",),
 )
 def without_specks(v: Views):
-    return raster.without_specks(_grid(v), 4)
+    return tiles.without_specks(_grid(v), 4)
 
 
 @query()
@@ -400,7 +400,7 @@ def split_segments(v: Views):
     """Segments of a label grid split among the cells that lie in them."""
     parts = graph.grid_components(_grid(v)).withColumn("component", F.col("component.row") * 100000 + F.col("component.col"))
     seeds = v.cells.select(F.floor(F.col("y") / 100).alias("row"), F.floor(F.col("x") / 100).alias("col"), F.col("cell_id").alias("seed"))
-    return raster.split_by_seeds(parts, seeds)
+    return tiles.split_by_seeds(parts, seeds)
 
 
 @query()

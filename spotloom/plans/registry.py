@@ -36,4 +36,4 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable:
     return put
 
 
-from spotloom.plans import catalog, catalog_more, catalog_tables  # noqa: E402, F401
+from spotloom.plans import catalog, catalog_models, catalog_more, catalog_tables  # noqa: E402, F401

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import annotate, assign, dea, embed, factors, graph, labels, metrics, normalize, qc, raster, shape, spatial
+from spotloom.operators import annotate, assign, dea, embed, factors, graph, labels, metrics, normalize, qc, raster, shape, spatial, tiles
 from spotloom.sources import readers
 
 
@@ -166,7 +166,7 @@ def test_segments_split_by_seeds(spark):
     grid = spark.createDataFrame([(int(r), int(c), int(label[r, c])) for r in range(12) for c in range(12)], "row long, col long, label int")
     parts = graph.grid_components(grid).withColumn("component", F.col("component.row") * 100 + F.col("component.col"))
     seeds = [(int(r), int(c), int(k)) for k, (r, c) in enumerate(rng.integers(0, 12, (9, 2)))]
-    got = {(r["row"], r["col"]): r["seed"] for r in raster.split_by_seeds(parts, spark.createDataFrame(seeds, "row long, col long, seed long")).collect()}
+    got = {(r["row"], r["col"]): r["seed"] for r in tiles.split_by_seeds(parts, spark.createDataFrame(seeds, "row long, col long, seed long")).collect()}
     best = {}
     for r, c, k in seeds:
         best[r, c] = min(k, best.get((r, c), k))
