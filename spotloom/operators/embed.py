@@ -1,4 +1,4 @@
-"""Principal components, silhouettes, integration and clustering of cells."""
+"""Principal components, silhouettes and exact neighbours of cells."""
 
 from __future__ import annotations
 
@@ -12,24 +12,47 @@ from pyspark.sql import functions as F
 from spotloom.operators.tables import keep
 
 
-def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count") -> tuple[DataFrame, list[float]]:
+def gram(expr: DataFrame, genes: list[str], value: str = "count") -> np.ndarray:
+    """Sums over cells of the products of every two genes (in the order given) of expr(cell_id, gene, value).
+
+    Cells are put together by one shuffle; a task multiplies blocks of whole cells and sends one genes x genes sum, of which
+    only what is not zero. Genes are those of a panel, some hundreds or thousands.
+    """
+    at = expr.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, __i int")
+    cells = expr.join(F.broadcast(at), "gene").groupBy("cell_id").agg(F.collect_list("__i").alias("i"), F.collect_list(F.col(value).cast("double")).alias("x"))
+    n = len(genes)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        step = max(1, (1 << 24) // max(1, n))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                block = np.zeros((part.num_rows, n))
+                row = np.repeat(np.arange(part.num_rows), part["i"].value_lengths().to_numpy())
+                np.add.at(block, (row, part["i"].flatten().to_numpy()), part["x"].flatten().to_numpy())
+                total += block.T @ block
+        a, b = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "x": pa.array(total[a, b])})
+
+    out = np.zeros((n, n))
+    for r in cells.select("i", "x").mapInArrow(kernel, "a long, b long, x double").groupBy("a", "b").agg(F.sum("x").alias("x")).collect():
+        out[r["a"], r["b"]] = out[r["b"], r["a"]] = r["x"]
+    return out
+
+
+def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count", cells: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """cell_id, pc (array of k scores) and the share of variance of each component, of z-scored genes.
 
-    Gene-by-gene products are summed from the long table; only that matrix, of a few hundred genes, comes to the driver.
-    A cell without counts has no row: its scores are those of zeros.
+    Products of genes are summed by blocks of cells (see gram()); only that matrix comes to the driver. With cells(cell_id) a
+    cell without counts has the scores of zeros; without it, no row.
     """
     m = expr.groupBy("gene").agg((F.sum(value) / n_cells).alias("m"), F.sum(F.col(value) * F.col(value)).cast("double").alias("q")).orderBy("gene").collect()
     genes = [r["gene"] for r in m]
     mean = np.array([float(r["m"]) for r in m])
     sd = np.sqrt(np.maximum((np.array([r["q"] for r in m]) - n_cells * mean**2) / max(1, n_cells - 1), 0))
     sd[sd == 0] = 1
-    a, b = expr.select("cell_id", F.col("gene").alias("ga"), F.col(value).alias("va")), expr.select("cell_id", F.col("gene").alias("gb"), F.col(value).alias("vb"))
-    sums = a.join(b, "cell_id").where("ga <= gb").groupBy("ga", "gb").agg(F.sum(F.col("va") * F.col("vb")).cast("double").alias("s")).collect()
-    at = {g: i for i, g in enumerate(genes)}
-    c = np.zeros((len(genes), len(genes)))
-    for r in sums:
-        c[at[r["ga"]], at[r["gb"]]] = c[at[r["gb"]], at[r["ga"]]] = r["s"]
-    c = (c - n_cells * np.outer(mean, mean)) / max(1, n_cells - 1) / np.outer(sd, sd)
+    c = (gram(expr, genes, value) - n_cells * np.outer(mean, mean)) / max(1, n_cells - 1) / np.outer(sd, sd)
     w, v = np.linalg.eigh(c)
     v = v[:, ::-1][:, :k]
     v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
@@ -37,6 +60,9 @@ def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count") -> tuple[Da
     load = expr.sparkSession.createDataFrame([(g, (v[i] / sd[i]).tolist()) for i, g in enumerate(genes)], "gene string, load array<double>")
     terms = [F.sum(F.col(value) * F.get("load", F.lit(j))) + float(base[j]) for j in range(v.shape[1])]
     scores = expr.join(F.broadcast(load), "gene").groupBy("cell_id").agg(F.array(*terms).alias("pc"))  # one row for each gene is sent
+    if cells is not None:
+        none = F.array(*[F.lit(float(x)) for x in base])
+        scores = cells.select("cell_id").distinct().join(scores, "cell_id", "left").select("cell_id", F.coalesce("pc", none).alias("pc"))
     return scores, (w[::-1][:k] / w.sum()).tolist()
 
 
@@ -74,31 +100,6 @@ def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", la
     return sample.repartition(64, "k").mapInArrow(each, "s double").agg(F.count("*").alias("cells"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 
-def clusters(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", seed: int = 1) -> DataFrame:
-    """key, cluster by k-means (stands in for graph clustering and is not equal to it)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(key, array_to_vector(F.col(value).cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
-
-
-def integrate(vectors: DataFrame, batch: str, k: int, value: str = "embedding", key: str = "vec_id", rounds: int = 3) -> DataFrame:
-    """key, batch, vector with the offsets of batches within clusters taken away (a hard-assignment form of soft integration).
-
-    Each round clusters the vectors, and moves every (cluster, batch) mean to the mean of its cluster.
-    """
-    cur = vectors.select(key, batch, F.col(value).cast("array<double>").alias("vector"))
-    for r in range(rounds):
-        c = cur.join(clusters(cur, k, "vector", key, seed=r + 1), key)
-        each = c.select("cluster", batch, F.posexplode("vector").alias("d", "x"))
-        pull = lambda by: each.groupBy("cluster", *by, "d").agg(F.avg("x").alias("m")).groupBy("cluster", *by).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m"))
-        own, all_ = pull([batch]).withColumnRenamed("m", "mb"), pull([]).withColumnRenamed("m", "mc")
-        moved = c.join(F.broadcast(own), ["cluster", batch]).join(F.broadcast(all_), "cluster")  # k times batches rows
-        cur = moved.select(key, batch, F.zip_with(F.zip_with("vector", "mb", lambda x, y: x - y), "mc", lambda x, y: x + y).alias("vector"))
-    return cur
-
-
 def k_nearest_vectors(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", block: int = 4096) -> DataFrame:
     """src, dst, rank: the k nearest other vectors of each (Euclidean, ties by key), exactly.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotloom.operators import dea, embed, factors, graph, labels, metrics, qc, raster, shape, spatial
+from spotloom.operators import dea, embed, factors, graph, integrate, labels, metrics, qc, raster, shape, spatial
 from spotloom.operators.tables import shared_dir
 from spotloom.plans.catalog import _KNN, _PB, _TOTALS, _also
 from spotloom.plans.registry import Views, query
@@ -278,7 +278,7 @@ def gene_set_algebra(v: Views):
 
 @query()
 def pca_scores(v: Views):
-    scores, _ = embed.pca(v.expr, v.cells.count(), 5)
+    scores, _ = embed.pca(v.expr, v.cells.count(), 5, cells=v.cells)
     return scores.select("cell_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"))
 
 
@@ -295,7 +295,8 @@ def silhouette(v: Views):
 @query()
 def integrated_vectors(v: Views):
     e = v.embeddings.withColumn("batch", F.col("vec_id") % 4)
-    return embed.integrate(e, "batch", 5, rounds=2).select("vec_id", "batch", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    out, _ = integrate.integrate(e, "batch", 5)
+    return out.select("vec_id", "batch", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("SELECT event_type AS gene, count(*) AS n FROM events GROUP BY 1")

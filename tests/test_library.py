@@ -144,16 +144,7 @@ def test_edges_between_polygons(spark):
     assert assign.pct_assigned(points.limit(0).withColumn("gene", F.lit("g")), polygons, ["gene"]).count() == 0
 
 
-def test_integration_and_pairs(spark):
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((30, 3))
-    far = np.arange(30) // 2 % 2  # two clusters, far apart
-    x[:, 0] += 100 * far
-    v = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(30)], "vec_id long, batch int, embedding array<double>")
-    got = np.array([r["vector"] for r in embed.integrate(v, "batch", 2, rounds=1).orderBy("vec_id").collect()])
-    batch = np.arange(30) % 2
-    want = np.array([x[i] - x[(far == far[i]) & (batch == batch[i])].mean(axis=0) + x[far == far[i]].mean(axis=0) for i in range(30)])
-    assert np.allclose(got, want, atol=1e-9)  # each batch of a cluster moves to the mean of the cluster
+def test_pairs(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 4.0, 0.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0), (None, 1.0, 1.0), (None, 1.0, 1.0)], "cell_id long, x double, y double")
     assert {tuple(r) for r in spatial.pair_scores(p, 1.0).collect()} == {(1, 3, 1, 0.333333), (2, 2, 1, 1.0)}
     two = metrics.coexpression(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "cell_id long, gene string, count int"), spark.createDataFrame([("a", "s"), ("b", "t"), ("c", "t")], "gene string, gene_set string"))
