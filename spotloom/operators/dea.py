@@ -128,6 +128,27 @@ def rank_sum_test(expr: DataFrame, cells: DataFrame, test: str, ref: str, group:
     return benjamini_hochberg(out, "p", ["test"], ["gene"])
 
 
+def rank_sum_by(expr: DataFrame, cells: DataFrame, test: str, ref: str, subset: str = "cell_type", group: str = "condition", least: int = 1) -> DataFrame:
+    """subset, gene, u_z, log2fc, p, fdr of rank_sum() within each subset of the cells and in 'all', in one job.
+
+    Subsets with fewer than `least` cells of either group have no row; genes without counts in a subset have none there.
+    """
+    each = cells.where(F.col(group).isin(test, ref)).select("cell_id", (F.col(group) == test).alias("t"), F.col(subset).alias("subset"))
+    both = each.unionByName(each.withColumn("subset", F.lit("all")))
+    sizes = both.groupBy("subset").agg(F.count_if("t").alias("n1"), F.count_if(~F.col("t")).alias("n2")).where((F.col("n1") >= least) & (F.col("n2") >= least))
+    v = expr.where("count > 0").join(both.join(F.broadcast(sizes), "subset", "left_semi"), "cell_id").groupBy("subset", "gene", F.col("count").alias("v")).agg(F.sum(F.col("t").cast("long")).alias("a"), F.count("*").alias("n"))
+    stored = v.groupBy("subset", "gene").agg(F.sum("a").alias("sa"), F.sum("n").alias("sn")).join(sizes, "subset")
+    zero = stored.select("subset", "gene", F.lit(0).cast(v.schema["v"].dataType).alias("v"), (F.col("n1") - F.col("sa")).alias("a"), (F.col("n1") + F.col("n2") - F.col("sn")).alias("n"))
+    w = Window.partitionBy("subset", "gene").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = v.unionByName(zero).withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    s = ranked.groupBy("subset", "gene").agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.col("a") * F.col("v")).alias("s1"), F.sum((F.col("n") - F.col("a")) * F.col("v")).alias("s2")).join(sizes, "subset")
+    n1, n2 = F.col("n1"), F.col("n2")
+    z = (F.col("r") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    fold = F.log2((F.expm1(F.col("s1") / n1) + 1e-9) / (F.expm1(F.col("s2") / n2) + 1e-9))
+    out = s.select("subset", "gene", F.round(z, 6).alias("u_z"), F.round(fold, 6).alias("log2fc")).withColumn("p", normal_two_sided("u_z"))
+    return benjamini_hochberg(out, "p", ["subset"], ["gene"])
+
+
 def hurdle(expr: DataFrame, cells: DataFrame, test: str, ref: str, group: str = "condition") -> DataFrame:
     """gene, chi2: likelihood ratio of a detection (binomial) and an expression (Gaussian, log1p) part, by closed form."""
     sizes = {r[group]: r["count"] for r in cells.where(F.col(group).isin(test, ref)).groupBy(group).count().collect()}
@@ -244,6 +265,13 @@ def two_sample_t(df: DataFrame, value: str, group: str, a: str, b: str, by: list
     return s.select(*by, F.round(F.when((F.col("n0") > 1) & (F.col("n1") > 1) & (pooled > 0), t), 6).alias("t"))
 
 
+def top_terms(enriched: DataFrame, n: int = 30) -> DataFrame:
+    """The n terms of enrichment_test() of least p (then of greatest fold, then by name), with fdr over all terms."""
+    one = enriched.withColumn("__one", F.lit(1))
+    out = benjamini_hochberg(one, "p", ["__one"], ["term"]).drop("__one")
+    return out.orderBy("p", F.desc("fold"), "term").limit(n)
+
+
 def factor_chi2(counts: DataFrame, min_count: int = 20) -> DataFrame:
     """gene, factor, chi2, fold of counts(gene, factor, n): one gene and factor against all others."""
     g, f = F.sum("n").over(Window.partitionBy("gene")), F.sum("n").over(Window.partitionBy("factor"))

@@ -17,12 +17,17 @@ def has_prefix(method: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [method.startswith(p) for p in prefixes], F.lit(False))
 
 
-def normal_label(label: Column, names: dict[str, str]) -> Column:
-    """Without leading digits; 'NN' types by the word before it, neurons by the last word; then by a dictionary."""
-    plain = F.trim(F.regexp_replace(label, r"^\d+\s*", ""))
-    tokens = F.split(plain, " ")
-    last, before = F.element_at(tokens, -1), F.try_element_at(tokens, F.lit(-2))
-    short = F.when((last == "NN") & before.isNotNull(), before).when(last.isin("Glut", "GABA"), F.concat(F.lit("Neurons-"), last)).otherwise(last)
+# Last words of the taxonomy's names that mark neurons.
+NEURONS = ["Gaba", "Glut", "Gly-Gaba", "Dopa-Gaba", "Hist-Gaba", "Gaba-Glut", "Dopa", "Glut-Sero", "Gaba-Chol", "Chol", "Glut-Chol", "Glyc-Gaba"]
+
+
+def normal_label(label: Column, names: dict[str, str], neurons: list[str] | None = None) -> Column:
+    """The last word of a taxonomy name: with 'Neurons-' before it where it is one of `neurons`; of a name that ends in NN all
+    words before that; in any case without leading digits. Then by a dictionary; null stays null."""
+    tokens = F.split(F.trim(label), r"\s+")
+    last = F.element_at(tokens, -1)
+    plain = lambda c: F.regexp_replace(c, r"^\d+\s*", "")
+    short = F.when(last == "NN", plain(F.regexp_replace(F.trim(label), " NN$", ""))).when(last.isin(*(NEURONS if neurons is None else neurons)), F.concat(F.lit("Neurons-"), last)).otherwise(plain(last))
     pairs = [F.lit(x) for kv in names.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), short), short) if pairs else short
 

@@ -76,16 +76,25 @@ def coexpression(expr: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def neighbour_contamination(edges: DataFrame, cells: DataFrame, expr: DataFrame, markers: DataFrame) -> DataFrame:
-    """src_type, dst_type, pairs, hits, score: how often a cell expresses markers of a neighbour's type, by pairs + 1."""
+    """src_type, dst_type, triples, score of edges(src, dst), cells(cell_id, cell_type) and markers(gene, gene_set).
+
+    A triple is a cell, a neighbour of another type, and a marker of the cell's type that is none of the neighbour's, with
+    counts anywhere in the cell's neighbourhood (itself and all its neighbours). It adds the neighbour's share of those counts;
+    the sum is divided by triples + 1. Only counts of marker genes meet the edges.
+    """
     t = cells.select("cell_id", "cell_type")
-    typed = edges.join(t.select(F.col("cell_id").alias("src"), F.col("cell_type").alias("src_type")), "src").join(
-        t.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("dst_type")), "dst"
-    )
-    typed = typed.where("src_type <> dst_type")
-    own = expr.where("count > 0").join(markers.select("gene", "gene_set"), "gene").select(F.col("cell_id").alias("src"), F.col("gene_set").alias("dst_type")).distinct()
-    marked = typed.join(own.withColumn("hit", F.lit(1)), ["src", "dst_type"], "left")
-    out = marked.groupBy("src_type", "dst_type").agg(F.count("*").alias("pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
-    return out.withColumn("score", F.round(F.col("hits") / (F.col("pairs") + 1), 6))
+    sets = markers.select("gene", F.col("gene_set").alias("set")).distinct()
+    counts = expr.where("count > 0").join(sets.select("gene").distinct(), "gene", "left_semi").select("cell_id", "gene", "count")
+    typed = edges.select("src", "dst").join(t.select(F.col("cell_id").alias("src"), F.col("cell_type").alias("src_type")), "src")
+    typed = typed.join(t.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("dst_type")), "dst")
+    around = typed.select("src", "src_type", F.col("dst").alias("cell_id"))
+    itself = t.join(edges.select(F.col("src").alias("cell_id")).distinct(), "cell_id", "left_semi").select(F.col("cell_id").alias("src"), F.col("cell_type").alias("src_type"), "cell_id")
+    own = sets.withColumnRenamed("set", "src_type")
+    total = around.unionByName(itself).join(counts, "cell_id").join(own, ["src_type", "gene"], "left_semi").groupBy("src", "gene").agg(F.sum("count").alias("total"))
+    other = typed.where("src_type <> dst_type").join(total, "src").join(sets.withColumnRenamed("set", "dst_type"), ["gene", "dst_type"], "left_anti")
+    held = other.join(counts.withColumnRenamed("cell_id", "dst"), ["dst", "gene"], "left")
+    out = held.groupBy("src_type", "dst_type").agg(F.count("*").alias("triples"), F.sum(F.coalesce("count", F.lit(0)) / F.col("total")).alias("s"))
+    return out.select("src_type", "dst_type", "triples", F.round(F.col("s") / (F.col("triples") + 1), 6).alias("score"))
 
 
 def wasserstein(expr: DataFrame, cells: DataFrame, target: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.operators import dea
+from spotloom.operators.tables import keep
 
 # --- special functions -------------------------------------------------------------------------------------------------
 
@@ -305,7 +306,8 @@ def trimmed_mean_factors(pb: DataFrame, sizes: DataFrame, trim_m: float = 0.3, t
     that are neither among the outer trim_m by M nor among the outer trim_a by mean log level (A), on both sides; factors of
     a subset multiply to 1. A sample without common genes has the factor 1 before that.
     """
-    p = pb.join(sizes.where("size > 0"), ["subset", "sample"])
+    sizes = keep(sizes, "sizes")
+    p = keep(pb.join(sizes.where("size > 0"), ["subset", "sample"]), "sized")
     genes = p.groupBy("subset").agg(F.count_distinct("gene").alias("genes"))
     # Quartiles are those of all genes of the subset, zeros included.
     w = Window.partitionBy("subset", "sample").orderBy(F.desc("count"), "gene")
@@ -346,9 +348,10 @@ def sample_tests(pb: DataFrame, cells: DataFrame, ref: str | None, kind: str = "
     or without residual degrees of freedom have no row. One group holds a subset's genes by samples.
     """
     known = cells.select("sample", "condition", *([F.col(batch).cast("string").alias("batch")] if batch else [])).groupBy("sample").agg(F.min("condition").alias("condition"), *([F.min("batch").alias("batch")] if batch else []))
+    pb, known = keep(pb, "pseudobulk"), keep(known, "samples")
     good = dea.testable(pb, known, ref, min_samples) if ref is not None else pb.select("subset").distinct()
-    kept = pb.join(good, "subset", "left_semi").join(expressed(pb, known), ["subset", "gene"], "left_semi")
-    lib = trimmed_mean_factors(kept, sample_sizes(pb, cells, subset))
+    kept = keep(pb.join(good, "subset", "left_semi").join(expressed(pb, known), ["subset", "gene"], "left_semi"), "tested")
+    lib = keep(trimmed_mean_factors(kept, sample_sizes(pb, cells, subset)), "factors")
     rows = kept.join(lib, ["subset", "sample"]).join(known, "sample").select("subset", "sample", "gene", F.col("count").cast("double").alias("count"), (F.col("size") * F.col("factor")).alias("size"), "condition", *(["batch"] if batch else []))
 
     def kernel(table: pa.Table) -> pa.Table:

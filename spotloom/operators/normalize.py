@@ -70,10 +70,24 @@ def marker_scores(expr: DataFrame, genes: DataFrame, cells: DataFrame, top: int
     return expr.join(weighted, "gene").groupBy("cell_id", "gene_set").agg(F.round(F.sum(F.col("count") * F.col("w")), 6).alias("score"))
 
 
-def contamination(expr: DataFrame, cells: DataFrame, genes: list[str], absolute: float = 1, z: float = 2) -> DataFrame:
-    """cell_id, mean_marker, zscore, contaminated: mean over the genes above absolute and population z-score above z."""
-    per = expr.where(F.col("gene").isin(*genes)).groupBy("cell_id").agg((F.sum("count") / len(genes)).alias("m"))
-    full = cells.select("cell_id").join(per, "cell_id", "left").select("cell_id", F.coalesce("m", F.lit(0.0)).alias("mean_marker"))
-    mean, sd = full.agg(F.avg("mean_marker"), F.stddev_pop("mean_marker")).head()
-    score = (F.col("mean_marker") - F.lit(mean)) / F.lit(sd) if sd else F.lit(0.0)
-    return full.withColumn("zscore", score).withColumn("contaminated", (F.col("mean_marker") > absolute) & (F.col("zscore") > z))
+def contamination(expr: DataFrame, cells: DataFrame, markers: DataFrame, absolute: float = 1, z: float = 2, value: str = "count") -> DataFrame:
+    """cell_id, lineage, mean_marker, zscore, contaminated of markers(lineage, gene): mean over the lineage's genes that the
+    table has, zeros included, above absolute and with a population z-score above z. A lineage without such genes flags no cell.
+
+    All lineages in one pass; lineages are few.
+    """
+    here = markers.select("lineage", "gene").distinct().join(expr.select("gene").distinct(), "gene")
+    size = markers.select("lineage").distinct().join(here.groupBy("lineage").agg(F.count("*").alias("k")), "lineage", "left")
+    per = expr.join(here, "gene").groupBy("cell_id", "lineage").agg(F.sum(value).alias("s"))
+    full = cells.select("cell_id").distinct().crossJoin(F.broadcast(size)).join(per, ["cell_id", "lineage"], "left")
+    full = full.select("cell_id", "lineage", F.when(F.col("k").isNotNull(), F.coalesce(F.col("s"), F.lit(0)) / F.col("k")).alias("mean_marker"))
+    whole = full.groupBy("lineage").agg(F.avg("mean_marker").alias("m"), F.stddev_pop("mean_marker").alias("sd"))
+    score = F.when(F.col("sd") > 0, (F.col("mean_marker") - F.col("m")) / F.col("sd"))
+    out = full.join(F.broadcast(whole), "lineage").withColumn("zscore", score)
+    hit = F.coalesce((F.col("mean_marker") > absolute) & (F.col("zscore") > z), F.lit(False))
+    return out.select("cell_id", "lineage", "mean_marker", "zscore", hit.alias("contaminated"))
+
+
+def contaminated_cells(flags: DataFrame) -> DataFrame:
+    """cell_id, contaminated: in any lineage of contamination()."""
+    return flags.groupBy("cell_id").agg(F.bool_or("contaminated").alias("contaminated"))

@@ -129,10 +129,12 @@ def neighbours(v: Views):
 
 
 @query(
-    f"""SELECT src_type, dst_type, count(*) AS pairs, sum(hit)::BIGINT AS hits, round(sum(hit) / (count(*) + 1), 6) AS score FROM
-    (SELECT a.cell_type AS src_type, b.cell_type AS dst_type, (EXISTS (SELECT 1 FROM expr e JOIN genes g ON g.gene = e.gene
-    WHERE e.cell_id = k.src AND g.gene_set = b.cell_type AND e.count > 0))::INT AS hit FROM ({_KNN}) k
-    JOIN cells a ON a.cell_id = k.src JOIN cells b ON b.cell_id = k.dst WHERE a.cell_type <> b.cell_type) GROUP BY 1, 2""",
+    f"""SELECT * FROM (WITH k AS MATERIALIZED ({_KNN}), e AS MATERIALIZED (SELECT DISTINCT k.src, k.dst, a.cell_type AS src_type, b.cell_type AS dst_type FROM k JOIN cells a ON a.cell_id = k.src JOIN cells b ON b.cell_id = k.dst),
+    hood AS (SELECT src, src_type, dst AS cell_id FROM e UNION SELECT src, src_type, src FROM e),
+    total AS (SELECT h.src, g.gene, sum(x.count) AS total FROM hood h JOIN genes g ON g.gene_set = h.src_type JOIN expr x ON x.cell_id = h.cell_id AND x.gene = g.gene WHERE x.count > 0 GROUP BY 1, 2),
+    t AS (SELECT e.src_type, e.dst_type, coalesce(x.count, 0) / total AS share FROM e JOIN total t ON t.src = e.src LEFT JOIN expr x ON x.cell_id = e.dst AND x.gene = t.gene
+        WHERE e.src_type <> e.dst_type AND NOT EXISTS (SELECT 1 FROM genes g WHERE g.gene = t.gene AND g.gene_set = e.dst_type))
+    SELECT src_type, dst_type, count(*) AS triples, round(sum(share) / (count(*) + 1), 6) AS score FROM t GROUP BY 1, 2)""",
     ("cells", "expr", "genes"),
 )
 def neighbour_contamination(v: Views):
@@ -306,14 +308,32 @@ def marker_gene_scores(v: Views):
     return _scores(v).withColumn("score", F.round("score", 4))
 
 
+_LINEAGES = "(VALUES ('A', 'g10'), ('A', 'g20'), ('A', 'g30'), ('A', 'absent'), ('B', 'g11'), ('B', 'g21'), ('C', 'absent'))"
+
+
+def _lineages(v: Views):
+    rows = [("A", "g10"), ("A", "g20"), ("A", "g30"), ("A", "absent"), ("B", "g11"), ("B", "g21"), ("C", "absent")]
+    return normalize.contamination(v.expr, v.cells, v.spark.createDataFrame(rows, "lineage string, gene string"))
+
+
 @query(
-    """SELECT cell_id, round(m, 6) AS mean_marker, round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 6) AS zscore, (m > 1 AND (m - avg(m) OVER ()) / stddev_pop(m) OVER () > 2) AS contaminated
-    FROM (SELECT c.cell_id, coalesce(sum(e.count) / 3, 0.0) AS m FROM cells c LEFT JOIN (SELECT * FROM expr WHERE gene IN ('g10', 'g20', 'g30')) e ON e.cell_id = c.cell_id GROUP BY 1)""",
+    f"""SELECT cell_id, lineage, round(m, 6) AS mean_marker, round(z, 6) AS zscore, coalesce(m > 1 AND z > 2, false) AS contaminated FROM (SELECT *, (m - avg(m) OVER (PARTITION BY lineage)) / nullif(stddev_pop(m) OVER (PARTITION BY lineage), 0) AS z FROM
+    (SELECT c.cell_id, l.lineage, coalesce(sum(e.count), 0) / any_value(l.k) AS m FROM cells c CROSS JOIN (SELECT lineage, nullif(count(*) FILTER (gene IN (SELECT gene FROM expr)), 0) AS k FROM {_LINEAGES} x(lineage, gene) GROUP BY 1) l
+    LEFT JOIN (SELECT e.cell_id, e.count, x.lineage FROM expr e JOIN {_LINEAGES} x(lineage, gene) ON x.gene = e.gene) e ON e.cell_id = c.cell_id AND e.lineage = l.lineage GROUP BY 1, 2))""",
     ("expr", "cells"),
 )
 def contamination_flags(v: Views):
-    r = normalize.contamination(v.expr, v.cells, ["g10", "g20", "g30"])
-    return r.select("cell_id", F.round("mean_marker", 6).alias("mean_marker"), F.round("zscore", 6).alias("zscore"), "contaminated")
+    return _lineages(v).withColumns({c: F.round(c, 6) for c in ("mean_marker", "zscore")})
+
+
+@query(
+    f"""SELECT cell_id, bool_or(coalesce(m > 1 AND z > 2, false)) AS contaminated FROM (SELECT *, (m - avg(m) OVER (PARTITION BY lineage)) / nullif(stddev_pop(m) OVER (PARTITION BY lineage), 0) AS z FROM
+    (SELECT c.cell_id, l.lineage, coalesce(sum(e.count), 0) / any_value(l.k) AS m FROM cells c CROSS JOIN (SELECT lineage, nullif(count(*) FILTER (gene IN (SELECT gene FROM expr)), 0) AS k FROM {_LINEAGES} x(lineage, gene) GROUP BY 1) l
+    LEFT JOIN (SELECT e.cell_id, e.count, x.lineage FROM expr e JOIN {_LINEAGES} x(lineage, gene) ON x.gene = e.gene) e ON e.cell_id = c.cell_id AND e.lineage = l.lineage GROUP BY 1, 2)) GROUP BY 1""",
+    ("expr", "cells"),
+)
+def contaminated_cells(v: Views):
+    return normalize.contaminated_cells(_lineages(v))
 
 
 # --- annotation -------------------------------------------------------------------------------------------------------

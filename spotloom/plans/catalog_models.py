@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotloom.operators import community, knn, tiles
+from spotloom.operators import community, dea, knn, models, tiles
+from spotloom.plans.catalog import _PB, _also
 from spotloom.plans.catalog_more import _GRID, _grid
 from spotloom.plans.registry import Views, query
 
@@ -74,3 +75,120 @@ def filled_holes(v: Views):
 def cells_of_nuclei(v: Views):
     """Segments of the label grid split by the cells' centres, with those that hold none."""
     return tiles.split_cells(_grid(v), v.cells.select(F.col("cell_id").alias("seed"), "x", "y"), 100.0)
+
+
+# --- models per gene ---------------------------------------------------------------------------------------------------
+
+
+def _bulk(v: Views):
+    return dea.pseudobulk(v.expr, v.cells)
+
+
+@query(
+    _also(
+        """SELECT b.subset, b.gene FROM (SELECT p.subset, p.gene, count(*) FILTER (p.count / l.lib >= 2 / r.m) AS k, sum(p.count) AS t, any_value(r.need) AS need FROM pb p JOIN libs l ON l.subset = p.subset AND l.sample = p.sample JOIN rule r ON r.subset = p.subset GROUP BY 1, 2) b
+        WHERE k >= need - 1e-14 AND t >= 15""",
+        _PB + """, libs AS (SELECT p.subset, p.sample, any_value(c.condition) AS condition, any_value(p.lib) AS lib FROM (SELECT subset, sample, sum(count) AS lib FROM pb GROUP BY 1, 2) p JOIN (SELECT sample, min(condition) AS condition FROM cells GROUP BY 1) c ON c.sample = p.sample GROUP BY 1, 2),
+        rule AS (SELECT a.subset, a.m, CASE WHEN b.n > 10 THEN 10 + (b.n - 10) * 0.7 ELSE b.n END AS need FROM (SELECT subset, median(lib) AS m FROM libs GROUP BY 1) a JOIN (SELECT subset, min(n) AS n FROM (SELECT subset, condition, count(*) AS n FROM libs GROUP BY 1, 2) GROUP BY 1) b ON b.subset = a.subset)""",
+    ),
+    ("expr", "cells"),
+)
+def expressed_genes(v: Views):
+    """Genes with enough counts per million in as many samples as the smallest condition has, of every subset and all."""
+    known = v.cells.groupBy("sample").agg(F.min("condition").alias("condition"))
+    return models.expressed(_bulk(v), known)
+
+
+_FACTORS = """, sizes AS (SELECT s.subset, s.sample, sum(v)::DOUBLE AS size FROM (SELECT cell_type AS subset, sample, volume_final AS v FROM cells UNION ALL SELECT 'all', sample, volume_final FROM cells) s SEMI JOIN pb ON pb.subset = s.subset AND pb.sample = s.sample GROUP BY 1, 2),
+    p AS (SELECT pb.subset, pb.sample, pb.gene, pb.count, s.size FROM pb JOIN sizes s ON s.subset = pb.subset AND s.sample = pb.sample WHERE s.size > 0),
+    ng AS (SELECT subset, count(DISTINCT gene) AS genes FROM p GROUP BY 1),
+    quart AS (SELECT subset, sample, sum(count / size * greatest(0, 1 - abs(r - mid))) AS q FROM (SELECT p.*, row_number() OVER (PARTITION BY p.subset, p.sample ORDER BY count DESC, gene) - 1 AS r, (genes - 1) * 0.25 AS mid FROM p JOIN ng ON ng.subset = p.subset) GROUP BY 1, 2),
+    ref AS (SELECT subset, arg_min(sample, (round(abs(q - m), 12), sample)) AS ref FROM (SELECT *, avg(q) OVER (PARTITION BY subset) AS m FROM quart) GROUP BY 1),
+    e AS (SELECT a.subset, a.sample, a.gene, round(log2((a.count / a.size) / (b.count / b.size)), 9) AS m, round((log2(a.count / a.size) + log2(b.count / b.size)) / 2, 9) AS l,
+        CASE WHEN 1 / a.count - 1 / a.size + 1 / b.count - 1 / b.size > 0 THEN 1 / a.count - 1 / a.size + 1 / b.count - 1 / b.size ELSE 1 / a.count + 1 / b.count END AS v FROM p a JOIN ref r ON r.subset = a.subset JOIN p b ON b.subset = a.subset AND b.sample = r.ref AND b.gene = a.gene),
+    k AS (SELECT *, count(*) OVER (PARTITION BY subset, sample) AS n, rank() OVER (PARTITION BY subset, sample ORDER BY m) + (count(*) OVER (PARTITION BY subset, sample, m) - 1) / 2 AS rm, rank() OVER (PARTITION BY subset, sample ORDER BY l) + (count(*) OVER (PARTITION BY subset, sample, l) - 1) / 2 AS ra FROM e),
+    raw AS (SELECT subset, sample, sum(m / v) / sum(1 / v) AS g FROM k WHERE rm BETWEEN floor(n * 0.3) + 1 AND n - floor(n * 0.3) AND ra BETWEEN floor(n * 0.05) + 1 AND n - floor(n * 0.05) GROUP BY 1, 2)"""
+
+
+@query(
+    _also(
+        "SELECT subset, sample, round(size, 4) AS size, round(pow(2, g - avg(g) OVER (PARTITION BY subset)), 6) AS factor FROM (SELECT s.subset, s.sample, s.size, coalesce(r.g, 0) AS g FROM sizes s LEFT JOIN raw r ON r.subset = s.subset AND r.sample = s.sample WHERE s.size > 0)",
+        _PB + _FACTORS,
+    ),
+    ("expr", "cells"),
+)
+def library_factors(v: Views):
+    """Trimmed mean factors by volume, two-sided and weighted, of every subset and all."""
+    pb = _bulk(v)
+    return models.trimmed_mean_factors(pb, models.sample_sizes(pb, v.cells)).withColumns({"size": F.round("size", 4), "factor": F.round("factor", 6)})
+
+
+@query()
+def likelihood_ratio_tests(v: Views):
+    """Negative-binomial models with dispersions of each gene, all conditions against WT, every subset and all."""
+    return models.sample_tests(_bulk(v), v.cells, "WT", "LRT")
+
+
+@query()
+def quasi_likelihood_tests(v: Views):
+    return models.sample_tests(_bulk(v), v.cells, "WT", "QL", batch="slide")
+
+
+@query()
+def precision_weighted_tests(v: Views):
+    return models.sample_tests(_bulk(v), v.cells, "WT", "WLS")
+
+
+@query()
+def markers_by_models(v: Views):
+    """Each condition against the mean of the others: genes far from chance and in the upper half of abundance."""
+    return models.strong(models.sample_tests(_bulk(v), v.cells, None, "QL"))
+
+
+@query()
+def hurdle_with_covariate(v: Views):
+    """Detection and expression ~ condition + slide."""
+    return models.hurdle_model(v.expr, v.cells, "KO", "WT", batch="slide", cap=20_000)
+
+
+_SPLIT = """b AS (SELECT cell_id, sample, cell_type AS subset, condition = 'KO' AS t FROM cells WHERE condition IN ('KO', 'WT') UNION ALL SELECT cell_id, sample, 'all', condition = 'KO' FROM cells WHERE condition IN ('KO', 'WT')),
+    z AS (SELECT subset, count(*) FILTER (t) AS n1, count(*) FILTER (NOT t) AS n2 FROM b GROUP BY 1 HAVING count(*) FILTER (t) >= 1 AND count(*) FILTER (NOT t) >= 1),
+    vals AS (SELECT b.subset, e.gene, e.count AS v, count(*) FILTER (t) AS a, count(*) AS n FROM expr e JOIN b ON b.cell_id = e.cell_id WHERE e.count > 0 GROUP BY 1, 2, 3),
+    every AS (SELECT * FROM vals UNION ALL SELECT v.subset, v.gene, 0, any_value(z.n1) - sum(v.a), any_value(z.n1 + z.n2) - sum(v.n) FROM vals v JOIN z ON z.subset = v.subset GROUP BY 1, 2),
+    rk AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY subset, gene ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM every)"""
+
+
+@query(
+    _also(
+        """SELECT k.subset, k.gene, round((sum(a * r) - any_value(n1 * (n1 + n2 + 1) / 2)) / sqrt(any_value(n1 * n2 * (n1 + n2 + 1) / 12)), 6) AS u_z, round(log2((exp(sum(a * v) / any_value(n1)) - 1 + 1e-9) / (exp(sum((n - a) * v) / any_value(n2)) - 1 + 1e-9)), 6) AS log2fc
+        FROM rk k JOIN z ON z.subset = k.subset GROUP BY 1, 2""",
+        _SPLIT,
+    ),
+    ("expr", "cells"),
+)
+def rank_sum_by_type(v: Views):
+    return dea.rank_sum_by(v.expr, v.cells, "KO", "WT").select("subset", "gene", "u_z", "log2fc")
+
+
+@query(
+    """SELECT b.subset, b.sample, b.rep, e.gene, sum(e.count)::BIGINT AS count, any_value(b.n_cells) AS n_cells FROM expr e JOIN (SELECT *, count(*) OVER (PARTITION BY subset, sample) AS n_cells, ntile(3) OVER (PARTITION BY subset, sample ORDER BY md5('0:' || cell_id)) AS rep FROM
+    (SELECT cell_id, sample, cell_type AS subset FROM cells UNION ALL SELECT cell_id, sample, 'all' FROM cells)) b ON b.cell_id = e.cell_id WHERE b.n_cells >= 15 GROUP BY 1, 2, 3, 4""",
+    ("expr", "cells"),
+)
+def pseudobulk_replicates(v: Views):
+    return dea.pseudobulk(v.expr, v.cells, replicates=3).select("subset", "sample", F.col("rep").cast("int").alias("rep"), "gene", "count", "n_cells")
+
+
+_CHOOSE = "lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1)"
+
+
+@query(
+    f"""SELECT term, pop_n, study_n, round(p, 9) AS p, round(least(1, min(raw) OVER (ORDER BY p DESC, term DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, term) AS raw FROM (SELECT term, pop_n, study_n, least(1, list_sum(list_transform(
+    range(study_n, least(s, pop_n) + 1), lambda i: CASE WHEN s - i <= t - pop_n THEN exp({_CHOOSE.format(a="pop_n", b="i")} + {_CHOOSE.format(a="(t - pop_n)", b="(s - i)")} - ({_CHOOSE.format(a="t", b="s")})) ELSE 0 END))) AS p
+    FROM (SELECT g.gene_set AS term, count(*) AS pop_n, count(*) FILTER (rank < 7) AS study_n FROM genes g GROUP BY 1), (SELECT count(*) FILTER (rank < 7) AS s, count(*) AS t FROM genes))) ORDER BY p, term LIMIT 30""",
+    ("genes",),
+)
+def enriched_terms(v: Views):
+    sets = v.genes.select(F.col("gene_set").alias("term"), "gene")
+    e = dea.enrichment_test(v.genes.where("rank < 7").select("gene"), v.genes.select("gene"), sets, min_pop=1, min_study=1)
+    return dea.top_terms(e).select("term", "pop_n", "study_n", *[F.round(c, 9).alias(c) for c in ("p", "fdr")])

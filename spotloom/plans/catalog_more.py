@@ -61,12 +61,14 @@ def long_markers(v: Views):
 
 
 @query(
-    """SELECT cell_id, CASE WHEN k = 0 THEN 'Oligo' WHEN k = 1 THEN 'Neurons-Glut' WHEN k = 2 THEN 'Neurons-GABA' WHEN k = 3 THEN 'Vascular' ELSE 'Other' END AS label FROM (SELECT cell_id, cell_id % 5 AS k FROM cells)""",
+    """SELECT cell_id, CASE cell_id % 8 WHEN 0 THEN 'Oligodendrocytes' WHEN 1 THEN 'Neurons-Glut' WHEN 2 THEN 'Neurons-Gaba' WHEN 3 THEN 'VLMCs' WHEN 4 THEN 'Other' WHEN 5 THEN 'Neurons-Dopa' WHEN 6 THEN 'Immune Cell' ELSE 'Astrocytes' END AS label FROM cells""",
     ("cells",),
 )
 def normal_labels(v: Views):
-    raw = F.element_at(F.array(*map(F.lit, ["0001 Oligo NN", "0326 L2/3 IT CTX Glut", "0500 Sst GABA", "07 VLMC NN", "9 Other"])), (F.col("cell_id") % 5 + 1).cast("int"))
-    return v.cells.select("cell_id", labels.normal_label(raw, {"VLMC": "Vascular"}).alias("label"))
+    names = ["327 Oligo NN", "006 L2/3 IT CTX Glut", "053 Sst Gaba", "330 VLMC NN", "9 Other", "215 SNc-VTA-RAmb Foxa1 Dopa-Gaba", "334 Immune Cell NN", "319 Astro-TE NN"]
+    raw = F.element_at(F.array(*map(F.lit, names)), (F.col("cell_id") % 8 + 1).cast("int"))
+    known = {"Oligo": "Oligodendrocytes", "VLMC": "VLMCs", "Neurons-Dopa-Gaba": "Neurons-Dopa", "Astro-TE": "Astrocytes"}
+    return v.cells.select("cell_id", labels.normal_label(raw, known).alias("label"))
 
 
 @query("SELECT DISTINCT method, replace(replace(method, 'A2D', 'Flat 2D'), 'B3D', 'Deep 3D') AS shown, starts_with(method, 'B') AS deep FROM planes", ("planes",))
@@ -108,14 +110,13 @@ def quantised_pixels(v: Views):
     return labels.quantised(v.transcripts.select("x", "y"), 0, 0).groupBy("BLOCK", "X", "Y").agg(F.count("*").alias("n"))
 
 
-@query("SELECT cell_id, round(cx * 2.0 + 10, 6) AS x0 FROM octagons", ("octagons",))
+@query("SELECT method, cell_id, z, round(cx * 2.0 + 10, 6) AS x0 FROM planes", ("planes",))
 def mapped_polygons(v: Views):
     from spotloom.functions import geometry
 
     m = [[0.5, 0.0, -5.0], [0.0, 0.5, 3.0], [0.0, 0.0, 1.0]]
-    b = v.boundaries.where("method = 'A2D'")
     xs, _ = geometry.affine(F.col("xs"), F.col("ys"), geometry.inverse(m))
-    return b.select("cell_id", F.round(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / 8, 6).alias("x0"))
+    return v.boundaries.select("method", "cell_id", "z", F.round(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / 8, 6).alias("x0"))
 
 
 # --- shapes -----------------------------------------------------------------------------------------------------------
@@ -151,15 +152,16 @@ def hull_shapes(v: Views):
 
 
 @query(
-    """SELECT x, y, gene, min(struct_pack(r := r, c := cell_id)).c AS cell_id FROM (SELECT DISTINCT t.x, t.y, t.gene, p.cell_id, p.r FROM transcripts t JOIN planes p ON p.method = 'A2D' AND abs(t.x - p.cx) < p.r AND abs(t.y - p.cy) < p.r AND 2 * (abs(t.x - p.cx) + abs(t.y - p.cy)) < 3 * p.r) GROUP BY 1, 2, 3""",
+    """SELECT method, x, y, z, gene, min(struct_pack(r := r, c := cell_id)).c AS cell_id FROM (SELECT DISTINCT p.method, t.x, t.y, t.z, t.gene, p.cell_id, p.r FROM transcripts t JOIN planes p ON (p.z IS NULL OR p.z = t.z) AND abs(t.x - p.cx) < p.r AND abs(t.y - p.cy) < p.r AND 2 * (abs(t.x - p.cx) + abs(t.y - p.cy)) < 3 * p.r) GROUP BY 1, 2, 3, 4, 5""",
     ("transcripts", "planes"),
 )
 def without_overlap(v: Views):
     from spotloom.functions import geometry
 
-    flat = v.boundaries.where("method = 'A2D'").select("cell_id", "xs", "ys").withColumn("area", geometry.area(F.col("xs"), F.col("ys")))
-    pairs = spatial.points_in_polygons(v.transcripts.select("x", "y", "gene").distinct(), flat)
-    return shape.one_cell_each(pairs, ["x", "y", "gene"]).select("x", "y", "gene", "cell_id")
+    points = v.transcripts.select("x", "y", "z", "gene").distinct()
+    sized = v.boundaries.select("method", "cell_id", F.col("z").alias("plane"), "xs", "ys").withColumn("area", geometry.area(F.col("xs"), F.col("ys")))
+    pairs = spatial.points_in_polygons(points, sized).where("plane is null or plane = z")
+    return shape.one_cell_each(pairs, ["method", "x", "y", "z", "gene"]).select("method", "x", "y", "z", "gene", "cell_id")
 
 
 # --- factors ----------------------------------------------------------------------------------------------------------

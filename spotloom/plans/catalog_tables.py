@@ -284,13 +284,13 @@ def mean_area(v: Views):
 
 
 @query(
-    f"""SELECT method, round(avg(n / (a * 7)), 4) AS density FROM (SELECT p.method, p.cell_id, any_value({_AREA}) AS a, count(t.gene) AS n FROM (SELECT * FROM planes WHERE method = 'A2D') p LEFT JOIN transcripts t ON {_IN} GROUP BY 1, 2) GROUP BY 1""",
+    f"""SELECT method, round(avg(n / (a * 7)), 4) AS density FROM (SELECT b.method, b.cell_id, b.a, coalesce(t.n, 0) AS n FROM (SELECT method, cell_id, avg({_AREA}) AS a FROM planes GROUP BY 1, 2) b LEFT JOIN
+    (SELECT p.method, p.cell_id, count(*) AS n FROM planes p JOIN transcripts t ON (p.z IS NULL OR p.z = t.z) AND {_IN} GROUP BY 1, 2) t ON t.method = b.method AND t.cell_id = b.cell_id) GROUP BY 1""",
     ("transcripts", "planes"),
 )
 def density_by_method(v: Views):
-    flat = v.boundaries.where("z is null")
-    n = assign.cell_by_gene(v.transcripts, flat, 0).groupBy("method", "cell_id").agg(F.sum("count").alias("n_counts"))
-    areas = flat.select("method", "cell_id", geometry.area(F.col("xs"), F.col("ys")).alias("area"))
+    n = assign.cell_by_gene(v.transcripts, v.boundaries, 0).groupBy("method", "cell_id").agg(F.sum("count").alias("n_counts"))
+    areas = v.boundaries.groupBy("method", "cell_id").agg(F.avg(geometry.area(F.col("xs"), F.col("ys"))).alias("area"))
     return qc.transcript_density(areas.join(n, ["method", "cell_id"], "left").na.fill(0, ["n_counts"]))
 
 

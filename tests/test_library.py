@@ -64,8 +64,9 @@ def test_flags_and_names(spark):
         qc.require_integer_counts(spark.createDataFrame([(1.5,)], "count double"))
     with pytest.raises(ValueError):
         qc.attach_strict(cells, expr.withColumnRenamed("count", "k"), "cell_id")
-    names = spark.createDataFrame([("0001 Oligo NN",), ("NN",), (None,)], "n string").select(labels.normal_label(F.col("n"), {"Oligo": "Oligos"}).alias("n")).collect()
-    assert [r["n"] for r in names] == ["Oligos", "NN", None]
+    told = ["0001 Oligo NN", "NN", None, "334 Immune Cell NN", "215 SNc Foxa1 Dopa-Gaba", "006 L2/3 IT CTX Glut", "12 GABA", "38Peri"]
+    names = spark.createDataFrame([(x,) for x in told], "n string").select(labels.normal_label(F.col("n"), {"Oligo": "Oligos"}).alias("n")).collect()
+    assert [r["n"] for r in names] == ["Oligos", "NN", None, "Immune Cell", "Neurons-Dopa-Gaba", "Neurons-Glut", "GABA", "Peri"]
 
 
 def test_normalised_mean(spark):
