@@ -81,7 +81,7 @@ def modularity(edges: DataFrame, state: DataFrame, resolution: float = 1.0) -> f
     return (r["i"] / r["t"] - resolution * r["q"] / r["t"] ** 2) if r["t"] else 0.0
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, turns: int = 8, levels: int = 6, seed: int = 1) -> tuple[DataFrame, list[float]]:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, turns: int = 6, levels: int = 6, seed: int = 1) -> tuple[DataFrame, list[float]]:
     """node, community (its least node) of nodes(node) and undirected edges(a, b, w), and the modularity after each level.
 
     Weights are whole numbers above zero (scale others), edges between the same two nodes add up. On each level nodes move

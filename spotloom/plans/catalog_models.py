@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotloom.operators import community, dea, knn, models, tiles
+from spotloom.operators import community, dea, knn, models, overlay, tiles
 from spotloom.plans.catalog import _PB, _also
 from spotloom.plans.catalog_more import _GRID, _grid
 from spotloom.plans.registry import Views, query
@@ -192,3 +192,51 @@ def enriched_terms(v: Views):
     sets = v.genes.select(F.col("gene_set").alias("term"), "gene")
     e = dea.enrichment_test(v.genes.where("rank < 7").select("gene"), v.genes.select("gene"), sets, min_pop=1, min_study=1)
     return dea.top_terms(e).select("term", "pop_n", "study_n", *[F.round(c, 9).alias(c) for c in ("p", "fdr")])
+
+
+# --- polygons ----------------------------------------------------------------------------------------------------------
+
+_OCTAGON = "((2 * r) * (2 * r) - 2 * (r - r // 2) * (r - r // 2))"
+
+
+@query(f"SELECT method, cell_id, round(max({_OCTAGON}), 4)::DOUBLE AS area, 1::BIGINT AS rings, 1.0::DOUBLE AS solidity FROM planes GROUP BY 1, 2", ("planes",))
+def united_boundaries(v: Views):
+    """All planes of a cell as one polygon: its area, its rings and its area by that of the hull."""
+    out = overlay.union_shape(v.boundaries, ["method", "cell_id"])
+    return out.select("method", "cell_id", F.round("area", 4).alias("area"), "rings", F.round("solidity", 6).alias("solidity"))
+
+
+@query("SELECT sample, label IN ('CTX', 'STR', 'fiber_tracts', 'Meninges') AS wide, round(sum((x1 - x0) * (y1 - y0)), 4)::DOUBLE AS area FROM regions GROUP BY 1, 2", ("regions",))
+def united_regions(v: Views):
+    """Regions of one kind as polygons without the sides that they share."""
+    ring = lambda a, b, c, d: F.array(a, b, c, d)
+    r = v.regions.select("sample", F.col("label").isin("CTX", "STR", "fiber_tracts", "Meninges").alias("wide"), ring("x0", "x1", "x1", "x0").alias("xs"), ring("y0", "y0", "y1", "y1").alias("ys"))
+    return overlay.united(r, ["sample", "wide"]).groupBy("sample", "wide").agg(F.round(F.sum("area"), 4).alias("area"))
+
+
+@query("SELECT method, cell_id, z, 2.0 * r * (r // 2) AS area, 2::BIGINT AS rings FROM planes WHERE r // 2 > 0", ("planes",))
+def crossed_rings(v: Views):
+    """Rings that cross themselves made valid: each bow tie of two sides of an octagon becomes two triangles."""
+    c = {k: F.col(k).cast("double") for k in ("cx", "cy", "r")}
+    h = F.floor(F.col("r") / 2).cast("double")
+    xs = F.array(c["cx"] - c["r"], c["cx"] + c["r"], c["cx"] + c["r"], c["cx"] - c["r"])
+    ys = F.array(c["cy"] - h, c["cy"] + h, c["cy"] - h, c["cy"] + h)
+    ties = v.planes.where("floor(r / 2) > 0").select("method", "cell_id", "z", xs.alias("xs"), ys.alias("ys"))
+    out = overlay.united(ties, ["method", "cell_id", "z"]).groupBy("method", "cell_id", "z")
+    return out.agg(F.round(F.sum("area"), 4).alias("area"), F.count("*").alias("rings"))
+
+
+_RADIUS = "sqrt(4.0 * (o.r * o.r + (o.r // 2) * (o.r // 2)) + b.dz * b.dz) / 2"
+
+
+@query(
+    f"""SELECT b.cell_id, f.factor::DOUBLE AS factor, b.n, coalesce(sum((p.d2 <= ({_RADIUS}) * ({_RADIUS}) * f.factor * f.factor)::INT), 0)::BIGINT AS pairs, round(2.0 * coalesce(sum((p.d2 <= ({_RADIUS}) * ({_RADIUS}) * f.factor * f.factor)::INT), 0) / (b.n * (b.n - 1)), 6) AS score
+    FROM (SELECT cell_id, count(*) AS n, max(z) - min(z) AS dz FROM transcripts GROUP BY 1 HAVING count(*) > 1) b JOIN octagons o ON o.cell_id = b.cell_id CROSS JOIN (SELECT unnest([0.25, 1.0, 20.0]) AS factor) f LEFT JOIN
+    (SELECT a.cell_id, (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z) AS d2 FROM (SELECT *, row_number() OVER () AS i FROM transcripts) a JOIN (SELECT *, row_number() OVER () AS i FROM transcripts) c ON a.cell_id = c.cell_id AND a.i < c.i) p
+    ON p.cell_id = b.cell_id GROUP BY b.cell_id, f.factor, b.n""",
+    ("transcripts", "octagons"),
+)
+def pair_scores_by_radius(v: Views):
+    """Pairs within shares of the radius of the least circle around a cell and its range of planes, all factors from one pass."""
+    out = overlay.pair_scores_by_radius(v.transcripts, v.boundaries.where("method = 'A2D'"), [0.25, 1.0, 20.0])
+    return out.withColumn("score", F.round("score", 6))
