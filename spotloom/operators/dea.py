@@ -272,6 +272,24 @@ def top_terms(enriched: DataFrame, n: int = 30) -> DataFrame:
     return out.orderBy("p", F.desc("fold"), "term").limit(n)
 
 
+def two_sample_tests(df: DataFrame, value: str, group: str, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, n_a, n_b, delta (difference of means), relative (by the mean of b), t, p of two groups with equal variances; t and p
+    are null with fewer than two values in either or none that differ."""
+    from spotloom.operators import models
+
+    @F.pandas_udf(DoubleType())
+    def tail(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x != x else models.f_tail(x * x, 1, k) for x, k in zip(t, n, strict=True)], dtype=float)
+
+    g = [F.when(F.col(group) == k, F.col(value)) for k in (a, b)]
+    s = df.groupBy(*by).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(g) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    free = F.col("n0") + F.col("n1") - 2
+    pooled = ((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / free
+    t = F.when((F.col("n0") > 1) & (F.col("n1") > 1) & (pooled > 0), (F.col("m0") - F.col("m1")) / F.sqrt(pooled * (1 / F.col("n0") + 1 / F.col("n1"))))
+    out = s.withColumn("t", t).select(*by, F.col("n0").alias("n_a"), F.col("n1").alias("n_b"), (F.col("m0") - F.col("m1")).alias("delta"), F.when(F.col("m1") != 0, (F.col("m0") - F.col("m1")) / F.col("m1")).alias("relative"), "t")
+    return out.withColumn("p", tail("t", (F.col("n_a") + F.col("n_b") - 2).cast("double")))
+
+
 def factor_chi2(counts: DataFrame, min_count: int = 20) -> DataFrame:
     """gene, factor, chi2, fold of counts(gene, factor, n): one gene and factor against all others."""
     g, f = F.sum("n").over(Window.partitionBy("gene")), F.sum("n").over(Window.partitionBy("factor"))

@@ -104,6 +104,28 @@ def grid_spacing(points: DataFrame, column: str) -> float:
     return gaps.agg(F.median("g").alias("m")).head()["m"]
 
 
+def label_grid(points: DataFrame, label: str = "label") -> DataFrame:
+    """row, col, label of points(x, y, label) on a lattice: row 0 at the greatest y, col 0 at the least x, steps of the median
+    gap of each axis. A ValueError where two points share a pixel; null coordinates take no part."""
+    used = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    dx, dy = (grid_spacing(used, c) or 1 for c in ("x", "y"))
+    box = used.agg(F.min("x").alias("x0"), F.max("y").alias("y1"))  # one row
+    at = lambda v, d: F.rint(v / d).cast("long")
+    out = used.crossJoin(F.broadcast(box)).select(at(F.col("y1") - F.col("y"), dy).alias("row"), at(F.col("x") - F.col("x0"), dx).alias("col"), F.col(label).alias("label"))
+    twice = out.groupBy("row", "col").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two points share the pixel of row {twice[0]['row']} and column {twice[0]['col']}")
+    return out
+
+
+def segment_table(parts: DataFrame, size: float, types: dict[int, str]) -> DataFrame:
+    """component, factor (label - 1), cell_type (null where a factor has none), pixels, area of components of a factor raster."""
+    pairs = [F.lit(v) for kv in types.items() for v in kv]
+    kind = F.try_element_at(F.create_map(*pairs), (F.col("label") - 1).cast("int")) if pairs else F.lit(None).cast("string")
+    g = parts.groupBy("component", "label").agg(F.count("*").alias("pixels"))
+    return g.select("component", (F.col("label") - 1).alias("factor"), kind.alias("cell_type"), "pixels", (F.col("pixels") * size * size).alias("area"))
+
+
 def label_edges(grid: DataFrame) -> DataFrame:
     """label, sides: pixel sides of each label whose neighbour has another label or none (the outline's length)."""
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotloom.operators import community, dea, knn, models, overlay, tiles
+from spotloom.functions import geometry
+from spotloom.operators import assign, community, dea, knn, models, overlay, raster, tiles
 from spotloom.plans.catalog import _PB, _also
-from spotloom.plans.catalog_more import _GRID, _grid
+from spotloom.plans.catalog_more import _GRID, _grid, _scratch
 from spotloom.plans.registry import Views, query
+from spotloom.sources import readers
 
 # --- neighbours and clusters -------------------------------------------------------------------------------------------
 
@@ -240,3 +242,73 @@ def pair_scores_by_radius(v: Views):
     """Pairs within shares of the radius of the least circle around a cell and its range of planes, all factors from one pass."""
     out = overlay.pair_scores_by_radius(v.transcripts, v.boundaries.where("method = 'A2D'"), [0.25, 1.0, 20.0])
     return out.withColumn("score", F.round("score", 6))
+
+
+# --- files -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT cell_id::VARCHAR AS cell, z AS layer, round({_OCTAGON}, 4)::DOUBLE AS area, r FROM planes WHERE method = 'B3D' AND cell_id % 3 > 0", ("planes",))
+def geojson_polygons(v: Views):
+    """Polygons written as feature collections, read back, and joined to the cells that are known."""
+    path = _scratch(v, "geojson")
+    corner = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.array(p["xs"], p["ys"]))
+    ring = F.concat(corner, F.slice(corner, 1, 1))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("cell_id").cast("string").alias("cell"), F.col("z").alias("layer")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    some = v.boundaries.where("method = 'B3D'").withColumn("part", F.floor(F.col("cell_id") / 100))
+    files = some.groupBy("part").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    cells = v.octagons.where("cell_id % 3 > 0").select(F.col("cell_id").cast("string").alias("cell"), "r").join(v.planes.where("method = 'B3D'").select(F.col("cell_id").cast("string").alias("cell"), "z", F.col("r").alias("pr")), "cell")
+    found = readers.polygons_of_cells(readers.geojson(v.spark, path).drop("part"), cells.drop("r").withColumnRenamed("pr", "r")).where("layer = z")
+    return found.select("cell", "layer", F.round(geometry.area(F.col("xs"), F.col("ys")), 4).alias("area"), "r")
+
+
+@query(
+    """SELECT c.cell_id, EXISTS (SELECT 1 FROM octagons p WHERE p.cell_id % 7 = 0 AND abs(c.x - p.cx) < p.r AND abs(c.y - p.cy) < p.r AND 2 * (abs(c.x - p.cx) + abs(c.y - p.cy)) < 3 * p.r) AS is_outlier FROM cells c WHERE sample = 's0'""",
+    ("cells", "octagons"),
+)
+def lasso_cells(v: Views):
+    """Lassos written in a frame of their own, read back, mapped by a matrix from a file, and the cells in them."""
+    drawn, matrix = _scratch(v, "lassos"), _scratch(v, "matrix")
+    some = v.boundaries.where("method = 'A2D' and cell_id % 7 = 0").select(F.concat(F.lit("s"), "cell_id").alias("Selection"), F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"))
+    rows = some.select("Selection", "i", ((F.col("p.xs") - 10) / 2).alias("X"), ((F.col("p.ys") - 10) / 2).alias("Y"))
+    rows.repartition("Selection").sortWithinPartitions("Selection", "i").drop("i").write.option("header", True).csv(drawn)
+    v.spark.createDataFrame([("2 0 10",), ("0 2 10",), ("0 0 1",)], "value string").coalesce(1).write.text(matrix)
+    lassos = readers.mapped_lassos(readers.lassos(v.spark, drawn, "s0"), readers.affine_matrix(v.spark, matrix))
+    return assign.outliers(v.cells.where("sample = 's0'"), lassos).select("cell_id", "is_outlier")
+
+
+@query("SELECT 'rank' AS method, condition || 'vsWT' AS test, 'all' AS first, 1 + count(DISTINCT cell_type) AS subsets FROM cells WHERE condition <> 'WT' GROUP BY 1, 2", ("cells",))
+def tests_layout(v: Views):
+    """Tests of each subset written by method and test, and which subset comes first in each file."""
+    path = _scratch(v, "tests")
+    de = [dea.rank_sum_by(v.expr, v.cells, c, "WT").withColumns({"method": F.lit("rank"), "test": F.lit(f"{c}vsWT")}) for c in ("KO", "AGED")]
+    readers.write_tests(de[0].unionByName(de[1]), path)
+    back = v.spark.read.parquet(path).withColumn("at", F.monotonically_increasing_id())
+    return back.groupBy("method", "test").agg(F.min_by("subset", "at").alias("first"), F.count_distinct("subset").alias("subsets"))
+
+
+@query(f"SELECT * FROM (WITH {_GRID} SELECT (SELECT max(row) FROM grid) - row AS row, col - (SELECT min(col) FROM grid) AS col, label FROM grid)", ("pixels",))
+def label_grid(v: Views):
+    g = _grid(v)
+    return raster.label_grid(g.select((F.col("col") * 100 + 50.0).alias("x"), (F.col("row") * 100 + 50.0).alias("y"), "label"))
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE {_REACHED} SELECT component, label - 1 AS factor, CASE label - 1 WHEN 0 THEN 'Neurons' WHEN 1 THEN 'ECs' END AS cell_type, count(*) AS pixels, count(*) * 10000.0::DOUBLE AS area FROM parts GROUP BY 1, 2)""",
+    ("pixels",),
+)
+def segment_table(v: Views):
+    parts = tiles.components(_grid(v))
+    c = F.col("component")
+    return raster.segment_table(parts.withColumn("component", tiles.pixel_row(c) * 100000 + tiles.pixel_col(c)), 100.0, {0: "Neurons", 1: "ECs"})
+
+
+@query(
+    """SELECT cell_type, n_a, n_b, round(ma - mb, 6) AS delta, round((ma - mb) / mb, 6) AS relative, round((ma - mb) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)), 6) AS t FROM (SELECT cell_type, count(*) FILTER (condition = 'KO') AS n_a, count(*) FILTER (condition = 'WT') AS n_b,
+    avg(volume_final) FILTER (condition = 'KO') AS ma, avg(volume_final) FILTER (condition = 'WT') AS mb, var_samp(volume_final) FILTER (condition = 'KO') AS va, var_samp(volume_final) FILTER (condition = 'WT') AS vb FROM cells GROUP BY 1)""",
+    ("cells",),
+)
+def volume_differences(v: Views):
+    """Volumes of two conditions' cells by type; p, a tail probability, is tested beside."""
+    d = dea.two_sample_tests(v.cells, "volume_final", "condition", "KO", "WT", ["cell_type"]).drop("p")
+    return d.withColumns({c: F.round(c, 6) for c in ("delta", "relative", "t")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotloom.functions import geometry
+
 
 def transcripts_csv(spark: SparkSession, path: str) -> DataFrame:
     """gene, x, y, z of a detected-transcripts CSV; only these columns are parsed."""
@@ -57,6 +59,23 @@ def affine_matrix(spark: SparkSession, path: str) -> list[list[float]]:
     return [[float(x) for x in r["value"].split()] for r in spark.read.text(path).limit(3).collect()]
 
 
+def mapped_lassos(found: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """lassos() in the frame that a 3x3 affine matrix (see affine_matrix) maps them to."""
+    xs, ys = geometry.affine(F.col("xs"), F.col("ys"), matrix)
+    return found.withColumns({"xs": xs, "ys": ys})
+
+
+def polygons_of_cells(polygons: DataFrame, cells: DataFrame, key: str = "cell") -> DataFrame:
+    """polygons (of geojson()) of the cells that a table has, with its columns."""
+    return polygons.join(cells, key, "inner")
+
+
+def write_tests(de: DataFrame, path: str, mode: str = "ignore") -> None:
+    """Results of tests partitioned by method and test, one file each, the subset 'all' first, then by subset and gene."""
+    ordered = de.withColumn("__rest", F.col("subset") != "all").repartition("method", "test").sortWithinPartitions("method", "test", "__rest", "subset", "gene").drop("__rest")
+    ordered.write.mode(mode).partitionBy("method", "test").parquet(path)
+
+
 def write_results(df: DataFrame, path: str, by: list[str], order: list[str], mode: str = "ignore") -> None:
     """Partitioned by `by`, rows sorted within; columns without any value are left out; what is there already stays."""
     seen = df.agg(*[F.count(c).alias(c) for c in df.columns]).head()

@@ -213,3 +213,25 @@ def test_hurdle_model(spark, tables):
     assert models.hurdle_model(expr, cells, "KO", "none").count() == 0
     rare = spark.createDataFrame([(c[0], "rare", 1) for c in here[:20]] + [(c[0], "often", 1) for c in here[:60]], "cell_id long, gene string, count long")
     assert [r["gene"] for r in models.hurdle_model(rare, cells, "KO", "WT").collect()] == ["often"]
+
+
+def test_two_samples(spark):
+    from spotloom.operators import dea
+
+    rows = [("x", "KO", 1.0), ("x", "KO", 2.0), ("x", "KO", 4.0), ("x", "WT", 5.0), ("x", "WT", 7.0), ("y", "KO", 1.0), ("y", "WT", 1.0), ("z", "KO", 3.0), ("z", "KO", 3.0), ("z", "WT", 3.0), ("z", "WT", 3.0), ("w", "KO", None)]
+    got = {r["k"]: r for r in dea.two_sample_tests(spark.createDataFrame(rows, "k string, c string, v double"), "v", "c", "KO", "WT", ["k"]).collect()}
+    t = (7 / 3 - 6) / math.sqrt((2 * np.var([1, 2, 4], ddof=1) + np.var([5, 7], ddof=1)) / 3 * (1 / 3 + 1 / 2))
+    assert abs(got["x"]["t"] - t) < 1e-12 and abs(got["x"]["delta"] - (7 / 3 - 6)) < 1e-12
+    # Three degrees of freedom have a closed form.
+    u = abs(t) / math.sqrt(3)
+    assert abs(got["x"]["p"] - (1 - 2 / math.pi * (u / (1 + u * u) + math.atan(u)))) < 1e-12
+    assert got["y"]["p"] is None and got["z"]["t"] is None and got["w"]["n_a"] == 0
+
+
+def test_label_grid(spark):
+    from spotloom.operators import raster
+
+    p = spark.createDataFrame([(0.0, 0.0, "a"), (25.0, 0.0, "b"), (50.2, 25.0, "c"), (None, 1.0, "d")], "x double, y double, label string")
+    assert {tuple(r) for r in raster.label_grid(p).collect()} == {(1, 0, "a"), (1, 1, "b"), (0, 2, "c")}
+    with pytest.raises(ValueError):
+        raster.label_grid(p.unionByName(p))
