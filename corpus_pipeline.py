@@ -29,7 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = save(found.select(F.col("doc_id").alias("__of"), F.col("v").alias("__ov")).distinct(), "pipeline-kept")
     same = (F.col("doc_id").cast("long") == F.col("__of")) & (F.xxhash64("text") == F.col("__ov"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = docs.join(kept.hint("merge"), same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("__o"))
+    least = F.struct(F.lit(0), *others)
+    if any("map<" in docs.schema[c].dataType.simpleString() or "variant" in docs.schema[c].dataType.simpleString() for c in others):
+        pick = F.min_by(least, F.to_json(least))  # maps have no order: that of their text stands in for it
+    else:
+        pick = F.min(least)
+    once = docs.join(kept.hint("merge"), same, "left_semi").groupBy("doc_id", "text").agg(pick.alias("__o"))
     once = once.select(*[c if c in ("doc_id", "text") else F.col(f"__o.{c}") for c in docs.columns])
     return once.unionByName(docs.where("doc_id is null"))
 
