@@ -115,3 +115,13 @@ def test_rows_without_a_key_of_their_own(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.where(F.col("n_tokens") < 1).count() == 0 and out.count() > 100
+
+
+def test_near_duplicates_with_nested_columns(spark):
+    """Maps have no order, arrays and structs do: one row of each text stays, however often it is repeated."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, {"a": 1}, [1], (2,)), (1, text, {"a": 0}, [1], (2,)), (2, text, None, None, None), (3, "other words here", {}, [], (1,)), (None, text, {"b": 2}, [3], (4,))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, v array<int>, s struct<k: int>")
+    got = sorted((r["doc_id"] or 0, str(r["m"])) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect())
+    assert got == [(0, "{'b': 2}"), (1, "{'a': 0}"), (3, "{}")]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).columns == docs.columns
