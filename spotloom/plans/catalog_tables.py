@@ -94,7 +94,7 @@ def mapping_levels(v: Views):
     # One document (and file) for each part of the cells, each with the whole taxonomy.
     named = lambda level, k: F.map_from_arrays(F.array(*[F.lit(f"T{i}") for i in range(k)]), F.array(*[F.struct(F.lit(f"{level} {i}").alias("name")) for i in range(k)]))
     tree = F.struct(F.struct(named("class", 4).alias("class"), named("subclass", 5).alias("subclass")).alias("name_mapper"))
-    docs = r.groupBy((F.col("cell_id") % 16).alias("part")).agg(F.collect_list(cell).alias("results"))
+    docs = r.groupBy(F.floor(F.col("cell_id") / 2000).alias("part")).agg(F.collect_list(cell).alias("results"))
     path = _scratch(v, "mapping")
     docs.select("part", F.to_json(F.struct(tree.alias("taxonomy_tree"), "results")).alias("value")).repartition("part").write.partitionBy("part").text(path)
     results, names = readers.mapping_json(v.spark, path, ["class", "subclass"])
