@@ -42,6 +42,11 @@ def sample_name(cohort: Column, slide: Column, region: Column) -> Column:
     return F.when(cohort.isNotNull() & slide.isNotNull() & region.isNotNull(), F.concat(cohort, F.lit("_s"), slide, F.lit("_r"), region))
 
 
+def condition_name(genotype: Column, age: Column) -> Column:
+    """{genotype}_{age}; the genotype alone where no age is there, null without genotype."""
+    return F.when(genotype.isNotNull(), F.concat_ws("_", genotype, age.cast("string")))
+
+
 def cohort_samples(meta: DataFrame, cohort: str, excluded: DataFrame, extra: DataFrame) -> DataFrame:
     """Samples of a cohort without the excluded ones, and fixed further ones."""
     return meta.where(F.col("cohort") == cohort).select("sample").join(excluded, "sample", "left_anti").unionByName(extra.select("sample")).distinct()

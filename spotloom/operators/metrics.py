@@ -35,6 +35,24 @@ def marker_scores(confusion: DataFrame, digits: int = 3) -> DataFrame:
     return confusion.select("cell_type", "gene", *[F.round(v, digits).alias(k) for k, v in out.items()])
 
 
+def pattern_scores(expr: DataFrame, cells: DataFrame, patterns: list[str], threshold: float = 0, digits: int = 3) -> DataFrame:
+    """pattern, cell_type, genes, tp, fp, fn, tn and their scores, pooled over all genes of the table that begin with a match of the
+    pattern: each pair of a cell and such a gene counts once. A pattern without genes has no row. Patterns are few.
+    """
+    known = expr.select("gene").distinct()
+    each = known.withColumn("pattern", F.explode(F.array(*map(F.lit, patterns)))).where(F.regexp_like("gene", F.concat(F.lit("^(?:"), "pattern", F.lit(")"))))
+    genes = each.groupBy("pattern").agg(F.count("*").alias("genes"))
+    sizes = cells.groupBy("cell_type").agg(F.count("*").alias("n_in"))
+    hits = expr.where(F.col("count") > threshold).join(each, "gene").join(cells.select("cell_id", "cell_type"), "cell_id").groupBy("pattern", "cell_type").agg(F.count("*").alias("tp"))
+    full = genes.crossJoin(F.broadcast(sizes)).join(hits, ["pattern", "cell_type"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))  # types by patterns: some hundreds
+    whole = Window.partitionBy("pattern")
+    pos, total = F.sum("tp").over(whole), F.sum("n_in").over(whole)
+    told = full.withColumns({"pos": pos, "total": total}).select("pattern", "cell_type", "genes", "tp", (F.col("pos") - F.col("tp")).alias("fp"), (F.col("n_in") * F.col("genes") - F.col("tp")).alias("fn"), ((F.col("total") - F.col("n_in")) * F.col("genes") - F.col("pos") + F.col("tp")).alias("tn"))
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    out = {"sensitivity": _ratio(tp, tp + fn), "specificity": _ratio(tn, tn + fp), "fpr": _ratio(fp, fp + tn), "ppv": _ratio(tp, tp + fp), "npv": _ratio(tn, tn + fn)}
+    return told.withColumns({k: F.round(v, digits) for k, v in out.items()})
+
+
 def cross_f1(expr: DataFrame, cells: DataFrame, markers: DataFrame, threshold: float = 0) -> DataFrame:
     """F1, precision and recall of every type and marker, and whether the marker is the type's own."""
     c = marker_confusion(expr, cells, markers, threshold)

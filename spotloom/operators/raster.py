@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,22 @@ def hex_bins(points: DataFrame, width: float, min_count: int) -> DataFrame:
     return binned.join(full, ["q", "r"], "left_semi")
 
 
+def hex_moves(points: DataFrame, width: float, min_count: int, moves: int = 2) -> DataFrame:
+    """i, j, q, r, gene, n of hex_bins() on `moves` by `moves` lattices, each moved on by width / moves along x (i) and y (j)."""
+    parts = []
+    for i in range(moves):
+        for j in range(moves):
+            moved = points.withColumns({"x": F.col("x") - i * width / moves, "y": F.col("y") - j * width / moves})
+            parts.append(hex_bins(moved, width, min_count).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "q", "r", "gene", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mini_batches(points: DataFrame, axis: str = "x", size: float = 500, buffer: float = 30) -> DataFrame:
+    """points with batch (strip along the axis) and inner: a point within `buffer` of a border is in the next strip too, where it is not inner."""
+    span = F.sequence(F.floor((F.col(axis) - buffer) / size), F.floor((F.col(axis) + buffer) / size))
+    return points.withColumn("batch", F.explode(span)).withColumn("inner", F.col("batch") == F.floor(F.col(axis) / size))
+
+
 def squares(points: DataFrame, width: float, overlap: float = 0) -> DataFrame:
     """Points with the square tiles (tx, ty) that they fall in; neighbouring tiles share a margin of `overlap`."""
     span = lambda c: F.sequence(F.floor((F.col(c) - overlap) / width), F.floor((F.col(c) + overlap) / width))

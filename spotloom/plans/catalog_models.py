@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import assign, community, dea, knn, models, overlay, raster, tiles
+from spotloom.operators import assign, community, dea, knn, labels, metrics, models, overlay, raster, tiles
 from spotloom.plans.catalog import _PB, _also
 from spotloom.plans.catalog_more import _GRID, _grid, _scratch
 from spotloom.plans.registry import Views, query
@@ -312,3 +312,50 @@ def volume_differences(v: Views):
     """Volumes of two conditions' cells by type; p, a tail probability, is tested beside."""
     d = dea.two_sample_tests(v.cells, "volume_final", "condition", "KO", "WT", ["cell_type"]).drop("p")
     return d.withColumns({c: F.round(c, 6) for c in ("delta", "relative", "t")})
+
+
+# --- patterns, hexagons, conditions ------------------------------------------------------------------------------------
+
+_PATTERNS = "(SELECT unnest(['g1', 'g[23]5', 'Blank-', 'none']) AS pattern)"
+
+
+@query(
+    f"""SELECT pattern, cell_type, genes, tp, pos - tp AS fp, n_in * genes - tp AS fn, (total - n_in) * genes - pos + tp AS tn, round(tp / (n_in * genes), 3) AS sensitivity, round(((total - n_in) * genes - pos + tp) / ((total - n_in) * genes), 3) AS specificity,
+    round((pos - tp) / ((total - n_in) * genes), 3) AS fpr, round(tp / nullif(pos, 0), 3) AS ppv, round(((total - n_in) * genes - pos + tp) / nullif(total * genes - pos, 0), 3) AS npv FROM
+    (SELECT k.pattern, t.cell_type, k.genes, t.n_in, coalesce(h.tp, 0) AS tp, sum(coalesce(h.tp, 0)) OVER (PARTITION BY k.pattern)::BIGINT AS pos, sum(t.n_in) OVER (PARTITION BY k.pattern)::BIGINT AS total FROM
+    (SELECT pattern, count(DISTINCT gene) AS genes FROM {_PATTERNS}, expr WHERE regexp_matches(gene, '^(?:' || pattern || ')') GROUP BY 1) k CROSS JOIN (SELECT cell_type, count(*) AS n_in FROM cells GROUP BY 1) t
+    LEFT JOIN (SELECT p.pattern, c.cell_type, count(*) AS tp FROM expr e JOIN {_PATTERNS} p ON regexp_matches(e.gene, '^(?:' || p.pattern || ')') JOIN cells c ON c.cell_id = e.cell_id WHERE e.count > 20 GROUP BY 1, 2) h ON h.pattern = k.pattern AND h.cell_type = t.cell_type)""",
+    ("expr", "cells"),
+)
+def pattern_specificity(v: Views):
+    """Scores of patterns of gene names as tests for each type."""
+    return metrics.pattern_scores(v.expr, v.cells, ["g1", "g[23]5", "Blank-", "none"], 20)
+
+
+@query(
+    """SELECT b.batch, count(*) AS n, count(*) FILTER (b.batch = floor(x / 500)::BIGINT) AS inner_points FROM (SELECT x, unnest(range(floor((x - 30) / 500)::BIGINT, floor((x + 30) / 500)::BIGINT + 1)) AS batch FROM transcripts) b GROUP BY 1""",
+    ("transcripts",),
+)
+def strip_batches(v: Views):
+    """Transcripts by strips along x with a margin on both sides."""
+    b = raster.mini_batches(v.transcripts, "x", 500, 30)
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.count_if("inner").alias("inner_points"))
+
+
+@query(
+    """WITH p AS (SELECT i, j, gene, x - i * 30.0 AS x, y - j * 30.0 AS y FROM transcripts, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)),
+    f AS (SELECT i, j, gene, (x * sqrt(3) / 3 - y / 3) / (60 / sqrt(3)) AS fq, y * 2 / 3 / (60 / sqrt(3)) AS fr FROM p),
+    g AS (SELECT i, j, gene, round(fq) AS q, round(fr) AS r, round(-fq - fr) AS s, abs(round(fq) - fq) AS dq, abs(round(fr) - fr) AS dr, abs(round(-fq - fr) + fq + fr) AS ds FROM f),
+    h AS (SELECT i, j, gene, (CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END)::BIGINT AS q, (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q - s ELSE r END)::BIGINT AS r FROM g),
+    k AS (SELECT i, j, q, r FROM h GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)
+    SELECT h.i::INT AS i, h.j::INT AS j, h.q, h.r, h.gene, count(*) AS n FROM h JOIN k ON k.i = h.i AND k.j = h.j AND k.q = h.q AND k.r = h.r GROUP BY 1, 2, 3, 4, 5""".join(("SELECT * FROM (", ")")),
+    ("transcripts",),
+)
+def hexagon_moves(v: Views):
+    """Hexagons on four lattices, each moved on by half a width."""
+    return raster.hex_moves(v.transcripts, 60.0, 5)
+
+
+@query("SELECT cell_id, condition || '_' || slide AS name FROM cells", ("cells",))
+def condition_names(v: Views):
+    return v.cells.select("cell_id", labels.condition_name(F.col("condition"), F.col("slide")).alias("name"))
