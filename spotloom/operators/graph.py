@@ -59,13 +59,16 @@ def relabel_islands(parts: DataFrame, least: int) -> DataFrame:
     return on.join(best, "component", "left").select("row", "col", F.coalesce("next", "label").alias("label"))
 
 
-def dissolved(regions: DataFrame, gap: float, min_area: float = 0.0) -> DataFrame:
+def dissolved(regions: DataFrame, gap: float, min_area: float = 0.0, tile: float = 500.0) -> DataFrame:
     """regions(sample, label, idx, xs, ys) with group: parts of one sample and label whose boxes lie within 2 * gap. Groups
-    whose parts have less than min_area together go."""
+    whose parts have less than min_area together go. Parts meet by the tiles that their boxes, wider by gap, touch."""
     r = regions.withColumns({"node": F.struct("sample", "label", "idx"), "x0": F.array_min("xs"), "x1": F.array_max("xs"), "y0": F.array_min("ys"), "y1": F.array_max("ys")})
-    a, b = r.alias("a"), r.alias("b")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - gap) / tile), F.floor((F.col(hi) + gap) / tile)))
+    dealt = r.select("sample", "label", "idx", "node", "x0", "x1", "y0", "y1").withColumn("tx", span("x0", "x1")).withColumn("ty", span("y0", "y1"))
+    a, b = dealt.alias("a"), dealt.alias("b")
     near = (F.col("a.x0") <= F.col("b.x1") + 2 * gap) & (F.col("b.x0") <= F.col("a.x1") + 2 * gap) & (F.col("a.y0") <= F.col("b.y1") + 2 * gap) & (F.col("b.y0") <= F.col("a.y1") + 2 * gap)
-    edges = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.label") == F.col("b.label")) & near & (F.col("a.idx") < F.col("b.idx"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    same = (F.col("a.sample") == F.col("b.sample")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))
+    edges = a.join(b, same & near & (F.col("a.idx") < F.col("b.idx"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     found = components(r.select("node"), edges).select("node", F.col("component.idx").alias("group"))
     out = r.join(found, "node").drop("node", "x0", "x1", "y0", "y1")
     if min_area <= 0:

@@ -73,7 +73,16 @@ def filled_holes(v: Views):
     return tiles.relabel_holes(_grid(v), 6)
 
 
-@query()
+_GROWN = f"""{_REACHED}, seeds AS (SELECT floor(y / 100)::BIGINT AS row, floor(x / 100)::BIGINT AS col, min(cell_id) AS seed FROM cells GROUP BY 1, 2),
+    walk(seed, row, col, component, steps) AS (SELECT s.seed, p.row, p.col, p.component, 0 FROM seeds s JOIN parts p ON p.row = s.row AND p.col = s.col
+        UNION SELECT w.seed, p.row, p.col, p.component, w.steps + 1 FROM walk w JOIN parts p ON p.component = w.component AND abs(p.row - w.row) + abs(p.col - w.col) = 1 WHERE w.steps < 40),
+    grown AS (SELECT p.row, p.col, p.label, p.component, n.seed FROM parts p LEFT JOIN (SELECT row, col, arg_min(seed, (steps, seed)) AS seed FROM walk GROUP BY 1, 2) n ON n.row = p.row AND n.col = p.col)"""
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE {_GROWN} SELECT min(row * 2147483648 + col + 1073741824)::BIGINT AS cell, seed, any_value(label) AS label, (seed IS NOT NULL)::INT AS n_nuclei, count(*) AS pixels, count(*) * 10000.0::DOUBLE AS area FROM grown GROUP BY component, seed)""",
+    ("pixels", "cells"),
+)
 def cells_of_nuclei(v: Views):
     """Segments of the label grid split by the cells' centres, with those that hold none."""
     return tiles.split_cells(_grid(v), v.cells.select(F.col("cell_id").alias("seed"), "x", "y"), 100.0)

@@ -403,7 +403,10 @@ def split_segments(v: Views):
     return tiles.split_by_seeds(parts, seeds)
 
 
-@query()
+@query(
+    """SELECT src, dst, rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10"""
+)
 def vector_neighbours(v: Views):
     """The ten nearest vectors of each cell in component space."""
     return embed.k_nearest_vectors(v.embeddings, 10)
