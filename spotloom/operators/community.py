@@ -9,8 +9,8 @@ from spotloom.operators.tables import keep
 
 
 def _moves(node: Column, turn: int, seed: int) -> Column:
-    """Half of all nodes, another one each turn."""
-    return F.pmod(F.xxhash64(node, F.lit(turn), F.lit(seed)), F.lit(2)) == 0
+    """Half of all nodes, one of four halvings in turn (so that turns share their generated code)."""
+    return F.pmod(F.xxhash64(node, F.lit(turn % 4), F.lit(seed)), F.lit(2)) == 0
 
 
 def _links(state: DataFrame, edges: DataFrame, group: str, movers: Column) -> DataFrame:
@@ -102,11 +102,11 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, tur
     for level in range(levels):
         idle = 0
         for turn in range(turns):
-            state = keep(_moved(state, graph, m2, resolution, turn + 100 * level, seed), "state")
+            state = keep(_moved(state, graph, m2, resolution, turn, seed), "state")
             idle = 0 if state.where("moved").limit(1).count() else idle + 1
             if idle == 2:
                 break
-        parts = _refined(state, graph, m2, resolution, seed + level)
+        parts = _refined(state, graph, m2, resolution, seed)
         names = parts.select(F.col("node").alias("at"), "sub", "comm")
         chain = keep(chain.join(names, "at", "left").select("node", F.coalesce("sub", "at").alias("at"), F.coalesce("comm", "at").alias("comm")), "chain")
         label = chain.select("node", "comm")
