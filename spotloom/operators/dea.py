@@ -142,7 +142,7 @@ def rank_sum_by(expr: DataFrame, cells: DataFrame, test: str, ref: str, subset:
     w = Window.partitionBy("subset", "gene").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = v.unionByName(zero).withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
     s = ranked.groupBy("subset", "gene").agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.col("a") * F.col("v")).alias("s1"), F.sum((F.col("n") - F.col("a")) * F.col("v")).alias("s2")).join(sizes, "subset")
-    n1, n2 = F.col("n1"), F.col("n2")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # the product of three sizes is beyond a long from millions of cells
     z = (F.col("r") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
     fold = F.log2((F.expm1(F.col("s1") / n1) + 1e-9) / (F.expm1(F.col("s2") / n2) + 1e-9))
     out = s.select("subset", "gene", F.round(z, 6).alias("u_z"), F.round(fold, 6).alias("log2fc")).withColumn("p", normal_two_sided("u_z"))
