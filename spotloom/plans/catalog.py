@@ -113,7 +113,7 @@ def spatial_outliers(v: Views):
 def nearest_factor(v: Views):
     t = v.transcripts.select("gene", "x", "y", "z").distinct()
     p = v.pixels.select(F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("k1").alias("factor")).distinct()
-    out = spatial.nearest_within(t, p, 5.0, ["gene", "x", "y", "z"], "factor", ["rx", "ry"], F.lit(21))
+    out = spatial.nearest_within(t, p, 5.0, "factor", ["rx", "ry"], F.lit(21))
     return out.groupBy("gene", "x", "y", "z", "factor").agg(F.count("*").alias("n"))
 
 
