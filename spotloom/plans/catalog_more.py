@@ -159,7 +159,9 @@ def without_overlap(v: Views):
     from spotloom.functions import geometry
 
     points = v.transcripts.select("x", "y", "z", "gene").distinct()
-    sized = v.boundaries.select("method", "cell_id", F.col("z").alias("plane"), "xs", "ys").withColumn("area", geometry.area(F.col("xs"), F.col("ys")))
+    # Of equal polygons only the one of the least cell_id keeps a transcript.
+    rings = v.boundaries.groupBy("method", F.col("z").alias("plane"), "xs", "ys").agg(F.min("cell_id").alias("cell_id"))
+    sized = rings.withColumn("area", geometry.area(F.col("xs"), F.col("ys")))
     pairs = spatial.points_in_polygons(points, sized).where("plane is null or plane = z")
     return shape.one_cell_each(pairs, ["method", "x", "y", "z", "gene"]).select("method", "x", "y", "z", "gene", "cell_id")
 
@@ -392,7 +394,7 @@ def dissolved_regions(v: Views):
 def distance_to_factor(v: Views):
     t = v.transcripts.where("gene = 'g10'").select("gene", "x", "y").distinct()
     p = v.pixels.where("k1 = 2").select(F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("px").alias("at")).distinct()
-    return spatial.nearest(t, p, ["gene", "x", "y"], "at", 100.0, 3000.0).select("gene", "x", "y", F.round("distance", 6).alias("distance"))
+    return spatial.nearest(t, p, "at", 100.0, 3000.0).select("gene", "x", "y", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -402,7 +404,7 @@ def distance_to_factor(v: Views):
 def nearest_seed(v: Views):
     t = v.transcripts.select("x", "y").distinct()
     seeds = v.octagons.select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("cell_id").alias("seed"))
-    out = spatial.nearest(t, seeds, ["x", "y"], "seed", 400.0, 3000.0)
+    out = spatial.nearest(t, seeds, "seed", 400.0, 3000.0)
     return out.select("x", "y", F.round(F.col("distance") * F.col("distance")).cast("long").alias("d"), "seed")
 
 
