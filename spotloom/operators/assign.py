@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators.spatial import points_in_polygons, points_near_polygons
+from spotloom.operators.spatial import alike, points_in_polygons, points_near_polygons
 from spotloom.operators.tables import keep
 
 
@@ -44,7 +44,8 @@ def _held(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: fl
     """
     parts = []
     for polygons, on in _sides(boundaries):
-        pairs = _near(transcripts, polygons.select("method", "z", "xs", "ys"), on, tile)
+        # Equal polygons of a method once: they hold the same transcripts, and two of them do not surround one on their edge.
+        pairs = _near(transcripts, polygons.select("method", "z", "xs", "ys").distinct(), on, tile)
         around = F.when(F.col("__place") == 2, geometry.angle_at(F.col("xs"), F.col("ys"), F.col("x"), F.col("y"))).otherwise(0.0)
         keys = ["__tx", "__ty", *on, *[c for c in by if c not in on], "__id", "method"]
         met = pairs.groupBy(*keys).agg(F.max((F.col("__place") == 1).cast("int")).alias("inside"), F.sum(around).alias("around"))
@@ -78,12 +79,15 @@ def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str], t
 
 def cell_by_gene(transcripts: DataFrame, boundaries: DataFrame, min_transcripts: int = 10, tile: float = 50.0) -> DataFrame:
     """method, cell_id, gene, count of transcripts in each cell; cells with fewer than min_transcripts are left out."""
-    points = transcripts.select("gene", "x", "y", "z")
-    each = [_near(points, polygons.select("method", "cell_id", "z", "xs", "ys"), on, tile).groupBy("method", "cell_id", "gene").agg(F.count_if(F.col("__place") == 1).alias("count")) for polygons, on in _sides(boundaries)]
-    # Counted, not filtered, so that the join's condition stays the box, in generated code, and a ring is tested once.
-    counts = keep(reduce(DataFrame.unionByName, each).where(F.col("count") > 0), "cell-by-gene")
-    enough = counts.groupBy("method", "cell_id").agg(F.sum("count").alias("n")).where(F.col("n") >= min_transcripts)
-    return counts.join(enough, ["method", "cell_id"], "left_semi")
+    points, parts = transcripts.select("gene", "x", "y", "z"), []
+    for polygons, on in _sides(boundaries):
+        shapes, members = alike(polygons.select("method", "cell_id", "z", "xs", "ys"), ["method", "cell_id"])
+        # Counted, not filtered, so that the join's condition stays the box, in generated code, and a ring is tested once.
+        counts = _near(points, shapes, on, tile).groupBy("__shape", "gene").agg(F.count_if(F.col("__place") == 1).alias("count"))
+        counts = keep(counts.where(F.col("count") > 0), "cell-by-gene")
+        enough = counts.groupBy("__shape").agg(F.sum("count").alias("n")).where(F.col("n") >= min_transcripts).select("__shape")
+        parts.append(members.join(counts.join(enough, "__shape", "left_semi"), "__shape").select("method", "cell_id", "gene", "count"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def points_to_regions(points: DataFrame, regions: DataFrame, key: str, tile: float = 200.0, include_boundary: bool = True) -> DataFrame:
@@ -95,5 +99,5 @@ def points_to_regions(points: DataFrame, regions: DataFrame, key: str, tile: flo
 
 def outliers(cells: DataFrame, lassos: DataFrame, key: str = "cell_id") -> DataFrame:
     """cells with is_outlier: inside any lasso polygon of their sample."""
-    hit = points_in_polygons(cells.select(key, "sample", "x", "y"), lassos.select("sample", "xs", "ys"), ["sample"], 200.0, how="left_semi").select(key).distinct()
+    hit = points_in_polygons(cells.select(key, "sample", "x", "y"), lassos.select("sample", "xs", "ys").distinct(), ["sample"], 200.0, how="left_semi").select(key).distinct()
     return cells.join(hit.withColumn("is_outlier", F.lit(True)), key, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
