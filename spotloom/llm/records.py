@@ -28,6 +28,7 @@ END_ID = 2
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8"), ("null", "u1")])
 _MANIFEST = "shard int, name string, rows long, tokens long, bytes long"
 _BLOCK = 64
+_CHUNK = 1 << 20  # bytes of text encoded at once; each takes about a hundred bytes in the arrays of a look-up
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ class Encoder:
 
     _kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -278,7 +279,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         name, at, rows, tokens = f"part-{number:05d}-{uuid.uuid4().hex}", 0, 0, 0
         rec = idx = None
         for batch in batches:
-            for part in textcols.chunks(batch):
+            for part in textcols.chunks(batch, size=_CHUNK):
                 if rec is None:
                     fs.create_dir(folder, recursive=True)
                     rec, idx = fs.open_output_stream(f"{folder}/{name}.rec"), fs.open_output_stream(f"{folder}/{name}.idx")
