@@ -48,7 +48,7 @@ def _held(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: fl
         pairs = _near(transcripts, polygons.select("method", "z", "xs", "ys").distinct(), on, tile)
         around = F.when(F.col("__place") == 2, geometry.angle_at(F.col("xs"), F.col("ys"), F.col("x"), F.col("y"))).otherwise(0.0)
         keys = ["__tx", "__ty", *on, *[c for c in by if c not in on], "__id", "method"]
-        met = pairs.groupBy(*keys).agg(F.max((F.col("__place") == 1).cast("int")).alias("inside"), F.sum(around).alias("around"))
+        met = pairs.where("__place > 0").groupBy(*keys).agg(F.max((F.col("__place") == 1).cast("int")).alias("inside"), F.sum(around).alias("around"))
         parts.append(met.where((F.col("inside") == 1) | (F.col("around") > 2 * math.pi - 1e-9)).select("__id", *by, "method"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -66,8 +66,9 @@ def assigned_transcripts(transcripts: DataFrame, boundaries: DataFrame, tile: fl
 
 def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: float = 50.0) -> DataFrame:
     """method, *by, n, assigned, pct: all transcripts, those assigned and their share, 0 where none is."""
-    total = transcripts.groupBy(*by).agg(F.count("*").alias("n"))
-    points = transcripts.select(*dict.fromkeys([*by, "x", "y", "z"])).withColumn("__id", F.monotonically_increasing_id())
+    # Written once: they are counted, and meet flat and layered methods.
+    points = keep(transcripts.select(*dict.fromkeys([*by, "x", "y", "z"])).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    total = points.groupBy(*by).agg(F.count("*").alias("n"))
     hit = _held(points, boundaries, by, tile).groupBy("method", *by).agg(F.count("*").alias("assigned"))
     every = total.withColumn("method", F.explode(_methods(boundaries)))
     same = every["method"] == hit["method"]
@@ -82,9 +83,7 @@ def cell_by_gene(transcripts: DataFrame, boundaries: DataFrame, min_transcripts:
     points, parts = transcripts.select("gene", "x", "y", "z"), []
     for polygons, on in _sides(boundaries):
         shapes, members = alike(polygons.select("method", "cell_id", "z", "xs", "ys"), ["method", "cell_id"])
-        # Counted, not filtered, so that the join's condition stays the box, in generated code, and a ring is tested once.
-        counts = _near(points, shapes, on, tile).groupBy("__shape", "gene").agg(F.count_if(F.col("__place") == 1).alias("count"))
-        counts = keep(counts.where(F.col("count") > 0), "cell-by-gene")
+        counts = keep(_near(points, shapes, on, tile).where("__place = 1").groupBy("__shape", "gene").agg(F.count("*").alias("count")), "cell-by-gene")
         enough = counts.groupBy("__shape").agg(F.sum("count").alias("n")).where(F.col("n") >= min_transcripts).select("__shape")
         parts.append(members.join(counts.join(enough, "__shape", "left_semi"), "__shape").select("method", "cell_id", "gene", "count"))
     return reduce(DataFrame.unionByName, parts)
