@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import spatial
+from spotloom.operators import raster, spatial
 
 
 def _plan(df):
@@ -39,3 +39,11 @@ def test_rings_are_not_walked_edge_by_edge_in_the_join(spark):
     assert "aggregate(" not in _plan(inside) and _plan(inside).count("places(") == _plan(covered).count("places(")
     assert inside.columns == ["k", "x", "y", "p"]
     assert sorted(r["k"] for r in inside.collect()) == [1] and sorted(r["k"] for r in covered.collect()) == [1, 2]
+
+
+def test_means_halfway_between_two_results(spark):
+    # Their mean is 0.7049625; summed as doubles, in any order, it is 0.7049624999999999.
+    values = [0.5369, 0.91965, 0.8521, 0.5112]
+    means = spark.createDataFrame([(i, 0, m) for i, m in enumerate(values)] + [(9, 0, None)], "cell_id long, channel int, mean double")
+    cells = spark.createDataFrame([(i, "s") for i in range(10)], "cell_id long, sample string")
+    assert [tuple(r) for r in raster.mean_of_cells(means, cells, ["sample"]).collect()] == [("s", 0, 0.704963)]
