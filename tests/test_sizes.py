@@ -47,3 +47,15 @@ def test_means_halfway_between_two_results(spark):
     means = spark.createDataFrame([(i, 0, m) for i, m in enumerate(values)] + [(9, 0, None)], "cell_id long, channel int, mean double")
     cells = spark.createDataFrame([(i, "s") for i in range(10)], "cell_id long, sample string")
     assert [tuple(r) for r in raster.mean_of_cells(means, cells, ["sample"]).collect()] == [("s", 0, 0.704963)]
+
+
+def test_moved_hexagons_read_their_points_once(spark):
+    points = spark.createDataFrame([(x * 7 % 50, x * 11 % 40, f"g{x % 3}") for x in range(400)], "x long, y long, gene string")
+    got = raster.hex_moves(points, 9.0, 3, 3)
+    assert _plan(got).count("ExistingRDD") == 0  # they stand in a table by now
+    want = set()
+    for i in range(3):
+        for j in range(3):
+            moved = points.withColumns({"x": F.col("x") - i * 9.0 / 3, "y": F.col("y") - j * 9.0 / 3})
+            want |= {(i, j, *r) for r in raster.hex_bins(moved, 9.0, 3).select("q", "r", "gene", "n").collect()}
+    assert {tuple(r) for r in got.collect()} == want
