@@ -71,10 +71,11 @@ def crop(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame
 
 
 def quantised(pixels: DataFrame, x0: float, y0: float, block: int = 2000) -> DataFrame:
-    """BLOCK, X, Y in hundredths from an origin, blocks of 2000, sorted within partitions by block and Y."""
+    """BLOCK, X, Y in hundredths from an origin, blocks of 2000, sorted within partitions by block and Y. Ranges go on
+    over Y and X, as most points may lie in one block."""
     x, y = F.bround("x", 1), F.bround("y", 1)
     out = pixels.withColumns({"BLOCK": (((x - x0) / block).cast("int") * block), "X": F.greatest(((x - x0) * 100).cast("int"), F.lit(0)), "Y": F.greatest(((y - y0) * 100).cast("int"), F.lit(0))})
-    return out.repartitionByRange("BLOCK").sortWithinPartitions("BLOCK", "Y")
+    return out.repartitionByRange("BLOCK", "Y", "X").sortWithinPartitions("BLOCK", "Y")
 
 
 def add_runner_pairs(methods: DataFrame) -> DataFrame:

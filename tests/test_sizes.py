@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import raster, spatial
+from spotloom.operators import labels, raster, spatial
 
 
 def _plan(df):
@@ -59,3 +59,14 @@ def test_moved_hexagons_read_their_points_once(spark):
             moved = points.withColumns({"x": F.col("x") - i * 9.0 / 3, "y": F.col("y") - j * 9.0 / 3})
             want |= {(i, j, *r) for r in raster.hex_bins(moved, 9.0, 3).select("q", "r", "gene", "n").collect()}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_one_block_of_pixels_is_no_single_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pixels = spark.range(4000).selectExpr("id % 90 * 1.0 AS x", "id % 70 * 1.0 AS y")
+        out = labels.quantised(pixels, 0, 0).withColumn("part", F.spark_partition_id())
+        assert out.groupBy("part").count().agg(F.max("count")).head()[0] < 2000
+        assert out.select("BLOCK").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
