@@ -69,12 +69,15 @@ def _area(p: np.ndarray) -> float:
 
 
 def hull_shape(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, solidity (area by hull area), elongation (of the standardised hull points), box_elongation (least rectangle)."""
+    """keys, solidity (area by hull area), elongation (of the standardised hull points), box_elongation (least rectangle).
+
+    Equal outlines are measured once, dealt by outline so that the hulls do not wait for the files of the input.
+    """
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for xs, ys in zip(f["xs"], f["ys"], strict=True):
+            for xs, ys in zip(f["__xs"], f["__ys"], strict=True):
                 p = np.column_stack([xs, ys]).astype(float)
                 h = hull(p)
                 a = _area(h)
@@ -88,10 +91,13 @@ def hull_shape(polygons: DataFrame, keys: list[str]) -> DataFrame:
                         w, t = np.ptp(turned, axis=0)
                         best = min(best, (float(w * t), 1 - min(w, t) / max(w, t) if max(w, t) else 0.0))
                 rows.append((_area(p) / a if a else None, 1 - math.sqrt((1 - r) / (1 + r)), best[1]))
-            yield pd.concat([f[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["solidity", "elongation", "box_elongation"])], axis=1)
+            yield pd.concat([f[["__xs", "__ys"]].reset_index(drop=True), pd.DataFrame(rows, columns=["solidity", "elongation", "box_elongation"])], axis=1)
 
-    schema = ", ".join(f"{k} {polygons.schema[k].dataType.simpleString()}" for k in keys) + ", solidity double, elongation double, box_elongation double"
-    return polygons.select(*keys, "xs", "ys").mapInPandas(kernel, schema)
+    ring = [polygons.schema[c].dataType.simpleString() for c in ("xs", "ys")]
+    outlines = polygons.select(F.col("xs").alias("__xs"), F.col("ys").alias("__ys")).distinct()
+    measured = outlines.mapInPandas(kernel, f"__xs {ring[0]}, __ys {ring[1]}, solidity double, elongation double, box_elongation double")
+    same = F.col("xs").eqNullSafe(F.col("__xs")) & F.col("ys").eqNullSafe(F.col("__ys"))
+    return polygons.select(*keys, "xs", "ys").join(measured, same).select(*keys, "solidity", "elongation", "box_elongation")
 
 
 def one_cell_each(pairs: DataFrame, key: list[str], area: str = "area") -> DataFrame:

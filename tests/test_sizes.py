@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import labels, raster, spatial
+from spotloom.operators import labels, raster, shape, spatial
 
 
 def _plan(df):
@@ -70,3 +70,11 @@ def test_one_block_of_pixels_is_no_single_task(spark):
         assert out.select("BLOCK").distinct().count() == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_equal_outlines_have_one_hull(spark):
+    rows = [(i, [0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 1.0, 1.0]) for i in range(50)] + [(90, [0.0, 4.0, 4.0, 2.0, 0.0], [0.0, 0.0, 4.0, 2.0, 4.0])]
+    got = shape.hull_shape(spark.createDataFrame(rows, "cell_id long, xs array<double>, ys array<double>").coalesce(1), ["cell_id"])
+    plan = _plan(got)
+    assert "Aggregate" in plan[plan.index("MapInPandas") :]
+    assert {r["cell_id"]: r["solidity"] for r in got.collect()} == {i: 1.0 for i in range(50)} | {90: 0.75}
