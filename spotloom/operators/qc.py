@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.operators.tables import keep
+
 
 def cell_totals(cells: DataFrame, expr: DataFrame) -> DataFrame:
     """cells with n_counts and n_genes; cells without any count have 0."""
@@ -38,7 +40,11 @@ def outlier_percentage(cells: DataFrame, by: str, min_counts: int = 25, min_gene
 
 
 def keep_genes(expr: DataFrame, min_cells: int = 10) -> DataFrame:
-    """Rows of genes detected in at least min_cells cells."""
+    """Rows of genes detected in at least min_cells cells.
+
+    expr is written once, so that a task holds the groups of a table still to be computed or those of its cells, not both.
+    """
+    expr = keep(expr, "expr")
     enough = expr.where("count > 0").groupBy("gene").agg(F.count_distinct("cell_id").alias("n")).where(F.col("n") >= min_cells)
     return expr.join(enough, "gene", "left_semi")
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import labels, raster, shape, spatial
+from spotloom.operators import labels, qc, raster, shape, spatial
 
 
 def _plan(df):
@@ -78,3 +78,11 @@ def test_equal_outlines_have_one_hull(spark):
     plan = _plan(got)
     assert "Aggregate" in plan[plan.index("MapInPandas") :]
     assert {r["cell_id"]: r["solidity"] for r in got.collect()} == {i: 1.0 for i in range(50)} | {90: 0.75}
+
+
+def test_gene_filter_computes_its_table_once(spark):
+    rows = spark.createDataFrame([(i, f"g{i % 3}", i % 2) for i in range(30)] + [(0, "x", 5)] * 9, "cell_id long, gene string, count long")
+    expr = rows.groupBy("cell_id", "gene").agg(F.sum("count").alias("count"))
+    got = qc.keep_genes(expr, 5)
+    assert _plan(got).count("ExistingRDD") == 0
+    assert {r["gene"] for r in got.collect()} == {"g0", "g1", "g2"} and got.count() == 30
