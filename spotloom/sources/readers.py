@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType, StringType
 
 from spotloom.functions import geometry
 
@@ -77,10 +78,14 @@ def write_tests(de: DataFrame, path: str, mode: str = "ignore") -> None:
 
 
 def write_results(df: DataFrame, path: str, by: list[str], order: list[str], mode: str = "ignore") -> None:
-    """Partitioned by `by`, rows sorted within; columns without any value are left out; what is there already stays."""
+    """Partitioned by `by`, rows sorted within; columns without any value are left out; what is there already stays.
+
+    Rows are dealt by ranges that go on over `order` and the other plain columns, so that a large value of `by` is no single task.
+    """
     seen = df.agg(*[F.count(c).alias(c) for c in df.columns]).head()
     keep = [c for c in df.columns if seen[c] or c in by]
-    df.select(*keep).repartition(*by).sortWithinPartitions(*by, *order).write.mode(mode).partitionBy(*by).parquet(path)
+    plain = [c for c in keep if c not in (*by, *order) and isinstance(df.schema[c].dataType, (BooleanType, DatetimeType, NumericType, StringType))]
+    df.select(*keep).repartitionByRange(*by, *order, *plain).sortWithinPartitions(*by, *order).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def export_molecules(df: DataFrame, path: str, precision: int = 2) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
 from spotloom.operators import labels, qc, raster, shape, spatial
+from spotloom.sources import readers
 
 
 def _plan(df):
@@ -86,3 +87,15 @@ def test_gene_filter_computes_its_table_once(spark):
     got = qc.keep_genes(expr, 5)
     assert _plan(got).count("ExistingRDD") == 0
     assert {r["gene"] for r in got.collect()} == {"g0", "g1", "g2"} and got.count() == 30
+
+
+def test_one_value_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(6000).selectExpr("'a' AS sample", "concat('g', id % 2) AS gene", "id * 7919 % 6000 AS x")
+        readers.write_results(df, f"{tmp_path}/out", ["sample"], ["gene"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = sorted(tmp_path.glob("out/sample=a/*.parquet"))
+    parts = [[r["gene"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) > 2 and sum(map(len, parts)) == 6000 and all(p == sorted(p) for p in parts)
