@@ -66,6 +66,11 @@ def pca(expr: DataFrame, n_cells: int, k: int, value: str = "count", cells: Data
     return scores, (w[::-1][:k] / w.sum()).tolist()
 
 
+def _rows_at_once(numbers: int) -> int:
+    """Rows whose differences from vectors of as many numbers take 16 MB, one at least."""
+    return max(1, (1 << 21) // max(1, numbers))
+
+
 def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """cells, silhouette: mean over n rows, the first by a digest of their key, by exact distances among them.
 
@@ -83,8 +88,9 @@ def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", la
         belongs = np.zeros((len(x), len(names)))
         belongs[np.arange(len(x)), group] = 1
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            step = _rows_at_once(x.size)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 v = part["v"].flatten().to_numpy().reshape(part.num_rows, -1)
                 own = np.searchsorted(names, part["l"].to_numpy(zero_copy_only=False))
                 sums = np.sqrt(np.maximum(((v[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) @ belongs
@@ -96,7 +102,6 @@ def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", la
                 s = np.where(alone, 0.0, (b - a) / np.where(alone, 1.0, np.maximum(a, b)))
                 yield pa.RecordBatch.from_pydict({"s": pa.array(s)})
 
-    # In pieces small enough for the distances of 256 rows.
     return sample.repartition(64, "k").mapInArrow(each, "s double").agg(F.count("*").alias("cells"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 

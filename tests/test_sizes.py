@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import labels, qc, raster, shape, spatial
+from spotloom.operators import embed, labels, qc, raster, shape, spatial
 from spotloom.sources import readers
 
 
@@ -99,3 +99,7 @@ def test_one_value_is_written_by_several_tasks(spark, tmp_path):
     files = sorted(tmp_path.glob("out/sample=a/*.parquet"))
     parts = [[r["gene"] for r in spark.read.parquet(str(f)).collect()] for f in files]
     assert len(files) > 2 and sum(map(len, parts)) == 6000 and all(p == sorted(p) for p in parts)
+
+
+def test_differences_of_a_sample_take_bounded_memory():
+    assert embed._rows_at_once(10_000 * 64) * 10_000 * 64 <= 1 << 21 and embed._rows_at_once(1 << 30) == 1 and embed._rows_at_once(0) > 1
