@@ -105,14 +105,48 @@ def silhouette(vectors: DataFrame, n: int = 10_000, value: str = "embedding", la
     return sample.repartition(64, "k").mapInArrow(each, "s double").agg(F.count("*").alias("cells"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 
-def k_nearest_vectors(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", block: int = 4096) -> DataFrame:
+def _k_nearest(x: np.ndarray, kx: np.ndarray, y: np.ndarray, ky: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """src, dst, d2: the k nearest of y to each of x, ties by key, no vector of its own key and none at no finite distance.
+
+    Products of matrices tell which can be among them; the distances of those are computed again from the differences.
+    """
+    out = [(kx[:0], ky[:0], np.zeros(0))]
+    step = max(1, (1 << 21) // max(1, len(y)))
+    qx, qy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rough = bool(np.isfinite(qx).all() and np.isfinite(qy).all())
+    piece = max(1, (1 << 21) // max(1, x.shape[1]))
+    for s in range(0, len(x) if len(y) else 0, step):
+        part, keys = x[s : s + step], kx[s : s + step]
+        other = keys[:, None] != ky[None, :]
+        if rough:
+            d = qx[s : s + step, None] + qy[None, :] - 2 * (part @ y.T)
+            d[~other] = np.inf
+            slack = 2e-9 * (qx[s : s + step] + qy.max())
+            farthest = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
+            i, j = np.nonzero((d <= farthest[:, None]) & other)
+        else:
+            i, j = np.nonzero(other)
+        exact = np.concatenate([((part[i[t : t + piece]] - y[j[t : t + piece]]) ** 2).sum(axis=1) for t in range(0, len(i), piece)] or [np.zeros(0)])
+        yes = np.isfinite(exact)
+        i, j, exact = i[yes], j[yes], exact[yes]
+        order = np.lexsort((ky[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        n = np.bincount(i, minlength=len(part))
+        first = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) < k
+        out.append((keys[i[first]], ky[j[first]], exact[first]))
+    src, dst, d2 = map(np.concatenate, zip(*out, strict=True))
+    return src, dst, d2
+
+
+def k_nearest_vectors(vectors: DataFrame, k: int, value: str = "embedding", key: str = "vec_id", block: int = 16384) -> DataFrame:
     """src, dst, rank: the k nearest other vectors of each (Euclidean, ties by key), exactly.
 
     Blocks of vectors meet in pairs of blocks, each pair in a task of its own, and keep k candidates for each row; work and
     rows dealt grow with the square, and with the square by `block`, of the number of vectors: for samples of cells, not for whole cohorts.
     """
     rows = keep(vectors.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("array<double>").alias("v")), "knn")
-    n = max(1, -(-rows.count() // block))
+    count = rows.count()
+    n = max(1, -(-count // block), min(6, -(-count // 1024)))  # some pairs of blocks for smaller tables as well
     at = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
     left = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("own", "other", "k", "v", F.lit(False).alias("right"))
     right = at.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("first").alias("own"), F.col("own").alias("other"), "k", "v", F.lit(True).alias("right"))
@@ -120,20 +154,7 @@ def k_nearest_vectors(vectors: DataFrame, k: int, value: str = "embedding", key:
     def nearest(table: pa.Table) -> pa.Table:
         keys, side = table["k"].to_numpy(), table["right"].to_numpy(zero_copy_only=False)
         x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
-        order = np.flatnonzero(side)[np.argsort(keys[side], kind="stable")]
-        y, ky = x[order], keys[order]
-        out = []
-        mine = np.flatnonzero(~side)
-        for s in range(0, len(mine), 64):
-            rows_of = mine[s : s + 64]
-            d = ((x[rows_of][:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-            d[keys[rows_of][:, None] == ky[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, axis=1)
-            ok = np.isfinite(near)
-            out.append((np.repeat(keys[rows_of], ok.sum(axis=1)), ky[best][ok], near[ok]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"src": cols[0], "dst": cols[1], "d2": cols[2]})
+        return pa.table(dict(zip(("src", "dst", "d2"), _k_nearest(x[~side], keys[~side], x[side], keys[side], k), strict=True)))
 
     met = left.unionByName(right).groupBy("own", "other").applyInArrow(nearest, "src long, dst long, d2 double")
     w = Window.partitionBy("src").orderBy("d2", "dst")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
@@ -103,3 +104,21 @@ def test_one_value_is_written_by_several_tasks(spark, tmp_path):
 
 def test_differences_of_a_sample_take_bounded_memory():
     assert embed._rows_at_once(10_000 * 64) * 10_000 * 64 <= 1 << 21 and embed._rows_at_once(1 << 30) == 1 and embed._rows_at_once(0) > 1
+
+
+def test_nearest_vectors_by_products_are_exact():
+    rng = np.random.default_rng(3)
+    y = np.vstack([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 60, axis=0), 1e6 + 1e-3 * rng.normal(size=(40, 8))])
+    for more in ([], [[np.nan] * 8, [np.inf] * 8, [1e200] * 8, [1e200] * 8]):
+        x = np.vstack([y, more]) if more else y
+        keys = np.arange(len(x))[::-1] * 3
+        src, dst, d2 = embed._k_nearest(x, keys, x, keys, 5)
+        got = {}
+        for a, b, d in zip(src.tolist(), dst.tolist(), d2.tolist(), strict=True):
+            got.setdefault(a, []).append((d, b))
+        with np.errstate(all="ignore"):
+            for v, k in zip(x, keys.tolist(), strict=True):
+                far = ((v - x) ** 2).sum(axis=1)
+                want = sorted((d, b) for d, b in zip(far.tolist(), keys.tolist(), strict=True) if b != k and np.isfinite(d))[:5]
+                assert got.get(k, []) == want
+    assert len(embed._k_nearest(y[:0], keys[:0], y, keys[: len(y)], 5)[0]) == 0 == len(embed._k_nearest(y, keys[: len(y)], y[:0], keys[:0], 5)[0])
