@@ -47,7 +47,7 @@ def _held(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: fl
         # Equal polygons of a method once: they hold the same transcripts, and two of them do not surround one on their edge.
         pairs = _near(transcripts, polygons.select("method", "z", "xs", "ys").distinct(), on, tile)
         around = F.when(F.col("__place") == 2, geometry.angle_at(F.col("xs"), F.col("ys"), F.col("x"), F.col("y"))).otherwise(0.0)
-        keys = ["__tx", "__ty", *on, *[c for c in by if c not in on], "__id", "method"]
+        keys = ["__tile", *on, *[c for c in by if c not in on], "__id", "method"]
         met = pairs.where("__place > 0").groupBy(*keys).agg(F.max((F.col("__place") == 1).cast("int")).alias("inside"), F.sum(around).alias("around"))
         parts.append(met.where((F.col("inside") == 1) | (F.col("around") > 2 * math.pi - 1e-9)).select("__id", *by, "method"))
     return reduce(DataFrame.unionByName, parts)
@@ -66,10 +66,11 @@ def assigned_transcripts(transcripts: DataFrame, boundaries: DataFrame, tile: fl
 
 def pct_assigned(transcripts: DataFrame, boundaries: DataFrame, by: list[str], tile: float = 50.0) -> DataFrame:
     """method, *by, n, assigned, pct: all transcripts, those assigned and their share, 0 where none is."""
-    # Written once: they are counted, and meet flat and layered methods.
-    points = keep(transcripts.select(*dict.fromkeys([*by, "x", "y", "z"])).withColumn("__id", F.monotonically_increasing_id()), "numbered")
-    total = points.groupBy(*by).agg(F.count("*").alias("n"))
-    hit = _held(points, boundaries, by, tile).groupBy("method", *by).agg(F.count("*").alias("assigned"))
+    # Those of one place and group once. Written once: they are counted, and meet flat and layered methods.
+    places = transcripts.groupBy(*dict.fromkeys([*by, "x", "y", "z"])).agg(F.count("*").alias("__n"))
+    points = keep(places.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    total = points.groupBy(*by).agg(F.sum("__n").alias("n"))
+    hit = _held(points, boundaries, [*by, "__n"], tile).groupBy("method", *by).agg(F.sum("__n").alias("assigned"))
     every = total.withColumn("method", F.explode(_methods(boundaries)))
     same = every["method"] == hit["method"]
     for c in by:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import embed, labels, qc, raster, shape, spatial
+from spotloom.operators import assign, embed, labels, qc, raster, shape, spatial
 from spotloom.sources import readers
 
 
@@ -43,6 +43,26 @@ def test_rings_are_not_walked_edge_by_edge_in_the_join(spark):
     assert sorted(r["k"] for r in inside.collect()) == [1] and sorted(r["k"] for r in covered.collect()) == [1, 2]
 
 
+def test_a_tile_is_one_number_to_sort_by(spark):
+    points = spark.createDataFrame([(-3.0, -3.0), (3.0, -3.0), (-3.0, 3.0), (3.0, 3.0), (None, 3.0)], "x double, y double")
+    ring = spark.createDataFrame([(x, [10.0 * x, 10.0 * x, 0.0, 0.0], [0.0, 10.0 * y, 10.0 * y, 0.0], y) for x in (-1, 1) for y in (-1, 1)], "p int, xs array<double>, ys array<double>, q int")
+    inside = spatial.points_in_polygons(points, ring, tile=2.0)
+    plan = _plan(inside)
+    sorts = [line for line in plan.splitlines() if " Sort [" in line]
+    assert len(sorts) == 2 and all(line.count(" ASC ") == 1 for line in sorts)
+    assert sorted(inside.collect()) == sorted((x * 3.0, y * 3.0, x, y) for x in (-1, 1) for y in (-1, 1))
+
+
+def test_transcripts_of_one_place_meet_outlines_once(spark, monkeypatch):
+    t = spark.createDataFrame([("a", 5.0, 5.0, 0)] * 50 + [("b", 5.0, 5.0, 0), ("a", 20.0, 5.0, 0), (None, 5.0, 5.0, 0), ("b", None, 5.0, 0)] * 3, "gene string, x double, y double, z int")
+    ring = spark.createDataFrame([("F", None, [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0])], "method string, z int, xs array<double>, ys array<double>")
+    met, near = [], assign._near
+    monkeypatch.setattr(assign, "_near", lambda *a: met.append(near(*a)) or met[-1])
+    got = {(r["gene"], r["n"], r["assigned"], r["pct"]) for r in assign.pct_assigned(t, ring, ["gene"]).collect()}
+    assert got == {("a", 53, 50, round(5000 / 53, 6)), ("b", 6, 3, 50.0), (None, 3, 3, 100.0)}
+    assert met[0].count() == 3
+
+
 def test_means_halfway_between_two_results(spark):
     # Their mean is 0.7049625; summed as doubles, in any order, it is 0.7049624999999999.
     values = [0.5369, 0.91965, 0.8521, 0.5112]
