@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spotloom.operators.tables import keep
@@ -20,28 +20,39 @@ def _links(state: DataFrame, edges: DataFrame, group: str, movers: Column) -> Da
     return told.join(at, "b").groupBy("a", "to").agg(F.sum("w").alias("link"))
 
 
+def _met(state: DataFrame, edges: DataFrame, movers: Column) -> DataFrame:
+    """state with its community's own_tot and own_members, once for each community that a mover is linked to (to, tot, members,
+    and link, the weight of its edges there), once with nulls where there is none.
+
+    Communities' sums go along with the labels that edges look up, so that each edge is dealt twice: by its far end and by its mover.
+    """
+    size = state.groupBy("comm").agg(F.sum("k").alias("own_tot"), F.count("*").alias("own_members"))
+    known = state.join(size, "comm")
+    far = known.select(F.col("node").alias("b"), F.col("comm").alias("to"), F.col("own_tot").alias("tot"), F.col("own_members").alias("members"))
+    told = edges.where(movers & (F.col("a") != F.col("b"))).join(far, "b").select(F.col("a").alias("node"), "to", "tot", "members", "w").repartition("node")
+    link = told.groupBy("node", "to").agg(F.sum("w").alias("link"), F.first("tot").alias("tot"), F.first("members").alias("members"))
+    return known.join(link, "node", "left")
+
+
 def _moved(state: DataFrame, edges: DataFrame, m2: int, resolution: float, turn: int, seed: int) -> DataFrame:
     """state after one turn: each node of one half goes to the community around it that gains most, the least among equals.
 
     Gains are exact sums of whole numbers, so that reruns agree. A node alone goes to another node alone only where that
     has the lesser label, so that two never change places.
     """
-    half = _moves(F.col("node"), turn, seed)
-    size = state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
-    link = _links(state, edges, "comm", _moves(F.col("a"), turn, seed))
-    mine = state.where(half).join(size, "comm").select(F.col("node").alias("a"), "k", F.col("comm").alias("own"), F.col("tot").alias("own_tot"), F.col("members").alias("own_members"))
-    met = link.join(mine, "a").join(size.withColumnRenamed("comm", "to"), "to")
-    here = F.col("to") == F.col("own")
+    met = _met(state.drop("moved"), edges, _moves(F.col("a"), turn, seed))
+    here = F.col("to") == F.col("comm")
     gain = F.col("link") * F.lit(float(m2)) - F.lit(float(resolution)) * F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0))
-    rule = here | (F.col("own_members") > 1) | (F.col("members") > 1) | (F.col("to") < F.col("own"))
-    best = met.where(rule).groupBy("a").agg(
-        F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("to"))).alias("best"),
+    rule = F.col("to").isNotNull() & (here | (F.col("own_members") > 1) | (F.col("members") > 1) | (F.col("to") < F.col("comm")))
+    best = met.groupBy("node").agg(
+        F.first("k").alias("k"),
+        F.first("comm").alias("comm"),
+        F.max(F.when(rule, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("best"),
         F.max(F.when(here, gain)).alias("stay"),
         F.first((F.lit(-float(resolution)) * F.col("k") * (F.col("own_tot") - F.col("k")))).alias("alone"),
     )
     goes = F.col("best.gain") > F.coalesce("stay", "alone")
-    to = best.select(F.col("a").alias("node"), F.when(goes, -F.col("best.to")).alias("next"))
-    out = state.drop("moved").join(to, "node", "left")
+    out = best.select("node", "k", "comm", F.when(goes, -F.col("best.to")).alias("next"))
     return out.select("node", "k", F.coalesce("next", "comm").alias("comm"), (F.col("next").isNotNull() & (F.col("next") != F.col("comm"))).alias("moved"))
 
 
@@ -90,7 +101,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, tur
     their own. Neither nodes nor edges come to the driver: it gets a count and a sum for each turn and level.
     """
     both = edges.select("a", "b", "w").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    graph = first = keep(both.groupBy("a", "b").agg(F.sum("w").cast("long").alias("w")), "graph")
+    graph = keep(both.groupBy("a", "b").agg(F.sum("w").cast("long").alias("w")), "graph")
     m2 = graph.agg(F.sum("w")).head()[0] or 0
     every = keep(nodes.select(F.col("node").cast("long").alias("node")).distinct(), "nodes")
     label = every.select("node", F.col("node").alias("comm"))
@@ -102,21 +113,22 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, tur
     for level in range(levels):
         idle = 0
         for turn in range(turns):
-            state = keep(_moved(state, graph, m2, resolution, turn + 100 * level, seed), "state")
-            idle = 0 if state.where("moved").limit(1).count() else idle + 1
+            seen = Observation()  # counts where the state is written, without another pass
+            state = keep(_moved(state, graph, m2, resolution, turn + 100 * level, seed).observe(seen, F.count_if("moved").alias("moved")), "state")
+            idle = 0 if seen.get["moved"] else idle + 1
             if idle == 2:
                 break
         parts = _refined(state, graph, m2, resolution, seed + level)
         names = parts.select(F.col("node").alias("at"), "sub", "comm")
         chain = keep(chain.join(names, "at", "left").select("node", F.coalesce("sub", "at").alias("at"), F.coalesce("comm", "at").alias("comm")), "chain")
         label = chain.select("node", "comm")
-        told.append(modularity(first, label, resolution))
         chain = chain.select("node", "at")
         up = names.select("at", "sub")
         coarse = graph.join(up.withColumnsRenamed({"at": "a", "sub": "sa"}), "a").join(up.withColumnsRenamed({"at": "b", "sub": "sb"}), "b")
         graph = keep(coarse.groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.sum("w").alias("w")), "graph")
         before = state
         state = keep(parts.groupBy(F.col("sub").alias("node")).agg(F.sum("k").alias("k"), F.first("comm").alias("comm"), F.lit(False).alias("moved")), "state")
+        told.append(modularity(graph, state, resolution))  # the same on the parts as on the nodes
         if state.count() == before.count():
             break
     least = label.groupBy("comm").agg(F.min("node").alias("community"))

@@ -131,3 +131,20 @@ def test_communities_of_little(spark):
     loop = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (2, 1, 1), (3, 4, 1)], "a long, b long, w long")
     found, _ = community.communities(loop.select(F.explode(F.array("a", "b")).alias("node")), loop)
     assert {r["node"]: r["community"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_a_turn_deals_edges_twice_and_levels_are_judged_on_their_parts(spark, monkeypatch):
+    rows = [(i, j, 1) for c in range(0, 40, 5) for i in range(c, c + 5) for j in range(i + 1, c + 5)] + [(i, i + 5, 1) for i in range(0, 35, 5)]
+    edges = spark.createDataFrame(rows, "a long, b long, w long")
+    state = spark.range(40).selectExpr("id AS node", "5L AS k", "id AS comm", "false AS moved")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = community._moved(state, edges, 2 * len(rows), 1.0, 0, 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("repartition_by_col".upper()) == 1
+    judged, real = [], community.modularity
+    monkeypatch.setattr(community, "modularity", lambda e, s, *r: judged.append(e.count()) or real(e, s, *r))
+    found, told = community.communities(spark.range(40).withColumnRenamed("id", "node"), edges)
+    of = {r["node"]: r["community"] for r in found.collect()}
+    assert judged[0] < 2 * len(rows) and abs(told[-1] - _modularity(of, rows)) < 1e-9
