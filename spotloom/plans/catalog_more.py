@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotloom.operators import dea, embed, factors, graph, integrate, labels, metrics, qc, raster, shape, spatial
+from spotloom.operators import dea, embed, factors, graph, hoods, integrate, labels, metrics, qc, raster, shape, spatial
 from spotloom.operators.tables import shared_dir
 from spotloom.plans.catalog import _KNN, _PB, _TOTALS, _also
 from spotloom.plans.registry import Views, query
@@ -410,8 +410,7 @@ def nearest_seed(v: Views):
 
 @query(f"SELECT k.src AS cell_id, e.gene, round(sum(e.count) / any_value(n.n), 6) AS mean FROM ({_KNN}) k JOIN expr e ON e.cell_id = k.dst JOIN (SELECT src, count(*) AS n FROM ({_KNN}) GROUP BY 1) n ON n.src = k.src GROUP BY 1, 2", ("cells", "expr"))
 def neighbour_means(v: Views):
-    edges = spatial.k_nearest(v.cells.select("cell_id", "sample", "x", "y"), 10, 60.0, ["sample"])
-    return spatial.neighbour_means(edges, v.expr)
+    return hoods.neighbour_means(v.cells.select("cell_id", "sample", "x", "y"), v.expr, 10, 60.0, ["sample"])
 
 
 @query(
