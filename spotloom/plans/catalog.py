@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotloom.functions import geometry
-from spotloom.operators import annotate, assign, dea, metrics, normalize, qc, raster, spatial
+from spotloom.operators import annotate, assign, dea, hoods, metrics, normalize, qc, raster, spatial
 from spotloom.plans.registry import Views, query
 from spotloom.sources.fixtures import TYPES
 
@@ -138,8 +138,7 @@ def neighbours(v: Views):
     ("cells", "expr", "genes"),
 )
 def neighbour_contamination(v: Views):
-    edges = spatial.k_nearest(v.cells.select("cell_id", "sample", "x", "y"), 10, 60.0, ["sample"])
-    return metrics.neighbour_contamination(edges, v.cells, v.expr, v.genes)
+    return hoods.neighbour_contamination(v.cells, v.expr, v.genes, 10, 60.0, ["sample"])
 
 
 # --- cells ------------------------------------------------------------------------------------------------------------

@@ -55,6 +55,33 @@ def test_means_and_gradients_of_neighbours(spark):
     assert None in means.values() and any(g is None for _, g in means)
 
 
+def test_contamination_of_neighbours(spark):
+    cells, expr = _data()
+    near, kind, held = _near(cells), {c[0]: c[4] for c in cells}, {}
+    for i, g, n in expr:
+        if n:
+            held.setdefault(i, {})[g] = n
+    markers = [("a1", "A"), ("a2", "A"), ("b1", "B"), ("b2", "B"), ("b2", "A"), ("c1", "B"), ("x", None), (None, "A"), ("rare", "A")]
+    sets = {}
+    for g, t in markers:
+        if g is not None and t is not None:
+            sets.setdefault(t, set()).add(g)
+    want = {}
+    for i, js in near.items():
+        total = {g: sum(held.get(j, {}).get(g, 0) for j in [i, *js]) for g in sets.get(kind[i], ())}
+        for j in js:
+            if kind[i] is not None and kind[j] is not None and kind[i] != kind[j]:
+                for g, n in total.items():
+                    if n and g not in sets.get(kind[j], ()):
+                        want.setdefault((kind[i], kind[j]), []).append(held.get(j, {}).get(g, 0) / n)
+    df, ex = spark.createDataFrame(cells, _CELLS).repartition(3), spark.createDataFrame(expr, _EXPR).repartition(3)
+    rows = hoods.neighbour_contamination(df, ex, spark.createDataFrame(markers, "gene string, gene_set string"), K, RADIUS, ["sample"]).collect()
+    assert {tuple(r[:3]): r[3] for r in rows} == {(*k, len(v)): pytest.approx(sum(v) / (len(v) + 1), abs=1e-6) for k, v in want.items()}
+    assert ("A", "C") in want and ("C", "A") not in want
+    none = hoods.neighbour_contamination(df, ex, spark.createDataFrame([], "gene string, gene_set string"), K, RADIUS, ["sample"])
+    assert none.count() == 0
+
+
 def test_rows_are_taken_in_pieces(monkeypatch):
     genes = pa.array([[["a", "b"], None], [], [["c"]], [["d"] * 30], [["e"], []]], pa.list_(pa.list_(pa.string())))
     b = pa.RecordBatch.from_arrays([genes, pa.array([[0, 1], [0], [0], [0] * 5, [2]])], ["genes", "at"])
@@ -80,7 +107,7 @@ def crowded(spark, tmp_path_factory):
     return str(top)
 
 
-@pytest.mark.parametrize("name", ["neighbour_means", "neighbour_gradients"])
+@pytest.mark.parametrize("name", ["neighbour_means", "neighbour_gradients", "neighbour_contamination"])
 def test_neighbours_counts_are_not_shuffled_by_cell(spark, crowded, name):
     before = _shuffles(spark)
     registry.QUERIES[name](spark, crowded).write.format("noop").mode("overwrite").save()
